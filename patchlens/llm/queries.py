@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality
 from .common import read, remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -19,6 +19,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned from labels of those whose crc32(doc_id) modulo 3 is not 1."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = remainder("doc_id", 3) != 1
+    network = quality.fit(*quality.sample(docs.filter(known), read(spark, sf_dir, "labels").filter(known)))
+    found = quality.score(docs, network)
+    return found.select("doc_id", (~known).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) modulo 4 is not 2."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -29,7 +38,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_langid": op8_langid}
+    return {"op1_quality": op1_quality, "op8_langid": op8_langid}
 
 
 def oracle_sql() -> dict[str, str]:
