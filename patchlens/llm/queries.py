@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, packing, quality
 from .common import read, remainder
 
+WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -28,6 +29,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~known).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, tokenised and ended by id 1, packed into sequences of at most 4096 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), packing.Tokenizer(vocabulary(WORDS)))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) modulo 4 is not 2."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -38,7 +44,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op8_langid": op8_langid}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op8_langid": op8_langid}
 
 
 def oracle_sql() -> dict[str, str]:
