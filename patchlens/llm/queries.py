@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality
+from . import langid, packing, quality, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -34,6 +34,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.Tokenizer(vocabulary(WORDS)))
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as TIFF, read back and digested."""
+    return tiff.texts(read(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) modulo 4 is not 2."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -44,7 +49,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op8_langid": op8_langid}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op8_langid": op8_langid}
 
 
 def oracle_sql() -> dict[str, str]:
