@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, tiff
+from . import langid, packing, quality, simhash, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -39,6 +39,12 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.texts(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and their components at 3 or fewer differing bits."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) modulo 4 is not 2."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -49,7 +55,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op8_langid": op8_langid}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op7_simhash": op7_simhash, "op8_langid": op8_langid}
 
 
 def oracle_sql() -> dict[str, str]:
