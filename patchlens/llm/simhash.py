@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, slices, small_batches
-from .graph import components, lookup
+from .graph import HOT_SHARE, components, lookup, union
 
 SEED = 42
 #: Fingerprints that the driver sees to build the tree.
@@ -158,16 +158,7 @@ def forest(points: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
     root = np.arange(len(points))
     at_home = np.flatnonzero(home)
     for a, b in meet(points[at_home], points, reach, np.random.default_rng(5)):
-        a = at_home[a]
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
+        union(root, at_home[a], b)
     return root
 
 
@@ -223,8 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3, words: in
     # the smallest doc_id of each component, then of each fingerprint
     member = cut(distinct.select("node", "first").join(found, "node"))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")))
-    hot = least.filter(F.col("_n") >= max(2.0, member.count() * 0.001)).select("root")
+    hot = least.filter(F.col("_n") >= max(2.0, member.count() * HOT_SHARE)).select("root")
     named = lookup(member.select("node", "root"), least.select("root", "component_id"), "root", hot).select("node", F.col("component_id").alias("_id"))
     every = cut(distinct.select("node", "first", "rows").join(named, "node", "left").select("node", F.coalesce("_id", "first").alias("component_id"), "rows"))
-    most = every.filter(F.col("rows") >= max(2.0, printed.count() * 0.001)).select("node")
+    most = every.filter(F.col("rows") >= max(2.0, printed.count() * HOT_SHARE)).select("node")
     return lookup(printed, every.select("node", "component_id"), "node", most).select("doc_id", *names, "component_id")
