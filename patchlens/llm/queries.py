@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, langid, packing, quality, simhash, tiff
+from . import embdedup, langid, packing, quality, secrets, simhash, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.texts(read(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through the trigram index."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and their components at 3 or fewer differing bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -60,8 +65,8 @@ def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op10_embdedup": op10_embdedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op10_embdedup": op10_embdedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secrets": secrets.duck_sql()}
