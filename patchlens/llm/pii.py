@@ -1,0 +1,241 @@
+"""Personal data by weak supervision, by DataFrame functions alone.
+
+Base kinds are found by their patterns and always stay. Further candidates (national numbers, accounts, local phone
+numbers, addresses, names) come from one wider pattern. Labelers vote on every candidate, for, against or not at all:
+the shape of the match, gazetteers, words before it, other personal data around it, and signs against it.
+Expectation-maximisation over the histogram of vote patterns (bounded: KINDS * 3^5 * 3 rows, counted over all documents)
+estimates the labelers' reliabilities without any labels; a logistic classifier over kind, votes and length is trained
+on the posteriors, and candidates to which it gives at least 0.5 become spans where they overlap no base span.
+
+Null texts count as empty and have no spans. Equal rows are separate rows. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .spans import SPAN, matches, written
+
+#: The given patterns, in a form that never looks at a character run twice. A run's first character
+#: (or the end of the last match, \G) is its only start, and runs that nothing can follow from inside are possessive.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BASE = ("email", "ip", "card", "phone")
+MORE = ("national", "account", "local", "address", "person")
+KINDS = BASE + MORE
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Square|Court|Way"
+WIDE = (
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+    r"|(?<![0-9+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+    r"|(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
+    rf"|(?<![0-9])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{STREETS})(?![A-Za-z])"
+    r"|(?<!\p{L})\p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20}){1,2}(?!\p{L})"
+)
+#: Gazetteers and cues.
+NAMES = "anna maria john james mary robert michael david peter thomas paul laura julia marie jean pierre louis hans karl anja sabine jose carlos juan ana lucia elena sofia daniel martin andreas stefan claire sophie emma alice william george charles richard susan linda karen nancy".split()
+NOT_NAMES = "the and of in on for with this that from by is are was a an to it at as monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december der die das und le la les et el los las y".split()
+BEFORE = r"(?i)(?<!\p{L})(?:name|contact|call|phone|tel|mobile|fax|ssn|social security|iban|account|address|lives at|born|mr|mrs|ms|dr|herr|frau|monsieur|madame|señor|señora|e?mail|signed|regards)[^\p{L}]{0,3}$"
+AROUND = r"@|\+[0-9]|[0-9]{4}"
+AGAINST = r"(?i)(?:version|page|figure|section|isbn|issn|chapter|vol|no)[^\p{L}]{0,3}$"
+LEFT, RIGHT = 40, 20
+LABELERS = 5
+#: Chances of a vote for, none and against, where there is personal data and where not, before any data are seen; and
+#: for how many candidates that counts.
+START = ((0.55, 0.40, 0.05), (0.05, 0.60, 0.35))
+BELIEF = 20.0
+ROUNDS, STEPS, RATE, RIDGE = 60, 400, 2.0, 1e-3
+
+
+def luhn(digits: Column) -> Column:
+    """Whether the check digit is right."""
+    back = F.reverse(digits)
+    values = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.substring(back, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    return F.aggregate(values, F.lit(0), lambda a, v: a + v - F.when(v > 9, 9).otherwise(0)) % 10 == 0
+
+
+def valid(kind: str, match: Column) -> Column:
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    if kind == "ip":
+        return match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
+    if kind == "card":
+        return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+    return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
+
+
+def around(text: Column, pattern: str, found: Column) -> Column:
+    """start, end, match, left and right of each match: its place, and what stands before and after it."""
+    gaps = F.split(text, pattern, -1)
+    n = F.size(found)
+    parts = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("match"), F.slice(gaps, F.lit(2), n).alias("next"))
+    kind = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part["gap"])
+        end = start + F.length(part["match"])
+        one = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("match"), F.right(part["gap"], F.lit(LEFT)).alias("left"), F.left(part["next"], F.lit(RIGHT)).alias("right"))
+        return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+
+    return F.when(n > 0, F.aggregate(parts, zero, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+
+
+def voted(kind: Column, s: Column) -> list[Column]:
+    """Each labeler's vote on a candidate: 1, 0 or -1."""
+    vote = lambda yes, no=F.lit(False): F.when(no, -1).when(yes, 1).otherwise(0)
+    words = F.split(F.lower(s["match"]), " ")
+    person = kind == "person"
+    shape = (
+        F.when(kind.isin(*BASE), 1)
+        .when(kind == "national", vote(~s["match"].rlike("^(?:000|666|9)|-00-|-0000$"), s["match"].rlike("^(?:000|666|9)|-00-|-0000$")))
+        .when(kind == "account", vote(s["match"].rlike("^(?:DE[0-9]{20}|FR[0-9]{12}[A-Z0-9]{11}[0-9]{2}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}|NL[0-9]{2}[A-Z]{4}[0-9]{10})$")))
+        .when(kind == "local", vote(s["match"].rlike(r"^\(?[2-9]"), s["match"].rlike(r"^\(?[01]")))
+        .otherwise(0)
+    )
+    known = F.array(*map(F.lit, NAMES))
+    other = F.array(*map(F.lit, NOT_NAMES))
+    listed = F.when(person, vote(F.array_contains(known, words[0]), F.arrays_overlap(words, other))).when(kind == "address", 1).otherwise(0)
+    repeated = person & (F.size(F.array_distinct(words)) < F.size(words))
+    return [shape, listed, vote(s["left"].rlike(BEFORE)), vote((F.concat_ws(" ", s["left"], s["right"])).rlike(AROUND)), vote(F.lit(False), s["left"].rlike(AGAINST) | repeated)]
+
+
+def described(kind: Column, s: Column) -> Column:
+    """A candidate as it is counted and judged: place, kind, votes and length class."""
+    size = s["end"] - s["start"]
+    votes = [v.cast("int").alias(f"v{i}") for i, v in enumerate(voted(kind, s))]
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), *votes, F.when(size < 12, 0).when(size < 20, 1).otherwise(2).alias("size"))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what follows it in docs, with `base` and `wide`: arrays of described candidates."""
+    text = F.col("text")
+    df = docs.withColumn("text", F.coalesce(text.cast("string"), F.lit("")))
+    none = F.array().cast("array<string>")
+    guards = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
+    patterns = dict(zip(BASE, (EMAIL, IP, CARD, PHONE), strict=True)) | {"wide": WIDE}
+    for kind, pattern in patterns.items():
+        df = df.withColumn(f"_{kind}", F.when(guards.get(kind, F.lit(True)), matches(text, pattern)).otherwise(none))
+    for kind, pattern in patterns.items():
+        df = df.withColumn(f"_{kind}", around(text, pattern, F.col(f"_{kind}")))
+
+    def sound(kind: str) -> Column:
+        return F.transform(F.filter(f"_{kind}", lambda s: valid(kind, s["match"])), lambda s: described(F.lit(kind), s))
+
+    def told(s: Column) -> Column:
+        m = s["match"]
+        kind = F.when(m.rlike("^[A-Z]{2}[0-9]{2}"), "account").when(m.rlike("^[0-9]{3}-[0-9]{2}-"), "national").when(m.rlike(r"^[0-9(].*[0-9]$"), "local").when(m.rlike("^[0-9]"), "address").otherwise("person")
+        return described(kind, s)
+
+    df = df.withColumn("base", F.concat(*map(sound, BASE))).withColumn("wide", F.transform("_wide", told))
+    return df.drop(*(f"_{k}" for k in patterns))
+
+
+def histogram(found: DataFrame) -> list[tuple]:
+    """(kind, votes, length class, candidates) over all documents: a bounded number of rows."""
+    votes = [f"c.v{i}" for i in range(LABELERS)]
+    each = found.select(F.explode(F.concat("base", "wide")).alias("c")).groupBy("c.kind", *votes, "c.size").agg(F.count("*").alias("n"))
+    return sorted((r["kind"], tuple(r[f"v{i}"] for i in range(LABELERS)), r["size"], r["n"]) for r in each.collect())
+
+
+def estimate(counted: list[tuple]) -> tuple[list, list[float]]:
+    """Expectation-maximisation: each labeler's [class][for, none, against], and the posterior of each row."""
+    column = {1: 0, 0: 1, -1: 2}
+    chance = [[list(START[0]), list(START[1])] for _ in range(LABELERS)]
+    prior = {k: 0.5 for k in KINDS}
+    posterior = [0.0] * len(counted)
+    for _ in range(ROUNDS):
+        votes = [[[BELIEF * p for p in START[y]] for y in (0, 1)] for _ in range(LABELERS)]
+        share = {k: [1.0, 2.0] for k in KINDS}
+        for i, (kind, pattern, _, n) in enumerate(counted):
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(chance[j][0][column[v]] / chance[j][1][column[v]]) for j, v in enumerate(pattern))
+            posterior[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            share[kind][0] += n * posterior[i]
+            share[kind][1] += n
+            for j, v in enumerate(pattern):
+                votes[j][0][column[v]] += n * posterior[i]
+                votes[j][1][column[v]] += n * (1 - posterior[i])
+        chance = [[[x / sum(row) for x in row] for row in v] for v in votes]
+        prior = {k: min(1 - 1e-4, max(1e-4, a / b)) for k, (a, b) in share.items()}
+    return chance, posterior
+
+
+def inputs(kind: str, votes: tuple, size: int) -> list[str]:
+    return ["one", f"kind:{kind}", f"size:{size}", *(f"vote{j}:{v}" for j, v in enumerate(votes) if v)]
+
+
+def train(counted: list[tuple], posterior: list[float]) -> dict[str, float]:
+    """Logistic weights by gradient steps on the posteriors; each kind weighs alike."""
+    weight: dict[str, float] = defaultdict(float)
+    total = defaultdict(float)
+    for kind, _, _, n in counted:
+        total[kind] += n
+    rows = [(inputs(kind, votes, size), p, n / total[kind] / len(total)) for (kind, votes, size, n), p in zip(counted, posterior, strict=True)]
+    for _ in range(STEPS):
+        slope: dict[str, float] = defaultdict(float)
+        for names, p, n in rows:
+            z = sum(weight[x] for x in names)
+            off = n * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p)
+            for x in names:
+                slope[x] += off
+        for x, g in slope.items():
+            weight[x] -= RATE * (g + RIDGE * weight[x])
+    return dict(weight)
+
+
+def judged(weight: dict[str, float], c: Column) -> Column:
+    """The classifier's probability as an expression."""
+    pick = lambda prefix, value, options: F.coalesce(*[F.when(value == F.lit(o), F.lit(weight[f"{prefix}:{o}"])) for o in options if f"{prefix}:{o}" in weight], F.lit(0.0))
+    z = F.lit(weight.get("one", 0.0)) + pick("kind", c["kind"], KINDS) + pick("size", c["size"], (0, 1, 2))
+    for j in range(LABELERS):
+        z = z + pick(f"vote{j}", c[f"v{j}"], (1, -1))
+    return 1 / (1 + F.exp(-z))
+
+
+def span(c: Column) -> Column:
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).cast("int") - 1
+    return F.struct(c["start"].alias("start"), rank.alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """The columns of docs (a null text empty) and spans (start, rank of the kind, kind, end) by kind, then start."""
+    names = docs.columns
+    found = candidates(docs)
+    counted = histogram(found)
+    weight = train(counted, estimate(counted)[1])
+    added = F.filter("wide", lambda c: (judged(weight, c) >= 0.5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    spans = F.transform(F.concat("base", added), span)
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.select(*names, ordered.cast(SPAN).alias("spans"))
+
+
+def masked(found: DataFrame) -> DataFrame:
+    """text with every span (overlapping ones as one, by its first kind) replaced by <KIND>; spans go."""
+    by_place = F.array_sort("spans")
+    zero = F.array().cast(SPAN)
+
+    def merge(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), F.array_append(F.slice(out, 1, F.size(out) - 1), wider)).otherwise(F.array_append(out, s))
+
+    merged = found.withColumn("_merged", F.aggregate(by_place, zero, merge))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        kept = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
+        return F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(kept, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
+
+    text = F.aggregate("_merged", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    return merged.withColumn("text", F.when(F.size("_merged") > 0, text).otherwise(F.col("text"))).drop("_merged", "spans")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

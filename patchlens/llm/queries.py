@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, langid, packing, quality, secrets, simhash, tiff
+from . import embdedup, langid, packing, pii, quality, secrets, simhash, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -44,6 +44,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and their components at 3 or fewer differing bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -65,7 +70,7 @@ def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op10_embdedup": op10_embdedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op10_embdedup": op10_embdedup}
 
 
 def oracle_sql() -> dict[str, str]:
