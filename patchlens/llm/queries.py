@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embdedup, langid, packing, pii, quality, secrets, simhash, tiff
+from . import chat, embdedup, langid, packing, pieces, pii, quality, secrets, simhash, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -72,13 +72,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "fit")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the public pieces and decoded again."""
+    return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.Transducer(vocabulary(PIECES)))
+
+
 def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings with equal labels at cosine 0.93 or more, and their components."""
     return embdedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op10_embdedup": op10_embdedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_embdedup": op10_embdedup}
 
 
 def oracle_sql() -> dict[str, str]:
