@@ -13,6 +13,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +28,13 @@ from .common import column, cut, slices, small_batches
 LENGTH = 4096
 END = 1
 #: Words that a worker remembers the ids of: so many recent ones, and as many before them.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 #: Fresh words encoded at once.
 JOINED = 500
 #: Longer runs between spaces are not remembered.
 MEMO_CHARS = 64
+#: Punctuation that may follow a word of letters, and the first character past the letters that are taken apart.
+TAIL, PLAIN = ".,;:!?", "\u0250"
 
 
 class Tokenizer:
@@ -42,26 +45,48 @@ class Tokenizer:
     token between them where the tokenizer has one.
     """
 
-    def __init__(self, path: str):
-        self.path, self.inner, self.mark = path, None, None
+    def __init__(self, path: str, parts: bool = True):
+        self.path, self.parts, self.inner, self.plain, self.mark, self.last = path, parts, None, None, None, None
         self.recent: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return self.path
-
-    def __setstate__(self, path):
-        self.__init__(path)
+        return self.path, self.parts
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def open(self) -> None:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer as Library
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.inner, self.plain = Library.from_file(self.path), Library.from_file(self.path)
+        # the same merges without the normaliser and the splitting pattern, which change nothing in a stem
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.inner.model, "end_of_word_suffix", None)
+        self.parts = self.parts and bool(suffix)
+        if self.parts:
+            self.last = np.zeros(self.inner.get_vocab_size() + 1, bool)
+            self.last[[i for token, i in self.inner.get_vocab().items() if token.endswith(suffix)]] = True
+        self.mark = next(((i, t.content) for i, t in self.inner.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
+
+    def stems(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters."""
+        out = []
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            found = self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return out
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        if self.inner is None:
-            import os
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer as Library
-
-            self.inner = Library.from_file(self.path)
-            self.mark = next(((i, t.content) for i, t in self.inner.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
         out: list[bytes] = [b""] * len(words)
         alone = list(range(len(words)))
         if self.mark:
@@ -81,29 +106,52 @@ class Tokenizer:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Adds words to the recent ones, which are kept with as many before them."""
-        if len(self.recent) > MEMO_WORDS:
-            self.before, self.recent = self.recent, {}
-        lost = []
+        """Adds words to the recent ones.
+
+        A word of letters with punctuation behind it, or with upper-case letters, has the ids of the parts: letters and
+        punctuation are never in one piece, and the tokenizer lower-cases letter by letter.
+        """
+        if self.inner is None:
+            self.open()
+        recent, before = self.recent, self.before
+        apart, lost, stems = [], set(), set()
         for w in words:
-            if (ids := self.before.get(w)) is None:
-                lost.append(w)
+            if (ids := before.get(w)) is not None:
+                recent[w] = ids
+                continue
+            stem = w.rstrip(TAIL)
+            low = stem.lower()
+            if self.parts and stem.isalpha() and (stem.isascii() or max(stem) < PLAIN and len(low) == len(stem) and unicodedata.is_normalized("NFC", stem)):
+                if low == w:
+                    stems.add(w)
+                    continue
+                tail = w[len(stem) :]
+                apart.append((w, low, tail))
+                for part, missing in ((low, stems), (tail, lost)):
+                    if part not in recent:
+                        if (ids := before.get(part)) is not None:
+                            recent[part] = ids
+                        else:
+                            missing.add(part)
             else:
-                self.recent[w] = ids
-        self.recent.update(zip(lost, self.fresh(lost), strict=True))
+                lost.add(w)
+        for some, encoded in ((list(lost), self.fresh), (list(stems), self.stems)):
+            recent.update(zip(some, encoded(some), strict=True))
+        for w, low, tail in apart:
+            recent[w] = recent[low] + recent[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; nothing for null."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = [list(map(self.recent.get, words)) for words in split]
-        open_ = [i for i, ids in enumerate(known) if None in ids]
-        if open_:
-            self.learn({w for i in open_ for w, ids in zip(split[i], known[i], strict=True) if ids is None})
-            for i in open_:
-                known[i] = [ids if ids is not None else self.recent[w] for w, ids in zip(split[i], known[i], strict=True)]
-            for w in [w for i in open_ for w in split[i] if len(w) > MEMO_CHARS]:
+        if len(self.recent) > MEMO_WORDS:
+            self.before, self.recent = self.recent, {}
+        fresh = set().union(*split).difference(self.recent)
+        self.learn(fresh)
+        out = [b"".join(map(self.recent.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > MEMO_CHARS:
                 self.recent.pop(w, None)
-        return list(map(b"".join, known))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END) -> DataFrame:
