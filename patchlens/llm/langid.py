@@ -271,16 +271,16 @@ def identify(docs: DataFrame, model: Model, more: list[str] | None = None) -> Da
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(more or []))
-    kinds = {"lang_pred": "string", "score": "double", "fit": "double"}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text" or "text" in (more or []))
+    names = list(dict.fromkeys(["doc_id", *(more or [])]))
+    picked = docs.select(*names, F.col("text").cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        names = np.array([*own.languages, UNDETERMINED], object)
-        for batch in slices(batches, "text"):
+        answers = np.array([*own.languages, UNDETERMINED], object)
+        for batch in slices(batches, "_text"):
             if own.languages:
-                total, words, size = own.texts(column(batch, "text"))
+                total, words, size = own.texts(column(batch, "_text"))
                 best = total.argmax(1)
                 top = total[np.arange(len(best)), best]
                 score = 1 / np.exp(total - top[:, None]).sum(1)
@@ -289,8 +289,8 @@ def identify(docs: DataFrame, model: Model, more: list[str] | None = None) -> Da
                 words = np.zeros(batch.num_rows, np.int64)
                 best, score, close = words, words.astype(float), words.astype(float)
             none = words == 0
-            out = {n: column(batch, n) for n in batch.schema.names if n != "text" or "text" in (more or [])}
-            out |= {"lang_pred": pa.array(names[np.where(none, len(own.languages), best)], pa.string()), "score": pa.array(np.where(none, 0.0, score)), "fit": pa.array(np.where(none, 0.0, close))}
+            out = {n: column(batch, n) for n in names}
+            out |= {"lang_pred": pa.array(answers[np.where(none, len(own.languages), best)], pa.string()), "score": pa.array(np.where(none, 0.0, score)), "fit": pa.array(np.where(none, 0.0, close))}
             yield pa.RecordBatch.from_pydict(out)
 
-    return picked.mapInArrow(run, ", ".join([schema, *(f"{k} {v}" for k, v in kinds.items())]))
+    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double, fit double")
