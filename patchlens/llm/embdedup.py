@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import HOT_SHARE, components, hot_keys, lookup, union
+from .graph import components, hottest, lookup, union
 
 THRESHOLD = 0.93
 #: Classes of a block, about.
@@ -83,10 +83,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
     rows, found = classes(vectors)
     rows, found = cut(rows), cut(found)
-    total = found.count()
     sizes = cut(found.groupBy("kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("_n")))
-    hot = sizes.filter(F.col("_n") >= max(2.0, total * HOT_SHARE)).select("kind")
-    dealt = lookup(found.select("kind", "node", "embedding", "rows"), sizes.select("kind", "blocks"), "kind", hot)
+    dealt = lookup(found.select("kind", "node", "embedding", "rows"), sizes.select("kind", "blocks"), "kind", hottest(sizes, "_n"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     packed = cut(dealt.groupBy("kind", "block").applyInPandas(pack, "kind bigint, block int, blocks int, nodes binary, counts binary, vectors binary"))
     each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -119,13 +117,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     counted = partial.groupBy("node").agg(F.sum("links").alias("links"))
     member = cut(found.select("node", "first").join(known, "node"))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")))
-    large = least.filter(F.col("_n") >= max(2.0, member.count() * HOT_SHARE)).select("root")
-    named = lookup(member.select("node", "root"), least.select("root", "component_id"), "root", large).select("node", "component_id")
+    named = lookup(member.select("node", "root"), least.select("root", "component_id"), "root", hottest(least, "_n")).select("node", "component_id")
     every = cut(
         found.select("node", "first", "rows").join(counted, "node", "left").join(named, "node", "left")
-        .select("node", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+        .select("node", "rows", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     )
-    sound = rows.filter("node is not null")
-    out = lookup(sound, every, "node", cut(hot_keys(sound, "node", sound.count()))).select("vec_id", "n_links", "component_id")
+    out = lookup(rows.filter("node is not null"), every.drop("rows"), "node", hottest(every, "rows")).select("vec_id", "n_links", "component_id")
     alone = rows.filter("node is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -3,62 +3,72 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A key is hot with at least this share of all rows, so there are at most 1 / HOT_SHARE hot keys to broadcast.
-HOT_SHARE = 0.001
+#: Keys that are broadcast at most, and the least rows of a key for that. With the HOT keys of most rows taken out, no
+#: key left has more than 1 / HOT of all rows.
+HOT, LEAST = 1000, 100
 
 
-def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The at most 1 / HOT_SHARE keys with that share of `rows` rows."""
-    return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(2.0, rows * HOT_SHARE)).select(key)
+def hottest(df: DataFrame, rows: str) -> list[Row]:
+    """The at most HOT rows of a table of keys with the most rows (a column that says how many), none below LEAST."""
+    return [r for r in df.orderBy(F.desc(rows)).limit(HOT).collect() if r[rows] >= LEAST]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row a key; how: inner or left.
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: list[Row], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and is cut; how: inner or left; hot: the hottest of right's rows.
 
-    Rows of hot keys meet a broadcast of right's rows for them (at most 1 / HOT_SHARE); the others are shuffled.
+    Rows of hot keys meet a broadcast of these; the others are shuffled.
     """
-    few = right.join(F.broadcast(hot), key, "left_semi")
-    some = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return some.unionByName(rest)
+    if not hot:
+        return left.join(right, key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame([tuple(r[c] for c in right.columns) for r in hot], right.schema))
+    common = F.col(key).isin([r[key] for r in hot])
+    some = left.filter(common).join(few, key, how)
+    return some.unionByName(left.filter(F.coalesce(~common, F.lit(True))).join(right, key, how))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge to another; edges: src, dst of one type, in any order, repeated or not.
+    """(node, root) of every node with an edge to another; edges: src, dst (long), in any order, repeated or not.
 
     Each round every node joins the neighbour that a fresh hash puts first, if it comes before the node itself, and
     edges move to what their ends have joined. An expected constant share of the nodes that still have edges goes
-    each round, however long the chains. Nothing is collected; each round is cut through the checkpoint folder.
-    The root is some node of the component, the same for all its nodes.
+    each round, however long the chains. At most the HOT nodes of most edges are collected; each round is cut through
+    the checkpoint folder. The root is some node of the component, the same for all its nodes.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    left = cut(both.filter("src <> dst").distinct())
-    labels, turn = None, 0
-    while rows := left.count():
-        turn += 1
-        order = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), F.col(c).alias("v"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    left = edges.filter("src <> dst").select(F.explode(ways).alias("e")).select("e.*").distinct()
+    rounds: list[tuple[DataFrame, list[Row]]] = []
+    while True:
+        turn = F.lit(len(rounds))
+        order = lambda c, t=turn: F.struct(F.xxhash64(t, c).alias("h"), F.col(c).alias("v"))
         best = left.groupBy("src").agg(F.min(order("dst")).alias("best"), F.count("*").alias("links"))
         joined = cut(best.select(F.col("src").alias("node"), F.least("best", order("src"))["v"].alias("to"), "links"))
-        hot = cut(joined.filter(F.col("links") >= max(2.0, rows * HOT_SHARE)).select("node"))
+        top = joined.orderBy(F.desc("links")).limit(HOT).collect()
+        if not top:
+            break
+        hot = [r for r in top if r["links"] >= LEAST]
+        rounds.append((joined, hot))
         moved = left
         for end in ("src", "dst"):
             named = joined.select(F.col("node").alias(end), F.col("to").alias("_to"))
-            moved = lookup(moved, named, end, hot.select(F.col("node").alias(end))).drop(end).withColumnRenamed("_to", end)
+            moved = lookup(moved, named, end, [Row(**{end: r["node"], "_to": r["to"]}) for r in hot]).drop(end).withColumnRenamed("_to", end)
         left = cut(moved.filter("src <> dst").select("src", "dst").distinct())
-        if labels is None:
-            labels = joined.select("node", F.col("to").alias("root"))
-        else:
-            known = joined.select(F.col("node").alias("root"), F.col("to").alias("_to"))
-            moved = lookup(labels, known, "root", cut(hot_keys(labels, "root", labels.count())), "left")
-            labels = cut(moved.select("node", F.coalesce("_to", "root").alias("root")))
-    if labels is None:
-        return left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    return labels
+    # where a round sends a node, later rounds may send on; a node to which many are sent had as many edges
+    roots: DataFrame | None = None
+    for joined, hot in reversed(rounds):
+        here = joined.select("node", F.col("to").alias("root"))
+        if roots is not None:
+            after = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            few = after.filter(F.col("root").isin([r["node"] for r in hot])).collect() if hot else []
+            # hot nodes that no later round knows stay where they are
+            few += [Row(root=r["node"], _to=None) for r in hot if r["node"] not in {x["root"] for x in few}]
+            here = lookup(here, after, "root", few, "left").select("node", F.coalesce("_to", "root").alias("root"))
+        roots = cut(here)
+    return roots if roots is not None else edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
 
 def union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, slices, small_batches
-from .graph import HOT_SHARE, components, lookup, union
+from .graph import components, hottest, lookup, union
 
 SEED = 42
 #: Fingerprints that the driver sees to build the tree.
@@ -213,9 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3, words: in
     found = components(links(distinct, reach, words, home))
     # the smallest doc_id of each component, then of each fingerprint
     member = cut(distinct.select("node", "first").join(found, "node"))
-    least = cut(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")))
-    hot = least.filter(F.col("_n") >= max(2.0, member.count() * HOT_SHARE)).select("root")
-    named = lookup(member.select("node", "root"), least.select("root", "component_id"), "root", hot).select("node", F.col("component_id").alias("_id"))
+    least = cut(member.groupBy("root").agg(F.min("first").alias("_id"), F.count("*").alias("_n")))
+    named = lookup(member.select("node", "root"), least.select("root", "_id"), "root", hottest(least, "_n")).select("node", "_id")
     every = cut(distinct.select("node", "first", "rows").join(named, "node", "left").select("node", F.coalesce("_id", "first").alias("component_id"), "rows"))
-    most = every.filter(F.col("rows") >= max(2.0, printed.count() * HOT_SHARE)).select("node")
-    return lookup(printed, every.select("node", "component_id"), "node", most).select("doc_id", *names, "component_id")
+    return lookup(printed, every.select("node", "component_id"), "node", hottest(every, "rows")).select("doc_id", *names, "component_id")
