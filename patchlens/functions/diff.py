@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import lines, words_and_chars
 
@@ -169,7 +170,10 @@ def parse(text: str | None) -> tuple[str, str]:
     return ("\n".join(out), "") if out else ("", "no hunks")
 
 
-@F.pandas_udf("struct<hunks:string,valid:boolean,error:string>")
+PARSED = T.StructType().add("hunks", "string").add("valid", "boolean").add("error", "string")
+
+
+@F.pandas_udf(PARSED)
 def parsed(texts: pd.Series) -> pd.DataFrame:
     """parse() of every value, in Arrow batches."""
     rows: Iterator[tuple[str, str]] = map(parse, texts)
