@@ -203,15 +203,15 @@ def span(c: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The columns of docs (a null text empty) and spans (start, rank of the kind, kind, end) by kind, then start."""
-    names = docs.columns
-    found = candidates(docs)
+    """The columns of docs (a null text empty; a column `spans` gives way) and spans (start, rank of the kind, kind, end) by kind, then start."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans")).alias("_row")
+    found = candidates(docs.select("text", row))
     counted = histogram(found)
     weight = train(counted, estimate(counted)[1])
     added = F.filter("wide", lambda c: (judged(weight, c) >= 0.5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     spans = F.transform(F.concat("base", added), span)
     ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.select(*names, ordered.cast(SPAN).alias("spans"))
+    return found.select(F.col("_row").withField("text", F.col("text")).alias("_row"), ordered.cast(SPAN).alias("spans")).select("_row.*", "spans")
 
 
 def masked(found: DataFrame) -> DataFrame:
