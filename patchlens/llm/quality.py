@@ -58,8 +58,11 @@ class Network:
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.weight, self.base]
 
-    def strongest(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of symbols of texts laid end to end: each filter's strongest answer [text, filter], where, the padded bytes, first blocks."""
+    def strongest(self, data: np.ndarray, sizes: np.ndarray, going_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of symbols of texts laid end to end: each filter's strongest answer [text, filter], all answers, the padded symbols, first blocks.
+
+        going_on: texts whose last STRIDE bytes begin no chunk, as the next piece has them.
+        """
         blocks = np.maximum(1, -(-sizes // STRIDE)) + 1  # the last is padding: no chunk reaches into the next text
         first = np.cumsum(blocks) - blocks
         padded = np.full(blocks.sum() * STRIDE, PAD, np.int64)
@@ -69,6 +72,8 @@ class Network:
         answer = rows @ self.filters[:half]
         answer[:-1] += rows[1:] @ self.filters[half:]
         answer[first + blocks - 1] = -np.inf
+        if going_on is not None:
+            answer[(first + blocks - 2)[going_on]] = -np.inf
         return np.maximum.reduceat(answer, first, axis=0), answer, padded, first
 
     def combine(self, strongest: np.ndarray) -> np.ndarray:
@@ -89,7 +94,8 @@ class Network:
         while at < len(owner):
             upto = max(at + 1, int(np.searchsorted(np.cumsum(ends[at:] - starts[at:]), PIECE, "right")) + at)
             part = np.concatenate([data[a:b] for a, b in zip(starts[at:upto], ends[at:upto], strict=True)])
-            np.maximum.at(best, owner[at:upto], self.strongest(part, ends[at:upto] - starts[at:upto])[0])
+            going_on = place[at:upto] < pieces[owner[at:upto]] - 1
+            np.maximum.at(best, owner[at:upto], self.strongest(part, ends[at:upto] - starts[at:upto], going_on)[0])
             at = upto
         return self.combine(best)
 
