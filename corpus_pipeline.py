@@ -21,8 +21,8 @@ from patchlens.llm.queries import PIECES, WORDS, vocabulary
 SHINGLE, PARTS, REACH = 5, 2, 24
 
 #: Nats a byte by which a learned language must explain a text's letters better than bytes drawn evenly. Texts of the
-#: learned languages come to 2 or more, other scripts and noise stay below a half.
-LEAST_FIT = 1.0
+#: learned languages come to 2 or more, other scripts and noise to 1.3 or less.
+LEAST_FIT = 1.5
 
 
 def carried(docs: DataFrame) -> DataFrame:
