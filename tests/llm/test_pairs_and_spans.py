@@ -312,7 +312,8 @@ def planted(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("planted")
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()[:250]
     random.seed(8)
-    clean = [d for d in docs if len(d["text"].split()) > 150][:20]
+    good = {r["doc_id"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist() if r["quality"] == 1}
+    clean = [d for d in docs if d["doc_id"] in good and len(d["text"].split()) > 150][:20]
     rows = [tuple(d.values()) for d in docs]
     for i, d in enumerate(clean[:10]):
         rows.append((5000 + i, d["text"], d["lang"], d["source"], d["n_chars"]))
