@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     the checkpoint folder. The root is some node of the component, the same for all its nodes.
     """
     ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    left = edges.filter("src <> dst").select(F.explode(ways).alias("e")).select("e.*").distinct()
+    left = cut(edges.filter("src <> dst").select(F.explode(ways).alias("e")).select("e.*").distinct())
     rounds: list[tuple[DataFrame, list[Row]]] = []
     while True:
         turn = F.lit(len(rounds))
