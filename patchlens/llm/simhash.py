@@ -30,8 +30,8 @@ from .graph import components, hottest, lookup, union
 SEED = 42
 #: Fingerprints that the driver sees to build the tree.
 SAMPLE = 16_384
-#: Fingerprints at home in a shard, queries in a part of one, and points that are compared in full.
-HOME, QUERIES, TILE = 4096, 32_768, 256
+#: Fingerprints at home in a shard, queries in a part of one, and points and queries that are compared in full at once.
+HOME, QUERIES, TILE, ASKED = 4096, 32_768, 256, 512
 #: The least number of shards, so that a task never holds a large share of the rows.
 SHARDS = 32
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -127,6 +127,8 @@ class Tree:
 def meet(home: np.ndarray, queries: np.ndarray, reach: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(home rows, query rows) of all pairs within reach, tile by tile."""
     queue = [(np.arange(len(home)), np.arange(len(queries)))]
+    # these stay in the cache
+    differ, counts, more = (np.empty(TILE * ASKED, kind) for kind in (np.uint64, np.uint8, np.uint8))
     while queue:
         rows, asked = queue.pop()
         if not len(asked):
@@ -144,13 +146,19 @@ def meet(home: np.ndarray, queries: np.ndarray, reach: int, rng: np.random.Gener
                 continue
         for k in range(0, len(rows), TILE):
             part = rows[k : k + TILE]
-            for j in range(0, len(asked), 4096):
-                some = asked[j : j + 4096]
-                near = np.bitwise_count(home[part, None, 0] ^ queries[None, some, 0])
-                for word in range(1, home.shape[1]):
-                    near = near + np.bitwise_count(home[part, None, word] ^ queries[None, some, word])
-                at, to = np.nonzero(near <= reach)
-                yield part[at], some[to]
+            for j in range(0, len(asked), ASKED):
+                some = asked[j : j + ASKED]
+                shape = len(part), len(some)
+                bits, near = (x[: shape[0] * shape[1]].reshape(shape) for x in (differ, counts))
+                for word in range(home.shape[1]):
+                    np.bitwise_xor(home[part, word][:, None], queries[some, word], out=bits)
+                    if word:
+                        near += np.bitwise_count(bits, out=more[: bits.size].reshape(shape))
+                    else:
+                        np.bitwise_count(bits, out=near)
+                found = np.flatnonzero(near <= reach)
+                if len(found):
+                    yield part[found // shape[1]], some[found % shape[1]]
 
 
 def forest(points: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
