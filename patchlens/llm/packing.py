@@ -13,6 +13,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ JOINED = 500
 MEMO_CHARS = 64
 #: Punctuation that may follow a word of letters, and the first character past the letters that are taken apart.
 TAIL, PLAIN = ".,;:!?", "\u0250"
+#: A full stop or comma that continues a run of marks.
+PAIRED = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 class Tokenizer:
@@ -111,14 +114,15 @@ class Tokenizer:
         A word of letters with punctuation behind it, or with upper-case letters, has the ids of the parts: letters and
         punctuation are never in one piece, and the tokenizer lower-cases letter by letter.
         """
-        if self.inner is None:
-            self.open()
         recent, before = self.recent, self.before
         apart, lost, stems = [], set(), set()
         for w in words:
             if (ids := before.get(w)) is not None:
                 recent[w] = ids
                 continue
+            if self.parts and w.isascii() and w.isalpha() and w.islower():
+                stems.add(w)
+                continue
             stem = w.rstrip(TAIL)
             low = stem.lower()
             if self.parts and stem.isalpha() and (stem.isascii() or max(stem) < PLAIN and len(low) == len(stem) and unicodedata.is_normalized("NFC", stem)):
@@ -140,9 +144,23 @@ class Tokenizer:
         for w, low, tail in apart:
             recent[w] = recent[low] + recent[tail]
 
+    def spaced(self, text: str) -> str:
+        """A text whose words are fewer and that has the same ids.
+
+        Where no special token and no odd letter can be, it is lower-cased here; where no full stop or comma continues
+        a run of marks, each begins a piece of its own anyway, and gets a space before it.
+        """
+        if self.parts and (text.isascii() or max(text) < PLAIN and "\u0130" not in text and unicodedata.is_normalized("NFC", text)) and "<|" not in text:
+            text = text.lower()
+            if not PAIRED.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; nothing for null."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if self.inner is None:
+            self.open()
+        split = [self.spaced(t or "").split(" ") for t in texts]
         if len(self.recent) > MEMO_WORDS:
             self.before, self.recent = self.recent, {}
         fresh = set().union(*split).difference(self.recent)
