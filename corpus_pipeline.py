@@ -11,14 +11,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import langid, packing, pii, quality, simhash
+from patchlens.llm import copies, langid, packing, pii, quality
 from patchlens.llm.common import cut, read
 from patchlens.llm.queries import PIECES, WORDS, vocabulary
 
-#: Near-duplicates: words of a shingle, 64-bit parts of a fingerprint, differing bits at most. Two texts of equal size
-#: with Jaccard similarity s share 2s/(1+s) of their shingles; at 0.8 that is 0.889, an angle of 27 degrees, so 19 of
-#: 128 bits differ on average, with a deviation of 4; the reach leaves room for that.
-SHINGLE, PARTS, REACH = 5, 2, 24
+#: Near-duplicates: words of a shingle, the least Jaccard similarity of a link (4/5), differing bits of candidates at
+#: most. Two texts of equal size with similarity 0.8 share 0.889 of their shingles, an angle of 27 degrees, so 28 of 192
+#: bits differ on average, with a deviation of 5; unrelated texts differ in 96 with a deviation of 7.
+SHINGLE, LEAST, REACH = 5, (4, 5), 52
 
 #: Nats a byte by which a learned language must explain a text's letters better than bytes drawn evenly. Texts of the
 #: learned languages come to 2 or more, other scripts and noise to 1.3 or less.
@@ -46,8 +46,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group, one row of it."""
-    found = simhash.near_duplicates(docs, SHINGLE, REACH, PARTS)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = cut(copies.firsts(docs.select(F.col("doc_id").alias("key"), "text"), SHINGLE, LEAST, REACH).select(F.col("key").alias("doc_id")).distinct())
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return rows.dropDuplicates(["doc_id"])
 

@@ -353,3 +353,53 @@ def test_pipeline_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0 and rows.count() > 0
+
+
+# near copies
+
+
+def shingled(text, n=5):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def kept_by_hand(texts):
+    """Of texts by number: the smallest of each component of exact similarity 0.8 or more."""
+    sets = [shingled(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0]
+    return {min(i for i, r in enumerate(found) if r == root) for found in [roots(len(sets), links)] for root in set(found)}
+
+
+def related():
+    random.seed(12)
+    fresh = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for share in (0.95, 0.92, 0.9, 0.88, 0.85, 0.8, 0.7, 0.6):
+        for _ in range(6):
+            base = fresh(300)
+            # a run of fresh words at the end: similarity share / (2 - share)
+            texts += [" ".join(base[: int(300 * share)] + fresh(300 - int(300 * share))) for _ in range(2)]
+    line = " ".join(fresh(12))
+    for _ in range(4):  # one line many times, around it different words or the same
+        own = " ".join(fresh(60))
+        texts += [f"{own} {line}", " ".join([own] + [line] * 40), " ".join([" ".join(fresh(60))] + [line] * 40)]
+    base = fresh(200)
+    for i in range(40):  # a group of near copies, whose ends drift apart, and others that only come near
+        texts.append(" ".join(base[: 196 - 2 * (i % 4)] + fresh(4)))
+        texts.append(" ".join(base[:170] + fresh(30)))
+    return texts + [None, "", " \n", "one", "One", "one two"]
+
+
+def test_near_copies_are_exact(spark, block=16):
+    from patchlens.llm import copies
+
+    texts = related()
+    docs = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").repartition(5)
+    got = {r["key"] for r in copies.firsts(docs, corpus_pipeline.SHINGLE, corpus_pipeline.LEAST, corpus_pipeline.REACH, block).collect()}
+    assert got == kept_by_hand(texts)
+
+
+def test_pipeline_links_by_exact_similarity(spark):
+    texts = related()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == kept_by_hand(texts)
