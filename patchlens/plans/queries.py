@@ -421,6 +421,14 @@ def date_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.top(rows, 500, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey) AS rank FROM orders")
+def date_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date_sort without its limit."""
+    d = F.when(F.col("o_orderkey") % 10 == 0, "N/A").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", dates.aware(d).alias("d"))
+    return agg.ranked(rows, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
+
+
 @query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
 def date_range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "orders").filter(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz")))
