@@ -528,6 +528,51 @@ def conflict_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", long(F.size("c")).alias("blocks"), F.col("c")[0]["merge_conflict"].alias("block"))
 
 
+# over whole texts
+BREAKS = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+WHOLE = f"""SELECT doc_id, n, 'diff --git a/src/f' || doc_id % 7 || '.c b/src/f' || doc_id % 7 || '.c' || {NL} || '--- a/x' || {NL} || '+++ b/x' || {NL} || '@@ -1,2 +1,' || n + 1 || ' @@' || {NL} || ' keep' || {NL} || '-old' || {NL} || '+' || replace(w, {NL}, {NL} || '+') AS one,
+CASE WHEN doc_id % 2 = 0 THEN {NL} || 'diff --git a/lib/g.c b/lib/g.c' || {NL} || '--- a/y' || {NL} || '+++ b/y' || {NL} || '@@ -3 +3,2 @@ f' || {NL} || ' a' || {NL} || '+b' ELSE '' END AS two
+FROM (SELECT doc_id, w, length(w) - length(replace(w, {NL}, '')) + 1 AS n FROM (SELECT doc_id, regexp_replace(text, {BREAKS}, {NL}, 'g') AS w FROM documents))"""
+
+
+def _whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit patch of one or two files whose added lines are all of a document's."""
+    n = F.col("doc_id")
+    name = F.concat(F.lit("src/f"), (n % 7).cast("string"), F.lit(".c"))
+    parts = F.split("text", text.LINE_ENDS, -1)
+    one = F.concat(F.lit("commit "), n.cast("string"), F.lit("\ndiff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/x\n+++ b/x\n@@ -1,2 +1,"), (F.size(parts) + 1).cast("string"), F.lit(" @@\n keep\n-old\n+"), F.array_join(parts, "\n+"), F.lit("\n"))
+    two = F.when(n % 2 == 0, "diff --git a/lib/g.c b/lib/g.c\n--- a/y\n+++ b/y\n@@ -3 +3,2 @@ f\n a\n+b\n").otherwise("")
+    return t(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.concat(one, two).alias("d"))
+
+
+@query(f"""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS hunks, (2 + n + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END)::BIGINT AS total, (n + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS added, (1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS removed FROM ({WHOLE})""")
+def hunk_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    return _whole_diffs(spark, sf_dir).select("doc_id", diff.hunk_count(d).alias("hunks"), diff.line_counts(d).alias("c")).select("doc_id", "hunks", "c.*")
+
+
+@query(f"SELECT doc_id, substr(one, strpos(one, '@@ ')) || two AS hunks FROM ({WHOLE})")
+def hunk_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_diffs(spark, sf_dir).select("doc_id", diff.hunks_only(F.col("d")).alias("hunks"))
+
+
+@query(f"""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS sections, (6 + n)::BIGINT AS lines, 'src/f' || doc_id % 7 || '.c' AS file, CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END::BIGINT AS by_name, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS by_suffix, 1::BIGINT AS by_mention FROM ({WHOLE})""")
+def diff_filters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    found = _whole_diffs(spark, sf_dir).select("doc_id", diff.sections(F.col("d")).alias("s"))
+    count = lambda c: long(F.size(c))
+    return found.select(
+        "doc_id", count(s).alias("sections"), count(s[0]["lines"]).alias("lines"), diff.target(s[0]["header"]).alias("file"), count(diff.kept_by_name(s, F.array(F.lit("src/f3.c")))).alias("by_name"),
+        count(diff.kept_by_suffix(s, F.array(F.lit("root/lib/g.c")))).alias("by_suffix"), count(diff.kept_by_mention(s, F.lit("src/f"))).alias("by_mention"),
+    )
+
+
+@query(f"SELECT doc_id, one AS patch, ltrim(two, {NL}) AS other FROM ({WHOLE})")
+def patch_of_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    return _whole_diffs(spark, sf_dir).select("doc_id", diff.patch_of(d, F.col("name")).alias("patch"), diff.patch_of(d, F.lit("b/lib/g.c")).alias("other"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'src/p' || l_partkey || '.c' ELSE '' END AS failed, CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END AS total_hunks, CASE WHEN l_returnflag = 'R' THEN '1,4' ELSE '' END AS failed_hunks,
 CASE WHEN l_returnflag = 'A' THEN 'src/p' || l_partkey || '.c' ELSE '' END AS missing FROM lineitem""")
 def console_output(spark: SparkSession, sf_dir: str) -> DataFrame:
