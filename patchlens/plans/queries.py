@@ -573,6 +573,22 @@ def patch_of_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_diffs(spark, sf_dir).select("doc_id", diff.patch_of(d, F.col("name")).alias("patch"), diff.patch_of(d, F.lit("b/lib/g.c")).alias("other"))
 
 
+@query(f"""SELECT doc_id, 1::BIGINT AS blocks, '<<<<<<< DOWNSTREAM (version 14)' || {NL} || 'ours ' || doc_id || {NL} || '=======' || {NL} || regexp_replace(text, {BREAKS}, {NL}, 'g') || {NL} || '>>>>>>> UPSTREAM PATCH (commit c' || doc_id || ')' AS block FROM documents""")
+def conflict_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("int x;\n<<<<<<< HEAD\nours "), n, F.lit("\n=======\n"), F.col("text"), F.lit("\n>>>>>>> theirs\nint y;\n"))
+    found = t(spark, sf_dir, "documents").select("doc_id", diff.conflicts(made, F.lit("14"), F.concat(F.lit("c"), n)).alias("c"))
+    return found.select("doc_id", long(F.size("c")).alias("blocks"), F.col("c")[0]["merge_conflict"].alias("block"))
+
+
+@query(f"""SELECT doc_id, '```c' || {NL} || f || {NL} || '```' AS fenced, f AS back, array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), lambda x: x[2] || ': ' || x[1]), {NL}) AS numbered, f AS decoded
+FROM (SELECT doc_id, 'x' || text AS f, string_split(regexp_replace('x' || text, {BREAKS}, {NL}, 'g') || {NL} || 'end', {NL}) AS l FROM documents)""")
+def code_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("f")
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), F.col("text")).alias("f"))
+    return rows.select("doc_id", text.fenced(f, F.lit("c")).alias("fenced"), text.unfenced(F.concat(F.lit("```diff\n"), f, F.lit("\n```"))).alias("back"), text.numbered(F.concat(f, F.lit("\nend\n"))).alias("numbered"), text.decoded(F.base64(F.encode(f, "UTF-8"))).alias("decoded"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'src/p' || l_partkey || '.c' ELSE '' END AS failed, CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END AS total_hunks, CASE WHEN l_returnflag = 'R' THEN '1,4' ELSE '' END AS failed_hunks,
 CASE WHEN l_returnflag = 'A' THEN 'src/p' || l_partkey || '.c' ELSE '' END AS missing FROM lineitem""")
 def console_output(spark: SparkSession, sf_dir: str) -> DataFrame:
