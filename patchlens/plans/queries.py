@@ -458,6 +458,12 @@ def flatten_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.with_parents(rows, "failures", ["l_orderkey"])
 
 
+@query("SELECT l_linenumber, l_quantity, l_orderkey FROM lineitem")
+def flatten_with_parents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("failures"))
+    return reshape.with_parents(rows, "failures", ["l_orderkey"])
+
+
 @query("SELECT DISTINCT 'CVE-' || (2000 + p_size) || '-' || p_size AS cve FROM part WHERE p_size % 2 = 0")
 def cve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
