@@ -150,6 +150,17 @@ def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made_urls(spark, sf_dir).filter("page_id % 4 <> 3").select("page_id", url.commit_hash(u).alias("commit_hash"), url.project(u).alias("project"), url.download(u).alias("download"), url.fix_commit(u).alias("fix_commit"))
 
 
+@query(f"""SELECT page_id, nullif(regexp_extract(u, '([a-fA-F0-9]{{40}})', 1), '') AS commit_hash,
+CASE WHEN page_id % 4 = 0 THEN 'frameworks/m' || page_id WHEN page_id % 4 = 1 THEN 'kernel/m' || page_id WHEN page_id % 4 = 2 THEN 'kernel/common' END AS project,
+CASE WHEN page_id % 4 IN (0, 2) THEN u || '^!/?format=TEXT' WHEN page_id % 4 = 1 THEN u || '.diff' END AS download,
+CASE WHEN page_id % 4 IN (0, 2) THEN md5(url) || left(md5(url), 8) WHEN page_id % 4 = 1 THEN '/clo/la/kernel/m' || page_id || '/-/commit/' || md5(url) || left(md5(url), 8) ELSE rtrim(string_split({URL.format(2)}, '/+/')[-1], '^!') END AS fix_commit
+FROM ({MADE_URLS}) JOIN pages USING (page_id)""")
+def url_classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url_classify with the pages that keep their address: no project and no download at unknown hosts."""
+    u = F.col("u")
+    return _made_urls(spark, sf_dir).select("page_id", url.commit_hash(u).alias("commit_hash"), url.project(u).alias("project"), url.download(u).alias("download"), url.fix_commit(u).alias("fix_commit"))
+
+
 ITEMS = "SELECT l_orderkey, l_partkey, l_suppkey, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2, 3"
 
 
