@@ -45,10 +45,15 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group, one row of it."""
-    kept = cut(copies.firsts(docs.select(F.col("doc_id").alias("key"), "text"), SHINGLE, LEAST, REACH).select(F.col("key").alias("doc_id")).distinct())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Keeps of each group the row of the smallest doc_id (null comes last), of rows that are equal in all columns one.
+
+    Rows that share a doc_id, or have none, but not their other columns are told apart.
+    """
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*row, *(c.isNull() for c in row)).alias("row"))
+    rows = docs.select(key.alias("key"), "text", F.struct(*row).alias("_row"))
+    kept = cut(copies.firsts(rows.select("key", "text"), SHINGLE, LEAST, REACH).distinct())
+    return rows.join(kept, rows["key"].eqNullSafe(kept["key"]), "left_semi").dropDuplicates(["key"]).select("_row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,12 @@ def test_pipeline_links_by_exact_similarity(spark):
     texts = related()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == kept_by_hand(texts)
+
+
+def test_rows_without_own_ids_stay_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (1, c, None), (1, c, "y"), (2, c, "y"), (2, a + " z", "x"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((tuple(r) for r in corpus_pipeline.distinct(spark, docs, "").collect()), key=repr)
+    assert [r for r in got if r[1] != c] == sorted([(None, b, "x"), (2, a + " z", "x"), (3, None, None)], key=repr)
+    assert [r[0] for r in got if r[1] == c] == [1]
