@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -13,9 +13,9 @@ from .common import cut
 HOT, LEAST = 1000, 100
 
 
-def hottest(df: DataFrame, rows: str) -> list[Row]:
-    """The at most HOT rows of a table of keys with the most rows (a column that says how many), none below LEAST."""
-    return [r for r in df.orderBy(F.desc(rows)).limit(HOT).collect() if r[rows] >= LEAST]
+def hottest(df: DataFrame, rows: str, most: int = HOT) -> list[Row]:
+    """The at most `most` rows of a table of keys with the most rows (a column that says how many), none below LEAST."""
+    return [r for r in df.orderBy(F.desc(rows)).limit(most).collect() if r[rows] >= LEAST]
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, hot: list[Row], how: str = "inner") -> DataFrame:
@@ -31,6 +31,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: list[Row], how: str
     return some.unionByName(left.filter(F.coalesce(~common, F.lit(True))).join(right, key, how))
 
 
+def apart(df: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """df, which is cut and has one row for each combination of values, with `name`, a 64-bit hash of these, made unique.
+
+    Of rows that share a hash all but the first get another one; there are next to none, so they are collected.
+    """
+    twice = [r[name] for r in df.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(name).collect()]
+    if not twice:
+        return df
+    shared = F.col(name).isin(twice)
+    number = F.row_number().over(Window.partitionBy(name).orderBy(*values))
+    again = df.filter(shared).withColumn("_n", number).withColumn(name, F.when(F.col("_n") > 1, F.xxhash64(name, "_n")).otherwise(F.col(name))).drop("_n")
+    return cut(df.filter(~shared).unionByName(again))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge to another; edges: src, dst (long), in any order, repeated or not.
 
