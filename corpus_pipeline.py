@@ -47,13 +47,15 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the row of the smallest doc_id (null comes last), of rows that are equal in all columns one.
 
-    Rows that share a doc_id, or have none, but not their other columns are told apart.
+    Rows that share a doc_id, or have none, but not their other columns are told apart by 128 bits of the whole row.
+    Null and empty texts and those without words are one group. An empty table gives no rows.
     """
     row = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*row, *(c.isNull() for c in row)).alias("row"))
+    whole = [x for c in row for x in (c, c.isNull())]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*whole).alias("row"), F.xxhash64(F.lit("row"), *reversed(whole)).alias("more"))
     rows = docs.select(key.alias("key"), "text", F.struct(*row).alias("_row"))
     kept = cut(copies.firsts(rows.select("key", "text"), SHINGLE, LEAST, REACH).distinct())
-    return rows.join(kept, rows["key"].eqNullSafe(kept["key"]), "left_semi").dropDuplicates(["key"]).select("_row.*")
+    return rows.select("key", "_row").dropDuplicates(["key"]).join(kept, "key", "left_semi").select("_row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
