@@ -21,14 +21,16 @@ def hottest(df: DataFrame, rows: str, most: int = HOT) -> list[Row]:
 def lookup(left: DataFrame, right: DataFrame, key: str, hot: list[Row], how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key and is cut; how: inner or left; hot: the hottest of right's rows.
 
-    Rows of hot keys meet a broadcast of these; the others are shuffled.
+    Rows of hot keys meet a broadcast of these; the others are shuffled. The keys are data of that broadcast and no
+    literals, which plans would carry.
     """
     if not hot:
         return left.join(right, key, how)
-    few = F.broadcast(left.sparkSession.createDataFrame([tuple(r[c] for c in right.columns) for r in hot], right.schema))
-    common = F.col(key).isin([r[key] for r in hot])
-    some = left.filter(common).join(few, key, how)
-    return some.unionByName(left.filter(F.coalesce(~common, F.lit(True))).join(right, key, how))
+    few = left.sparkSession.createDataFrame([tuple(r[c] for c in right.columns) for r in hot], right.schema)
+    found = F.struct(*(c for c in right.columns if c != key)).alias("_hot")
+    marked = left.join(F.broadcast(few.select(key, found)), key, "left")
+    some = marked.filter("_hot IS NOT NULL").select(*left.columns, "_hot.*")
+    return some.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(right, key, how))
 
 
 def apart(df: DataFrame, name: str, values: list[str]) -> DataFrame:
@@ -77,7 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
         here = joined.select("node", F.col("to").alias("root"))
         if roots is not None:
             after = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            few = after.filter(F.col("root").isin([r["node"] for r in hot])).collect() if hot else []
+            known = here.sparkSession.createDataFrame([(r["node"],) for r in hot], "root bigint")
+            few = after.join(F.broadcast(known), "root", "left_semi").collect() if hot else []
             # hot nodes that no later round knows stay where they are
             few += [Row(root=r["node"], _to=None) for r in hot if r["node"] not in {x["root"] for x in few}]
             here = lookup(here, after, "root", few, "left").select("node", F.coalesce("_to", "root").alias("root"))
