@@ -10,7 +10,8 @@ backslash before the `|`, so marks never occur there and taking one away restore
 backslash and a line feed as two characters each. The loss mask covers the texts of assistant turns.
 
 Null texts and roles count as empty. Rows of one turn number follow by role, then text; a null number comes first, and
-a null conv_id is a conversation of its own. Equal rows are separate turns. An empty table gives no rows.
+a null conv_id is a conversation of its own. Equal rows are separate turns. A very long text is one row of the one
+batch that it fills. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, lengths, slices, small_batches
+from .common import column, cut, lengths, slices
 
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
@@ -92,7 +93,6 @@ def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Arra
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, part (ascending in a conversation), whole (no other part), n_turns, formatted, loss (array of start, end in characters)."""
     spark = turns.sparkSession
-    small_batches(spark)
     kind = turns.schema["conv_id"].dataType.simpleString()
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     picked = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -128,50 +128,80 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         yield unescape_role(role), unescape(text)
 
 
-def digest(parts: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its formatted parts."""
-    kind = parts.schema["conv_id"].dataType.simpleString()
+class Reader:
+    """What is read back from the formatted parts of one conversation, in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by conversation and part; a conversation may span batches."""
-        now, state = None, None
+    def __init__(self, conv: object):
+        self.conv, self.turns, self.chars, self.loss_chars = conv, 0, 0, 0
+        self.every, self.loss = hashlib.sha256(), hashlib.sha256()
 
-        def close(rows: list) -> None:
-            if state:
-                rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+    def add(self, formatted: str, loss: list[dict]) -> None:
+        for role, text in parse(formatted):
+            self.turns += 1
+            self.every.update(f"{role}\n{text}\n".encode())
+        for span in loss:
+            text = unescape(formatted[span["start"] : span["end"]])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        self.chars += len(formatted)
 
-        def batch_of(rows: list) -> pa.RecordBatch:
-            own = dict(zip(("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"), map(list, zip(*rows, strict=True)), strict=True))
-            return pa.RecordBatch.from_pydict({"conv_id": pa.array(own.pop("conv_id"), conv_type)} | {k: pa.array(v) for k, v in own.items()})
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.every.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
-        for batch in slices(batches, "formatted"):
-            rows: list = []
-            conv_type = column(batch, "conv_id").type
-            for conv, formatted, loss in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
-                if state is None or conv != now:
-                    close(rows)
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(formatted):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                for span in loss:
-                    text = unescape(formatted[span["start"] : span["end"]])
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(formatted)
-            if rows:
-                yield batch_of(rows)
-        rows = []
-        close(rows)
-        if rows:
-            yield batch_of(rows)
 
+DIGEST = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+
+def table(rows: list[tuple], conv: pa.DataType) -> dict[str, pa.Array]:
+    each = list(zip(*rows, strict=True)) or [()] * (1 + len(DIGEST))
+    return {n: pa.array(list(x), k) for (n, k), x in zip([("conv_id", conv), *DIGEST.items()], each, strict=True)}
+
+
+def digest(parts: DataFrame) -> DataFrame:
+    """One row per conversation, read back from its formatted parts.
+
+    A part that is whole is digested by the task that formatted it. Only the others are stored, and meet again by
+    conversation and part; as a digest goes on from byte to byte, a long conversation is streamed through one task.
+    """
+    kind = parts.schema["conv_id"].dataType.simpleString()
     out = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    stored = cut(parts)
-    names = ["conv_id", "formatted", "loss"]
-    inside = stored.filter("whole").select(*names).mapInArrow(run, out)
-    across = stored.filter("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "part").select(*names).mapInArrow(run, out)
-    return inside.unionByName(across)
+    carried = ["part", "formatted", "loss"]
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole, conv = column(batch, "whole"), column(batch, "conv_id")
+            done = batch.filter(whole)
+            rows = []
+            for name, formatted, loss in zip(*(column(done, c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
+                reader = Reader(name)
+                reader.add(formatted, loss)
+                rows.append(reader.row())
+            if rows:
+                yield pa.RecordBatch.from_pydict(table(rows, conv.type) | {c: pa.nulls(len(rows), column(batch, c).type) for c in carried})
+            rest = batch.filter(pc.invert(whole))
+            if rest.num_rows:
+                yield pa.RecordBatch.from_pydict({"conv_id": column(rest, "conv_id")} | {n: pa.nulls(rest.num_rows, k) for n, k in DIGEST.items()} | {c: column(rest, c) for c in carried})
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, conv = None, None
+        for batch in slices(batches, "formatted"):
+            rows, conv = [], column(batch, "conv_id").type
+            for name, formatted, loss in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
+                if reader is None or name != reader.conv:
+                    rows += [reader.row()] if reader else []
+                    reader = Reader(name)
+                reader.add(formatted, loss)
+            if rows:
+                yield pa.RecordBatch.from_pydict(table(rows, conv))
+        if reader:
+            yield pa.RecordBatch.from_pydict(table([reader.row()], conv))
+
+    stored = cut(parts.mapInArrow(inside, f"{out}, part bigint, formatted string, loss array<struct<start:int,end:int>>"))
+    names = out.replace(",", "").split()[::2]
+    rest = stored.filter("formatted is not null").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return stored.filter("formatted is null").select(*names).unionByName(rest.select("conv_id", "formatted", "loss").mapInArrow(across, out))
 
 
 def duck_sql() -> str:
