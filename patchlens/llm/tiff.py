@@ -1,11 +1,15 @@
 """TIFF media columns: a reader that emits one row per page, and a writer for lossless 8-bit payloads.
 
 The reader walks the chain of image directories (either byte order), decodes PackBits, LZW, deflate or plain strips
-and tiles, undoes horizontal differencing, and gives each page's samples row by row. A page that cannot be decoded is
-a row with its error and null samples; the pages before it stay. Null and empty media give no rows.
+and tiles, together or in planes, undoes horizontal differencing of whole numbers of 8 to 64 bits and the byte-wise
+differencing of floating-point ones, and gives each page's samples row by row: little-endian, samples of fewer than 8 bits as a byte
+each. A page that cannot be decoded is a row with its error and null samples; the pages before it stay. Null and empty
+media give no rows, repeated rows give theirs again, and an empty table gives none. Rows leave in batches of bounded
+bytes, a file at a time; a page is held whole.
 
 The writer lays a payload out as grey pages, WIDTH samples wide. Which codec a payload gets depends on its CRC alone,
-so equal payloads give equal files and a corpus passes through every decoder.
+so equal payloads give equal files and a corpus passes through every decoder. What is read back comes as the same page
+rows. A null text counts as empty, a very long one has many pages.
 """
 
 from __future__ import annotations
@@ -21,16 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, small_batches
+from .common import column, slices
 
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 128, 16, (192, 64)
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Codec, horizontal differencing, tiles, by the remainder of the payload's CRC.
 LAYOUTS = ((PACKBITS, False, False), (LZW, False, False), (DEFLATE, True, True), (DEFLATE, True, False))
 #: Format constants: directory tags and the sizes of the field types that the reader takes.
-TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "strip_rows": 278, "strip_counts": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325}
+TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "strip_rows": 278, "strip_counts": 279, "planar": 284, "predictor": 317, "fill_order": 266, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325, "sample_format": 339}
 TYPES = {1: "B", 3: "H", 4: "I"}
 CLEAR, STOP, WIDEST = 256, 257, 4094
+#: Predictors, and the sample format of floating-point numbers.
+HORIZONTAL, FLOATING, REAL = 2, 3, 3
+#: Every byte with its bits the other way round.
+TURNED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).tobytes()
+#: Bytes of the pages that leave in one batch, about.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass
@@ -39,10 +49,11 @@ class Page:
     width: int = 0
     height: int = 0
     samples: int = 0
+    bits: int = 0
     compression: int = 0
     predictor: int = 0
     tiled: bool = False
-    data: np.ndarray | None = None  # [row, width * samples]
+    data: np.ndarray | None = None  # [row, bytes]
     error: str | None = None
 
 
@@ -252,84 +263,119 @@ def read_pages(media: bytes) -> Iterator[Page]:
                     inside = struct.calcsize(form) <= 4
                     fields[tag] = struct.unpack_from(form, media, place + 8 if inside else struct.unpack_from(order + "I", media, place + 8)[0])
             (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * count)
-            decode_page(media, fields, page)
+            decode_page(media, fields, page, order)
         except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
             page.error, page.data, at = f"{type(e).__name__}: {e}", None, 0
         yield page
         number += 1
 
 
-def decode_page(media: bytes, fields: dict[int, tuple[int, ...]], page: Page) -> None:
+def undone(raw: bytes, rows: int, across: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
+    """Samples of a strip or tile [row, place, byte], little-endian, after its predictor."""
+    size = max(1, bits // 8)
+    values = across * samples
+    wide = -(-values * bits // 8)
+    block = np.frombuffer(raw, np.uint8, rows * wide).reshape(rows, wide)
+    if bits < 8:
+        own = np.unpackbits(block, axis=1)[:, : wide * 8 // bits * bits].reshape(rows, -1, bits)
+        return (own[:, :values] << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8).reshape(rows, values, 1)
+    if predictor == FLOATING:
+        # differences run through the whole row, which holds the highest byte of all values, then the next
+        planes = np.cumsum(block.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, size, values)
+        return planes[:, ::-1].transpose(0, 2, 1)
+    kind = np.dtype(f"u{size}").newbyteorder(order)
+    own = block.reshape(-1).view(kind).astype(kind.newbyteorder("<")).reshape(rows, across, samples)
+    if predictor == HORIZONTAL:
+        own = np.cumsum(own, axis=1, dtype=own.dtype)
+    return np.ascontiguousarray(own).view(np.uint8).reshape(rows, values, size)
+
+
+def decode_page(media: bytes, fields: dict[int, tuple[int, ...]], page: Page, order: str) -> None:
     one = lambda name, default=None: fields[TAGS[name]][0] if default is None else fields.get(TAGS[name], (default,))[0]
     page.width, page.height, page.samples = one("width"), one("height"), one("samples", 1)
-    page.compression, page.predictor = one("compression", PLAIN), one("predictor", 1)
+    page.compression, page.predictor, page.bits = one("compression", PLAIN), one("predictor", 1), one("bits", 1)
     page.tiled = TAGS["tile_offsets"] in fields
-    if set(fields.get(TAGS["bits"], (8,))) != {8} or page.samples > 1 and one("planar", 1) != 1 or page.predictor not in (1, 2):
-        raise ValueError("samples of other than 8 bits, in planes, or of another predictor")
+    real = one("sample_format", 1) == REAL
+    if len(set(fields.get(TAGS["bits"], (1,)))) > 1 or page.bits not in (1, 2, 4, 8, 16, 32, 64):
+        raise ValueError("samples of unequal or odd sizes")
+    if page.predictor not in (1, HORIZONTAL, FLOATING) or page.predictor == HORIZONTAL and page.bits < 8 or page.predictor == FLOATING and not (real and page.bits > 8):
+        raise ValueError("a predictor that these samples cannot have")
+    planes = page.samples if one("planar", 1) == 2 else 1
+    together = page.samples // planes
     across, down = (one("tile_width"), one("tile_height")) if page.tiled else (page.width, min(page.height, one("strip_rows", page.height)))
     kind = "tile" if page.tiled else "strip"
     places, sizes = fields[TAGS[f"{kind}_offsets"]], fields[TAGS[f"{kind}_counts"]]
-    columns = -(-page.width // across)
-    if len(places) < columns * -(-page.height // down):
+    columns, bands = -(-page.width // across), -(-page.height // down)
+    if len(places) < columns * bands * planes:
         raise ValueError("strips or tiles are missing")
-    out = np.empty((page.height, page.width * page.samples), np.uint8)
-    for k in range(columns * -(-page.height // down)):
-        y, x = k // columns * down, k % columns * across
+    size = max(1, page.bits // 8)
+    out = np.empty((page.height, page.width, page.samples, size), np.uint8)
+    for k in range(columns * bands * planes):
+        plane, at = divmod(k, columns * bands)
+        y, x = at // columns * down, at % columns * across
         rows = down if page.tiled else min(down, page.height - y)
-        raw = decode(media[places[k] : places[k] + sizes[k]], page.compression)
-        block = np.frombuffer(raw, np.uint8, rows * across * page.samples).reshape(rows, across, page.samples)
-        if page.predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        block = block[: page.height - y, : page.width - x].reshape(min(rows, page.height - y), -1)
-        out[y : y + len(block), x * page.samples : x * page.samples + block.shape[1]] = block
-    page.data = out
+        stored = media[places[k] : places[k] + sizes[k]]
+        raw = decode(stored.translate(TURNED) if one("fill_order", 1) == 2 else stored, page.compression)
+        block = undone(raw, rows, across, together, page.bits, page.predictor, order).reshape(rows, across, together, size)
+        block = block[: page.height - y, : page.width - x]
+        out[y : y + block.shape[0], x : x + block.shape[1], plane : plane + together] = block
+    page.data = out.reshape(page.height, -1)
+
+
+def page_rows(media: bytes | None) -> Iterator[dict]:
+    """The row of each page of a file."""
+    for p in read_pages(media) if media else ():
+        yield {"page": p.number, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "data": None if p.data is None else p.data.tobytes(), "error": p.error}
 
 
 def pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """One row per page: key, page, width, height, samples, compression, predictor, tiled, data, error."""
-    small_batches(df.sparkSession)
+    """One row per page: key, page, width, height, samples, bits, compression, predictor, tiled, data, error."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for own, stored in zip(column(batch, "_key").to_pylist(), column(batch, "_media").to_pylist(), strict=True):
-                for p in read_pages(stored) if stored else ():
-                    row = {"key": own, "page": p.number, "width": p.width, "height": p.height, "samples": p.samples, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "data": None if p.data is None else p.data.tobytes(), "error": p.error}
-                    yield pa.RecordBatch.from_pylist([row | {key: row.pop("key")}], schema)
-
-    out = f"page int, width int, height int, samples int, compression int, predictor int, tiled boolean, data binary, error string, `{key}` {kind}"
+            for own, stored in zip(column(batch, "_key"), column(batch, "_media"), strict=True):
+                for row in page_rows(stored.as_py()):
+                    rows.append(row | {key: own.as_py()})
+                    size += len(row["data"] or b"")
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    out = f"page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string, `{key}` {kind}"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], out).schema)
     return df.select(F.col(key).alias("_key"), F.col(media).alias("_media")).mapInArrow(run, out)
 
 
-def feature(found: list[Page]) -> str:
+def feature(rows: list[dict]) -> str:
     """Pages, mean and deviation in thousandths, and which of 64 equal parts are brighter than the mean."""
-    data = np.concatenate([p.data.ravel() for p in found])
+    data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
     parts = data[: len(data) // 64 * 64].reshape(64, -1).mean(1)
     bright = np.packbits(parts > parts.mean()).tobytes().hex()
-    return f"{len(found)}:{round(float(data.mean()) * 1000)}:{round(float(data.std()) * 1000)}:{bright}"
+    return f"{len(rows)}:{round(float(data.mean()) * 1000)}:{round(float(data.std()) * 1000)}:{bright}"
 
 
 def round_trip(text: bytes) -> dict:
-    """Stores a text as TIFF, reads the stored bytes back, and digests what came back."""
+    """Stores a text as TIFF, reads the stored bytes back as page rows, and digests what these hold."""
     payload = text + b"\xff" * ((-len(text)) % WIDTH or (0 if text else WIDTH))
     media = store(payload)
-    found = list(read_pages(media))
-    if bad := [p.error for p in found if p.error]:
+    rows = list(page_rows(media))
+    if bad := [r["error"] for r in rows if r["error"]]:
         raise ValueError(bad[0])
     digest, tail, size = hashlib.sha256(), b"", 0
-    for p in found:
-        part = p.data.tobytes()
-        digest.update(part)
-        tail, size = (tail + part)[-32:], size + len(part)
-    return {"n_bytes": len(text), "payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(found)}
+    for r in rows:
+        digest.update(r["data"])
+        tail, size = (tail + r["data"])[-32:], size + len(r["data"])
+    return {"n_bytes": len(text), "payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(rows)}
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """Every text (null: empty) through round_trip()."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
