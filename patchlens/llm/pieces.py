@@ -1,20 +1,30 @@
-"""SentencePiece encoding and decoding as shortest paths of a weighted finite-state transducer.
+"""SentencePiece encoding and decoding as shortest paths of weighted finite-state transducers.
 
-A model file is compiled into three transducers. The normaliser adds the leading space, folds spaces as the model says
-and writes them as the boundary mark. The piece transducer is a trie over the vocabulary; its arcs carry weights in the
-tropical semiring. Byte fallback spells a character that no piece covers. An input is composed with them position by
-position, and the shortest path is the encoding.
+A model file is compiled into transducers over the tropical semiring:
 
-Unigram models weigh a piece with its negated score. Byte-pair models have no such additive scores: a segmentation is
-what merging gives if and only if merging would leave every two neighbouring pieces as they are. So for these the states
-are the last pieces, an arc from piece to piece weighs nothing if merging leaves the pair apart and infinitely much
-otherwise, and exactly one path of finite weight reaches each position.
+* the normaliser rewrites by the model's character map (longest match in a trie; no map: every character to itself),
+  folds spaces, adds the leading space and writes spaces as the boundary mark;
+* the piece transducer is a trie over the vocabulary; reading a piece to its end emits its id for the piece's weight and
+  goes back to the root;
+* byte fallback reads a character that is no piece and emits the ids of its UTF-8 bytes, for a weight above any piece's;
+* for byte-pair models the merge transducer reads ids, its state being the last one.
+
+An input word is an acceptor of its characters. It is composed with the pieces and the bytes, and their output with the
+merges, on the fly: a state is a place in the word and a state of the merges. The shortest path through the composition
+from the first place to the last is the encoding, found in the order of places, which is a topological one.
+
+Unigram models weigh a piece with its negated score, and the merge transducer has one state. Byte-pair models have no
+additive scores: a segmentation is what merging gives if and only if merging would leave every two neighbouring pieces as
+they are. So there a piece weighs 1, the merge transducer weighs nothing for a pair that merging leaves apart and
+infinitely much for any other.
 
 No piece crosses from another character to a boundary mark, so inputs are composed word by word, and a word is cut
 wherever no piece holds its two characters side by side. Words and these parts are remembered within a bound.
 
-Null and empty texts have no ids. Decoding gives the normalised text back without the leading space; a boundary mark
-in a text reads back as a space. Ids that are no pieces, and control pieces, decode to nothing.
+Null and empty texts have no ids. Equal texts have equal ids, repeated rows stay separate rows, an empty table gives no
+rows. A long text is composed word by word; a word of any length needs memory in proportion to it. Decoding gives the
+normalised text back without the leading space; a boundary mark in a text reads back as a space. Ids that are no pieces,
+and control pieces, decode to nothing.
 """
 
 from __future__ import annotations
@@ -32,96 +42,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, small_batches
+from .common import column, slices
 
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers: so many recent ones (of words, as many before them).
 MEMO_WORDS, MEMO_PAIRS, MEMO_CHARS = 200_000, 1_000_000, 64
+#: Types of pieces and of models, and what a character without a piece weighs above the dearest piece.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-
-
-class Transducer:
-    """A compiled model; it travels as the path of its file."""
-
-    def __init__(self, path: str):
-        self.path, self.ready = path, False
-
-    def __getstate__(self):
-        return self.path
-
-    def __setstate__(self, path):
-        self.__init__(path)
-
-    def compile(self) -> Transducer:
-        if self.ready:
-            return self
-        from sentencepiece import sentencepiece_model_pb2 as proto
-
-        model = proto.ModelProto()
-        with open(self.path, "rb") as f:
-            model.ParseFromString(f.read())
-        rules = model.normalizer_spec
-        if rules.precompiled_charsmap or not rules.escape_whitespaces or model.trainer_spec.model_type not in (1, 2):
-            raise ValueError("only unigram and byte-pair models without a character map are compiled")
-        self.pairs = model.trainer_spec.model_type == 2
+UNIGRAM, PAIRS = 1, 2
+PENALTY = 10.0
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a model's character map rewrites: a double-array trie over UTF-8, whose leaves are places in a pool of strings."""
+    size = int.from_bytes(blob[:4], "little")
+    units = np.frombuffer(blob, "<u4", size // 4, 4)
+    pool = blob[4 + size :]
+    labels = np.arange(1, 256, dtype=np.int64)
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    out: dict[str, str] = {}
+    queue = [(offset(int(units[0])), b"")]
+    while queue:
+        base, key = queue.pop()
+        places = base ^ labels
+        inside = places < len(units)
+        places, read = places[inside], labels[inside]
+        for place, label in zip(*(x[(units[places] & 0x800000FF) == read].tolist() for x in (places, read)), strict=True):
+            unit = int(units[place])
+            after, longer = place ^ offset(unit), key + bytes((label,))
+            if unit >> 8 & 1:
+                at = int(units[after]) & 0x7FFFFFFF
+                out[longer.decode("utf-8", "replace")] = pool[at : pool.index(b"\0", at)].decode()
+            queue.append((after, longer))
+    return out
+
+
+class Normaliser:
+    """The first transducer: text to what the pieces read."""
+
+    def __init__(self, rules):
+        if not rules.escape_whitespaces:
+            raise ValueError("only models that escape spaces are compiled")
         self.prefix, self.fold = rules.add_dummy_prefix, rules.remove_extra_whitespaces
-        self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
-        self.score = [p.score for p in model.pieces]
-        self.bytes_at = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.longest = max(map(len, self.id_of))
-        inside = {c for p in self.id_of if len(p) > 1 for c in p}
-        if any(MARK in p.lstrip(MARK) for p in self.id_of):
-            raise ValueError("a piece goes across a boundary")
-        lone = "".join(c for c in map(chr, range(32)) if c not in inside)
-        self.words = re.compile(f"{MARK}*[^{MARK}{re.escape(lone)}]+|{MARK}+|[{re.escape(lone)}]")
-        spelled = [p.piece.encode() if p.type in (NORMAL, USER) else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" for p in model.pieces]
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self.spelled_sizes = np.array([*map(len, spelled), 0], np.int64)  # the last is for ids out of range
-        self.spelled_at = np.cumsum(self.spelled_sizes) - self.spelled_sizes
-        self.recent: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.sound: dict[str, bool] = {}
-        self.touching = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        # the pieces backwards: a node is (children, id or -1)
-        self.trie: list = [{}, -1]
-        for piece, at in self.id_of.items():
+        # a node of the trie is (children, what is written or None)
+        self.trie: list = [{}, None]
+        rewritten = character_map(rules.precompiled_charsmap) if rules.precompiled_charsmap else {}
+        for read, write in rewritten.items():
             node = self.trie
-            for c in reversed(piece):
-                node = node[0].setdefault(c, [{}, -1])
-            node[1] = at
-        self.spelling = [p.piece for p in model.pieces]
-        self.fast: dict[int, bool] = {}
-        self.ready = True
-        return self
-
-    # the normaliser
-    def normalise(self, text: str) -> str:
+            for c in read:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = write
+        self.begins = re.compile(f"[{''.join(map(re.escape, sorted(self.trie[0])))}]") if rewritten else None
+
+    def rewrite(self, text: str) -> str:
+        if self.begins is None:
+            return text
+        out, done = [], 0
+        for m in self.begins.finditer(text):
+            if m.start() < done:
+                continue
+            node, at, found = self.trie, m.start(), None
+            while at < len(text) and (node := node[0].get(text[at])) is not None:
+                at += 1
+                if node[1] is not None:
+                    found = at, node[1]
+            if found:
+                out += [text[done : m.start()], found[1]]
+                done = found[0]
+        return "".join([*out, text[done:]])
+
+    def __call__(self, text: str) -> str:
+        text = self.rewrite(text)
         if self.fold:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    # what merging does, by its definition: the best scored pair first, the leftmost of equals
+
+class Merges:
+    """The last transducer of byte-pair models: reads ids, its state is the last one (-1: none, below: a character without a piece)."""
+
+    def __init__(self, spelling: list[str], id_of: dict[str, int], score: list[float]):
+        self.spelling, self.id_of, self.score = spelling, id_of, score
+        self.known: dict[int, float] = {}
+        self.sound: dict[str, bool] = {}
+
+    def weight(self, last: int, piece: int) -> float:
+        """0 if merging leaves the two apart, and gives the piece from its characters; else infinite."""
+        if piece < -1:
+            return 0.0
+        key = (max(last, -1) + 1 << 24) + piece
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > MEMO_PAIRS:
+                self.known.clear()
+            right = self.spelling[piece]
+            fine = self.whole(right) and (last < 0 or self.stay(self.spelling[last], right))
+            found = self.known[key] = 0.0 if fine else math.inf
+        return found
+
     def merged(self, text: str) -> list[str]:
-        if len(text) > 40:
-            return self.merged_long(text)
-        known, score = self.id_of, self.score
-        parts = list(text)
-        rank = [-score[at] if (at := known.get(a + b)) is not None else math.inf for a, b in zip(parts, parts[1:], strict=False)]
-        while rank and (best := min(rank)) < math.inf:
-            i = rank.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del rank[i]
-            for k in (i - 1, i):
-                if 0 <= k < len(rank):
-                    at = known.get(parts[k] + parts[k + 1])
-                    rank[k] = -score[at] if at is not None else math.inf
-        return parts
-
-    def merged_long(self, text: str) -> list[str]:
-        """The same with a heap."""
+        """What merging does, by its definition: the best scored pair first, the leftmost of equals."""
         parts: list[str | None] = list(text)
         after = [*range(1, len(parts)), -1]
         ahead = [*range(-1, len(parts) - 1)]
@@ -155,73 +177,114 @@ class Transducer:
 
     def stay(self, left: str, right: str) -> bool:
         """Merging leaves two pieces apart."""
-        if left + right in self.id_of:
-            return False
-        return self.merged(left + right) == [left, right]
+        return left + right not in self.id_of and self.merged(left + right) == [left, right]
 
-    def path_of(self, word: str) -> list[str]:
-        """The pieces of the shortest path through a word; a character without a piece stands for its bytes."""
-        n, known = len(word), self.id_of
-        last: list[str | None] = [None] * (n + 1)
-        weight = [0.0] + [math.inf] * n
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                piece = word[begin:end]
-                if end - begin > 1 and piece not in known:
-                    continue
-                if not self.pairs:
-                    # a character without a piece is dearer than any
-                    cost = weight[begin] - (self.score[known[piece]] if piece in known else min(self.score) - 10)
-                    if cost < weight[end]:
-                        last[end], weight[end] = piece, cost
-                elif self.whole(piece) and (begin == 0 or last[begin] is not None and self.stay(last[begin], piece)):
-                    last[end], weight[end] = piece, 0.0
-                    break
-            if last[end] is None:
-                raise ValueError("no path")
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
 
-    def pairs_path(self, word: str) -> list[int] | None:
-        """Ids of a word's path in a byte-pair model; None if a character has no piece."""
-        n = len(word)
-        last, begins = [-1] * (n + 1), [0] * (n + 1)
-        fast, trie = self.fast, self.trie
-        for end in range(1, n + 1):
-            node, found = trie, []
+class Transducer:
+    """A compiled model; it travels as the path of its file."""
+
+    merges: Merges | None = None
+    trie: list | None = None
+
+    def __init__(self, path: str):
+        self.path, self.ready = path, False
+
+    def __getstate__(self):
+        return self.path
+
+    def __setstate__(self, path):
+        self.__init__(path)
+
+    def compile(self) -> Transducer:
+        if self.ready:
+            return self
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto()
+        with open(self.path, "rb") as f:
+            model.ParseFromString(f.read())
+        kind = model.trainer_spec.model_type
+        if kind not in (UNIGRAM, PAIRS) or model.trainer_spec.treat_whitespace_as_suffix or any(p.type == USER for p in model.pieces):
+            raise ValueError("only unigram and byte-pair models without pieces of users are compiled")
+        self.normalise = Normaliser(model.normalizer_spec)
+        self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.score = [p.score for p in model.pieces]
+        self.merges = Merges([p.piece for p in model.pieces], self.id_of, self.score) if kind == PAIRS else None
+        self.link()
+        self.bytes_at = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
+        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
+        if any(MARK in p.lstrip(MARK) for p in self.id_of):
+            raise ValueError("a piece goes across a boundary")
+        inside = {c for p in self.id_of if len(p) > 1 for c in p}
+        lone = "".join(c for c in map(chr, range(32)) if c not in inside)
+        self.words = re.compile(f"{MARK}*[^{MARK}{re.escape(lone)}]+|{MARK}+|[{re.escape(lone)}]")
+        spelled = [p.piece.encode() if p.type == NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" for p in model.pieces]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_sizes = np.array([*map(len, spelled), 0], np.int64)  # the last is for ids out of range
+        self.spelled_at = np.cumsum(self.spelled_sizes) - self.spelled_sizes
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.touching = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.ready = True
+        return self
+
+    def link(self) -> None:
+        """The piece transducer, read from a piece's end: a node is (children, id or -1, weight)."""
+        self.trie = [{}, -1, 0.0]
+        for piece, at in self.id_of.items():
+            node = self.trie
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1:] = at, 1.0 if self.merges else -self.score[at]
+        self.dearest = 1.0 if self.merges else PENALTY - min(self.score[i] for i in self.id_of.values())
+
+    def shortest(self, word: str) -> list[tuple[int, int]]:
+        """(end, label) along the shortest path through the composition, in the tropical semiring.
+
+        The label of a character without a piece is -2 less its code. A place of the word is met in one state of the
+        merges at most, so a state of the composition is a place: merging splits each beginning of a word in one way.
+        Ties go to the arc that begins first.
+        """
+        if self.trie is None:
+            self.link()
+        size, trie, merges, dearest, inf = len(word), self.trie, self.merges, self.dearest, math.inf
+        known = merges.known if merges else {}
+        weight, labels, begins = [0.0] + [inf] * size, [-1] * (size + 1), [0] * (size + 1)
+        for end in range(1, size + 1):
+            node, arcs = trie, []
             for begin in range(end - 1, -1, -1):
                 node = node[0].get(word[begin])
                 if node is None:
                     break
                 if node[1] >= 0:
-                    found.append((begin, node[1]))
-            for begin, at in reversed(found):
-                left = last[begin]
-                key = (left + 1 << 24) + at  # nothing before a piece: is it what merging gives?
-                fits = fast.get(key)
-                if fits is None:
-                    if len(fast) > MEMO_PAIRS:
-                        fast.clear()
-                    right = self.spelling[at]
-                    if begin == 0:
-                        fits = self.whole(right)
-                    else:
-                        fits = self.whole(right) and self.stay(self.spelling[left], right)
-                    fast[key] = fits
-                if fits:
-                    last[end], begins[end] = at, begin
-                    break
-            else:
-                return None
-        out, at = [], n
+                    arcs.append((begin, node[1], node[2]))
+            if not arcs or arcs[0][0] != end - 1:
+                arcs.insert(0, (end - 1, -2 - ord(word[end - 1]), dearest))
+            least = inf
+            for begin, label, more in reversed(arcs):
+                total = weight[begin] + more
+                if merges is not None:
+                    last = labels[begin]
+                    apart = known.get((last + 1 << 24) + label) if last >= -1 and label >= 0 else None
+                    total += merges.weight(last, label) if apart is None else apart
+                if total < least:
+                    least, labels[end], begins[end] = total, label, begin
+                    if merges is not None:  # no other arc is finite
+                        break
+            weight[end] = least
+        if weight[size] == inf:
+            raise ValueError("no path")
+        out, at = [], size
         while at:
-            out.append(last[at])
+            out.append((at, labels[at]))
             at = begins[at]
         return out[::-1]
 
+    def path_of(self, word: str) -> list[str]:
+        """The pieces of the shortest path, as the word spells them."""
+        ends = [end for end, _ in self.shortest(word)]
+        return [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def parts(self, word: str) -> list[str]:
         """A word cut where no piece could go across."""
         touching, out, at = self.touching, [], 0
@@ -233,22 +296,19 @@ class Transducer:
         return out
 
     def ids(self, word: str) -> list[int]:
-        if self.pairs and (found := self.pairs_path(word)) is not None:
-            return found
         out: list[int] = []
-        for piece in self.path_of(word):
-            at = self.id_of.get(piece)
-            if at is not None:
-                out.append(at)
+        for _, label in self.shortest(word):
+            if label >= 0:
+                out.append(label)
             elif self.bytes_at:
-                out += [self.bytes_at[b] for b in piece.encode()]
+                out += [self.bytes_at[b] for b in chr(-2 - label).encode("utf-8", "replace")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
     def learn(self, word: str) -> bytes:
         parts = self.parts(word)
-        if len(parts) == 1 or not self.bytes_at:  # without bytes, unknown characters side by side are one id
+        if len(parts) == 1 or not self.bytes_at:  # without bytes, characters without a piece side by side are one id
             return array("i", self.ids(word)).tobytes()
         out = []
         for part in parts:
@@ -284,7 +344,7 @@ class Transducer:
         ends = np.cumsum(sizes)
         place = np.arange(sizes.sum()) + np.repeat(self.spelled_at[found] - (ends - sizes), sizes)
         text = self.spelled[place].tobytes().decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.normalise.prefix and text.startswith(" ") else text
 
 
 def encode(docs: DataFrame, model: Transducer) -> DataFrame:
@@ -308,7 +368,6 @@ def round_trip(docs: DataFrame, model: Transducer) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, model: Transducer, fields: str, made, shared=None) -> DataFrame:
-    small_batches(docs.sparkSession)
     shared = shared or docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
