@@ -11,34 +11,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS = 1000
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of what runs next in this session."""
-    now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    if not 0 < int(now) <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> None:
-    """checkpoint() goes to the folder that spark.checkpoint.dir names; a local one only where it is unset (tests)."""
+    """checkpoint() goes to the folder that spark.checkpoint.dir names; a local one only where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "patchlens-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder: a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage through the shared checkpoint folder: a lost executor costs no recomputation.
+
+    A checkpoint hands the planner's guess of its size and its constraints on to the next plan. A join guesses the
+    product of its sides, so from one round of joins to the next these numbers have several times the digits, until
+    planning takes minutes and the driver's memory; the rows are therefore taken over without either.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    stored = df._jdf.checkpoint()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def remainder(column: str, modulus: int) -> Column:
@@ -55,8 +54,8 @@ def lengths(text: pa.Array) -> np.ndarray:
     return sizes
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice has at most `most` bytes of text, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice has at most `most` bytes of text and `rows` rows, or is a single row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
             yield batch.slice(at, upto - at)
             at = upto
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, slices, small_batches
+from .common import column, cut, slices
 from .graph import apart, components, hottest, lookup, union
 from .simhash import ASCII_LOWER, forest
 
@@ -250,7 +250,6 @@ def firsts(docs: DataFrame, size: int, least: tuple[int, int], reach: int, block
     least: the Jaccard similarity of a link, as a fraction; reach: differing bits of candidates at most.
     """
     docs = docs.select("key", F.col("text").cast("string").alias("text"))
-    small_batches(docs.sparkSession)
     seen = cut(printed(docs, size).groupBy("set", *NAMES).agg(F.min("key").alias("key"), F.any_value("bands").alias("bands")))
     every = apart(seen, "set", NAMES)
     group = components(candidates(every, reach)).withColumnRenamed("node", "set").withColumnRenamed("root", "group")

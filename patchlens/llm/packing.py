@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, slices, small_batches
+from .common import column, cut, slices
 
 LENGTH = 4096
 END = 1
@@ -174,7 +174,6 @@ class Tokenizer:
 
 def pieces(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, row (tells equal ids apart), piece, start, length, ids_crc32 of each piece; nothing of the text stays."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lengths, slices, small_batches
+from .common import column, lengths, slices
 
 WIDTH, STRIDE, DIM, FILTERS = 16, 8, 8, 32
 PAD = 256
@@ -160,7 +160,6 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: in
 def score(docs: DataFrame, network: Network, more: list[str] | None = None) -> DataFrame:
     """doc_id, the columns of `more`, and score, for each row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(network)
     names = list(dict.fromkeys(["doc_id", *(more or [])]))
     picked = docs.select(*names, F.col("text").cast("string").alias("_text"))

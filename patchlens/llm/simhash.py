@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, slices, small_batches
+from .common import column, cut, slices
 from .graph import components, hottest, lookup, union
 
 SEED = 42
@@ -61,7 +61,6 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
     """doc_id and f0, f1, ... (the fingerprint's parts as signed longs) of each row."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
