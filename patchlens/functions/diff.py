@@ -10,8 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import lines, words_and_chars
+from .scan import bound, places, scanned
+from .text import lines, stripped, words_and_chars
 
+#: What begins a section and a hunk, and what encloses a conflict.
 HEADER = "diff --git"
 HUNK = r"(?m)^@@ .* @@"
 GREEDY, LAZY = r"^diff --git a/(.*) b/(.*)$", r"^diff --git a/(.*?) b/(.*)$"
@@ -20,15 +22,15 @@ CONFLICT = r"(?s)(<<<<<<<.*?=======.*?>>>>>>>)"
 
 def sections(text: Column) -> Column:
     """Sections from each `diff --git` line on: array of (header, lines); what comes before the first is dropped."""
-    kind = "array<struct<header:string,lines:array<string>>>"
 
-    def step(out: Column, line: Column) -> Column:
-        fresh = F.struct(line.alias("header"), F.array(line).alias("lines"))
-        last = F.try_element_at(out, F.lit(-1))
-        longer = F.struct(last["header"].alias("header"), F.array_append(last["lines"], line).alias("lines"))
-        return F.when(line.startswith(HEADER), F.array_append(out, fresh)).when(F.size(out) > 0, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), longer)).otherwise(out)
+    def of(parts: Column) -> Column:
+        def cut(heads: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(heads, k + 1), F.size(parts) + 1)
+            return F.transform(heads, lambda at, k: F.struct(F.element_at(parts, at).alias("header"), F.slice(parts, at, upto(k) - at).alias("lines")))
 
-    return F.aggregate(lines(text), F.array().cast(kind), step)
+        return bound(places(parts, lambda line: line.startswith(HEADER)), cut)
+
+    return bound(lines(text), of)
 
 
 def target(header: Column, lazy: bool = True) -> Column:
@@ -57,6 +59,11 @@ def patch_of(text: Column, file: Column) -> Column:
     return F.coalesce(joined(F.slice(same, 1, 1)), F.lit(""))
 
 
+def file_text(found: Column) -> Column:
+    """Sections as a patch file: stripped, with one line end behind them."""
+    return F.concat(stripped(joined(found)), F.lit("\n"))
+
+
 def joined(found: Column) -> Column:
     return F.array_join(F.flatten(F.transform(found, lambda s: s["lines"])), "\n")
 
@@ -91,13 +98,13 @@ def conflicts(text: Column, version: Column, commit: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(CONFLICT), F.lit(1))
 
     def side(block: Column, which: int) -> Column:
-        zero = F.struct(F.lit(0).alias("mode"), F.array().cast("array<string>").alias("out"))
+        mark = lambda line: F.when(line.startswith("<<<<<<<"), 1).when(line.startswith("======="), 2).when(line.startswith(">>>>>>>"), 3)
 
-        def step(s: Column, line: Column) -> Column:
-            mark = F.when(line.startswith("<<<<<<<"), 1).when(line.startswith("======="), 2).when(line.startswith(">>>>>>>"), 3)
-            return F.struct(F.coalesce(mark, s["mode"]).alias("mode"), F.when(mark.isNull() & (s["mode"] == which), F.array_append(s["out"], line)).otherwise(s["out"]).alias("out"))
+        def of(parts: Column) -> Column:
+            last = scanned(F.transform(parts, mark), lambda a, b: F.coalesce(b, a))
+            return bound(last, lambda mode: F.filter(parts, lambda line, i: mark(line).isNull() & (F.get(mode, i) == which)))
 
-        return F.array_join(F.aggregate(lines(F.trim(block)), zero, step, lambda s: s["out"]), "\n")
+        return F.array_join(bound(lines(F.trim(block)), of), "\n")
 
     def one(block: Column, i: Column) -> Column:
         whole = F.concat(F.lit("<<<<<<< DOWNSTREAM (version "), version, F.lit(")\n"), side(block, 1), F.lit("\n=======\n"), side(block, 2), F.lit("\n>>>>>>> UPSTREAM PATCH (commit "), commit, F.lit(")"))
@@ -108,15 +115,14 @@ def conflicts(text: Column, version: Column, commit: Column) -> Column:
 
 def failed_files(output: Column) -> Column:
     """Files with a failed hunk, sorted: each failure counts for the file that was named last."""
-    zero = F.struct(F.lit(None).cast("string").alias("file"), F.array().cast("array<string>").alias("out"))
+    named = lambda line: F.nullif(F.trim(F.regexp_extract(line, "^(?:checking|patching) file (.+)", 1)), F.lit(""))
+    failed = lambda line: F.contains(line, F.lit("FAILED")) & F.contains(F.lower(line), F.lit("hunk"))
 
-    def step(s: Column, line: Column) -> Column:
-        named = F.nullif(F.trim(F.regexp_extract(line, "^(?:checking|patching) file (.+)", 1)), F.lit(""))
-        file = F.coalesce(named, s["file"])
-        failed = F.contains(line, F.lit("FAILED")) & F.contains(F.lower(line), F.lit("hunk")) & file.isNotNull()
-        return F.struct(file.alias("file"), F.when(failed, F.array_union(s["out"], F.array(file))).otherwise(s["out"]).alias("out"))
+    def of(parts: Column) -> Column:
+        last = scanned(F.transform(parts, named), lambda a, b: F.coalesce(b, a))
+        return F.array_sort(F.array_distinct(F.array_compact(F.zip_with(last, parts, lambda file, line: F.when(failed(line), file)))))
 
-    return F.array_sort(F.aggregate(lines(F.coalesce(output, F.lit(""))), zero, step, lambda s: s["out"]))
+    return bound(lines(F.coalesce(output, F.lit(""))), of)
 
 
 def missing_files(patch: Column, output: Column, rejects: Column) -> Column:

@@ -57,7 +57,7 @@ def feedback(format_error: Column, apply_error: Column) -> Column:
 
 def rotate_key(message: Column) -> Column:
     """Whether an error asks for another key."""
-    return F.coalesce(F.lower(message).rlike("quota|rate limit|internal error"), F.lit(False))
+    return F.coalesce(F.lower(message).rlike("quota|rate limit|api key not valid|internal error"), F.lit(False))
 
 
 def tri_state(successes: Column, failures: Column, total: Column) -> Column:

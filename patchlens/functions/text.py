@@ -27,6 +27,11 @@ def whitespace_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("bigint")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end; null reads as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

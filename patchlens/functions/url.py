@@ -49,3 +49,12 @@ def download(url: Column) -> Column:
 
 def branch(version: Column) -> Column:
     return F.concat(F.lit("android"), version, F.lit("-release"))
+
+
+def vulnerability_page(id_: Column) -> Column:
+    return F.concat(F.lit("https://api.osv.dev/v1/vulns/"), id_)
+
+
+def failures_report(report: Column) -> Column:
+    """Where the failures of a report go."""
+    return F.replace(report, F.lit(".json"), F.lit("_failures.json"))

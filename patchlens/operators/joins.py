@@ -55,10 +55,29 @@ def ordered_pairs(versions: DataFrame, by: str) -> DataFrame:
 
 
 def same_counts(left: DataFrame, right: DataFrame, group: str, version: str) -> DataFrame:
-    """Per group whether every version has as many rows on the right as the group has on the left."""
+    """Per group whether every version has as many rows on the right as the group has on the left.
+
+    A group without rows on the left expects none; one without rows on the right has no version that could differ.
+    """
     have = left.groupBy(group).agg(F.count("*").alias("expected"))
     each = right.groupBy(group, version).agg(F.count("*").alias("n"))
-    return each.join(have, group).groupBy(group).agg(F.bool_and(F.col("n") == F.col("expected")).alias("matches"), F.sum((F.col("n") != F.col("expected")).cast("bigint")).alias("mismatches"))
+    same = F.col("n") == F.coalesce("expected", F.lit(0))
+    known = F.col("n").isNotNull()
+    listed = lambda c: F.sort_array(F.collect_list(F.when(known & c, F.col(version))))
+    return each.join(have, group, "full").groupBy(group).agg(
+        F.bool_and(~known | same).alias("matches"), F.coalesce(F.count_if(known & ~same), F.lit(0)).alias("mismatches"), listed(~same).alias("mismatch_versions"), listed(same).alias("matched_versions")
+    )
+
+
+def attach(rows: DataFrame, content: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """rows with the content's fields where all keys agree and none of a row's is null or empty; otherwise nulls."""
+    own = content.dropDuplicates(keys).select(*keys, *fields)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.coalesce(F.col(k).cast("string") != "", F.lit(False))
+    asked = rows.withColumn("_whole", whole)
+    found = own.withColumn("_whole", F.lit(True))
+    return asked.join(found, [*keys, "_whole"], "left").select(*rows.columns, *fields)
 
 
 def all_rows(*parts: DataFrame) -> DataFrame:

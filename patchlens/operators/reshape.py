@@ -37,8 +37,11 @@ def inverted(rows: DataFrame, file: str, date: str, order: str, fields: list[str
 
 
 def attempts(df: DataFrame, array: str, keep: list[str], number: str = "attempt") -> DataFrame:
-    """One row per attempt; an empty or missing list is one row of attempt 0."""
-    out = df.select(*keep, F.explode_outer(array).alias("_a"))
+    """One row per attempt; an empty or missing list is one row of attempt 0, invalid (null) entries of a list are none."""
+    kind = df.schema[array].dataType.elementType
+    none = F.coalesce(F.size(array), F.lit(0)) <= 0
+    listed = F.when(none, F.array(F.lit(None).cast(kind))).otherwise(F.filter(array, lambda a: a.isNotNull()))
+    out = df.select(*keep, F.explode(listed).alias("_a"))
     return out.select(*keep, F.coalesce(F.col(f"_a.{number}"), F.lit(0)).alias("attempt_number"), F.col("_a"))
 
 

@@ -49,7 +49,7 @@ round(CAST(100 AS DOUBLE) * count(*) FILTER (o_orderstatus = 'F') / count(*), 2)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, tgt, status) of each line: attempts are counted by orders and suppliers before names are looked up."""
+    """(from_region, to_region, status) of each line: both regions are looked up by the small sides first."""
     nation = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     supplier = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("from_region"))
     customer = t(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("to_region"))
@@ -369,7 +369,7 @@ def cardinality_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.broadcast(t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     left = t(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     right = t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joins.same_counts(left, right, "n_regionkey", "c_mktsegment")
+    return joins.same_counts(left, right, "n_regionkey", "c_mktsegment").select("n_regionkey", "matches", "mismatches")
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT role, turn, CASE WHEN conv_id % 3 > 0 THEN conv_id % 50 END FROM conversations)")
@@ -626,15 +626,15 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.fenced(f, F.lit("c")).alias("fenced"), text.unfenced(F.concat(F.lit("```diff\n"), f, F.lit("\n```"))).alias("back"), text.numbered(F.concat(f, F.lit("\nend\n"))).alias("numbered"), text.decoded(F.base64(F.encode(f, "UTF-8"))).alias("decoded"))
 
 
-@query("""SELECT *, input_tokens + output_tokens AS total_tokens, applied_directly + fixed AS successful, forwarded - fixed AS failed, round(CAST(100 AS DOUBLE) * applied_directly / for_application, 2) AS application_rate, round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / total_patches, 2) AS pipeline_rate,
-printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / total_patches, 2)) AS pipeline_rate_text FROM
+@query("""SELECT *, input_tokens + output_tokens AS total_tokens, applied_directly + fixed AS successful, forwarded - fixed AS failed, printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / for_application, 2)) AS application_rate,
+printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / total_patches, 2)) AS pipeline_rate FROM
 (SELECT count(*) AS total_patches, count(*) FILTER (o_orderstatus = 'P') AS fetch_failures, count(*) FILTER (o_orderstatus <> 'P') AS for_application, count(*) FILTER (o_orderstatus = 'F') AS applied_directly, count(*) FILTER (o_orderstatus = 'O') AS forwarded FROM orders),
 (SELECT count(*) FILTER (l_returnflag = 'A') AS fixed, count(*) FILTER (l_returnflag <> 'A') AS fix_rejected, sum(l_linenumber)::BIGINT AS input_tokens, sum(2 * l_linenumber)::BIGINT AS output_tokens FROM lineitem WHERE l_linenumber = 1), (SELECT count(*) AS generation_failures FROM lineitem WHERE l_linenumber = 7)""")
 def pipeline_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
     s = F.col("o_orderstatus")
     applied = orders.filter(s != "P").select(F.when(s == "F", status.CLEAN).otherwise(status.HUNKS).alias("detailed_status"), (s == "O").alias("forwarded"))
-    repaired = items.filter("l_linenumber = 1").select(F.when(F.col("l_returnflag") == "A", status.CLEAN).otherwise(status.HUNKS).alias("detailed_status"), long("l_linenumber").alias("input_tokens"), long(F.col("l_linenumber") * 2).alias("output_tokens"))
+    repaired = items.filter("l_linenumber = 1").select(F.when(F.col("l_returnflag") == "A", status.CLEAN).when(F.col("l_returnflag") == "R", status.HUNKS).alias("detailed_status"), F.when(F.col("l_returnflag") == "A", status.APPLIED).otherwise(status.REJECTED).alias("status"), long("l_linenumber").alias("input_tokens"), long(F.col("l_linenumber") * 2).alias("output_tokens"))
     return agg.funnel(orders.select((s == "P").alias("failed")), applied, repaired, items.filter("l_linenumber = 7"))
 
 
@@ -665,3 +665,6 @@ def rollup_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Our extension: a roll-up with Catalyst's grouping sets."""
     rows = t(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 5).alias("bucket"))
     return rows.rollup("event_type", "bucket").agg(F.grouping_id().alias("kind"), F.count("*").alias("n"))
+
+
+from . import report_queries  # noqa: E402, F401 (adds its queries to QUERIES)

@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions import dates
+from ..operators import filters
+from . import scratch
 
 
-def documents(spark: SparkSession, path: str | list[str], schema: str, tolerant: bool = False) -> DataFrame:
-    """One row per JSON file, with the name of its file as source_file; files of one name count as one source."""
+def documents(spark: SparkSession, path: str | list[str], schema: str | T.StructType, tolerant: bool = False) -> DataFrame:
+    """One row per JSON file, with the name of its file as source_file; files of one name count as one source.
+
+    Tolerant scans leave out paths that do not exist and files that are no JSON of the schema.
+    """
+    if tolerant:
+        path = [p for p in ([path] if isinstance(path, str) else path) if scratch.exists(spark, p)]
+        if not path:
+            return spark.createDataFrame([], f"{schema}, source_file string")
     reader = spark.read.schema(schema if not tolerant else f"{schema}, _corrupt string").option("multiLine", True)
-    try:
-        df = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt") if tolerant else reader.option("mode", "FAILFAST")).json(path)
-    except AnalysisException as e:
-        if not tolerant or "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], f"{schema}, source_file string")
+    df = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt") if tolerant else reader.option("mode", "FAILFAST")).json(path)
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     return df.filter(F.col("_corrupt").isNull()).drop("_corrupt") if tolerant else df
 
 
+def guard(texts: Column, element: T.StructType, *path: str) -> Column:
+    """Objects of an array of JSON texts, and, along a path of fields, of the arrays inside them; null for nodes of other types."""
+    objects = lambda kind: F.transform(texts, lambda x: F.when(x.startswith("{"), F.from_json(x, kind)))
+    if not path:
+        return objects(element)
+    field, *rest = path
+    loose = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.name == field else f.dataType) for f in element])
+    return F.transform(objects(loose), lambda x: x.withField(field, guard(x[field], element[field].dataType.elementType, *rest)))
+
+
+def guarded(spark: SparkSession, path: str, schema: str, *fields: str) -> DataFrame:
+    """documents() in which nodes along a path of arrays that are no objects read as null, and the others stay."""
+    whole = spark.createDataFrame([], schema).schema
+    first, *rest = fields
+    loose = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.name == first else f.dataType) for f in whole])
+    read = spark.read.schema(loose).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return read.withColumn(first, guard(F.col(first), whole[first].dataType.elementType, *rest)).withColumn("source_file", F.col("_metadata.file_name"))
+
+
 def rows(df: DataFrame, root: str, *keep: str) -> DataFrame:
     """The elements of a root array, numbered in their file."""
     each = df.select(*keep, F.posexplode(root).alias("ordinal", "_r"))
@@ -55,6 +79,45 @@ def vulnerabilities(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder, schemas.OSV)
 
 
+def qualified(spark: SparkSession, folder: str, after: str, before: str) -> DataFrame:
+    """Vulnerabilities of a folder, one file each, that were published between two dates (both included) and concern the platform."""
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    return vulnerabilities(spark, folder).filter(filters.qualifies(F.col("affected"), F.col("published"), day(after), day(before)))
+
+
+def run_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs of runs of repairs, in the order of their files' names."""
+    return guarded(spark, folder, schemas.FAILURES, "failures", "failures", "file_conflicts", "validation_results").orderBy("source_file")
+
+
+def evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """Vulnerabilities of the three groups of an evaluation, with their group."""
+    kind = T.ArrayType(spark.createDataFrame([], schemas.EVALUATED).schema)
+    read = documents(spark, path, T.StructType([T.StructField(g, kind) for g in schemas.GROUPS]))
+    out = None
+    for g in schemas.GROUPS:
+        part = read.select(F.lit(g).alias("group"), F.explode(g).alias("v")).select("group", "v.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def metadata_rows(html: Column) -> Column:
+    """(title, cells) of each row of an HTML table, tags taken out of both."""
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
+    row = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), bare)
+    return F.transform(row, lambda r: F.struct(bare(F.regexp_extract(r, r"(?is)<th[^>]*>(.*?)</th>", 1)).alias("title"), cells(r).alias("cells")))
+
+
+def commit_page_date(html: Column) -> Column:
+    """The date of a commit page: of a table row that names the committer, else of a <time>, else of a spoken date."""
+    named = F.filter(metadata_rows(html), lambda r: dates.commit_row(r["title"]) & (F.size(r["cells"]) >= 2))
+    told = F.filter(F.transform(named, lambda r: dates.commit_time(F.element_at(r["cells"], -1))), lambda t: t.isNotNull())
+    stamp = F.nullif(F.regexp_extract(html, r'(?i)<time[^>]*datetime="([^"]*)"', 1), F.lit(""))
+    spoken = F.nullif(F.regexp_extract(html, r"(?is)Commit date.*?<strong>\s*(.*?)\s*</strong>", 1), F.lit(""))
+    return F.coalesce(F.get(told, F.lit(0)), dates.aware(stamp), dates.page_time(spoken).cast("timestamp"))
+
+
 def failure_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Logged failures with the report that holds them; a missing reason reads unknown."""
     found = rows(documents(spark, paths, schemas.FAILURE_LOG, tolerant=True), "skipped_or_errored_diff_generation_log", "source_file", "run_timestamp", "target_downstream_version")

@@ -49,6 +49,25 @@ def checkpoint(done: DataFrame, path: str) -> None:
     done.write.mode("append").parquet(path)
 
 
+def failures(entries: DataFrame, averages: DataFrame, path: str) -> bool:
+    """The failures-only report beside a main one: rows and averages as two tables; nothing is written without failures."""
+    if not entries.limit(1).count():
+        return False
+    json_document(entries, f"{path}/failures")
+    json_document(averages, f"{path}/summary")
+    return True
+
+
+def html_table(df: DataFrame, order: str) -> DataFrame:
+    """A small table as one HTML text, in the order of a column that is not shown."""
+    shown = [c for c in df.columns if c != order]
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit("<tr>"), *(x for c in shown for x in (F.lit("<td>"), escaped(c), F.lit("</td>"))), F.lit("</tr>"))
+    head = "<tr>" + "".join(f"<th>{c}</th>" for c in shown) + "</tr>"
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r"))))
+    return df.agg(F.concat(F.lit(f"<table>{head}"), F.array_join(F.transform(listed, lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
+
+
 def heatmap_cells(cells: DataFrame) -> DataFrame:
     """What a heat map shows: the rate (a missing one is 0) and its label."""
     rate = F.coalesce(F.col("success_rate"), F.lit(0.0))

@@ -81,7 +81,8 @@ def test_evaluation(spark, tmp_path):
 
 
 def test_attempt_rows_to_csv_and_rates(spark, tmp_path):
-    conflict = lambda name, tries: {"file_name": name, "total_hunks": 2, "failed_hunks": [1, 2], "rej_file_content": "```diff\n@@ -1 +1 @@\n-a\n+b\n```", "validation_results": tries}
+    # a conflict is successful if its own flag says so
+    conflict = lambda name, tries: {"file_name": name, "total_hunks": 2, "failed_hunks": [1, 2], "rej_file_content": "```diff\n@@ -1 +1 @@\n-a\n+b\n```", "llm_output_valid": any(t["valid"] for t in tries), "validation_results": tries}
     log = {"summary": {"system_prompt": "s\n\"q\"", "base_task_prompt": "b"}, "failures": [{"id": "v", "upstream_patch_content": "", "failures": [{"downstream_version": "14", "file_conflicts": [conflict("a.c", [{"attempt": 1, "valid": False}, {"attempt": 2, "valid": True}]), conflict("b.c", [])]}]}]}
     got = plans.attempt_rows(reports.documents(spark, write(tmp_path / "l.json", log), schemas.FAILURES))
     rows = got.orderBy("target_file_name", "attempt_number").collect()
@@ -91,7 +92,22 @@ def test_attempt_rows_to_csv_and_rates(spark, tmp_path):
     assert back.first()["system_prompt"] == 's\n"q"'
     rate = plans.prompt_rates(got).first()
     assert (rate["conflicts"], rate["successful"], rate["success_rate"]) == (2, 1, 50.0)
-
+    assert len(got.columns) == 35 and got.columns == spark.createDataFrame([], schemas.ATTEMPTS_CSV).columns
+    sinks.csv(got, str(tmp_path / "all"))
+    assert plans.prompt_rates(reports.attempts_csv(spark, str(tmp_path / "all"))).collect() == plans.prompt_rates(got).collect()
+
+
+def test_ground_truth_is_the_versions_own_patch(spark, tmp_path):
+    patch = lambda n: "diff --git a/x.c b/x.c\n@@ -1 +1 @@ f\n" + "+n\n" * n
+    conflict = {"file_name": "x.c", "validation_results": ["odd"]}
+    version = lambda own, c: {"downstream_version": "14", "downstream_patch_content": own, "file_conflicts": [c]}
+    tried = conflict | {"validation_results": [{"attempt": 1, "valid": True}]}
+    log = {"failures": ["odd", {"id": "v", "upstream_patch_content": patch(2), "failures": [version(patch(3), tried), version("", tried), version(None, conflict), 7]}]}
+    write(tmp_path / "l.json", log)
+    rows = plans.attempt_rows(reports.run_logs(spark, str(tmp_path))).collect()
+    # a list of only invalid attempts gives no row
+    assert sorted((r["ground_truth_added_lines"], r["downstream_specific_gt_added_lines"]) for r in rows) == [(2, 0), (3, 3)]
+    assert {r["system_prompt"] for r in rows} == {"MISSING_IN_SUMMARY"} and {r["attempt_runtime_sec"] for r in rows} == {0.0}
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "n int, s string")
