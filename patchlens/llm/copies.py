@@ -2,8 +2,8 @@
 
 Texts with equal sets are one. Candidates come in two steps. At a similarity of 0.8 a fingerprint of either text differs
 in so many bits that a vantage-point tree over all of them prunes nothing; so sets are first dealt to shards by bands of
-min-hashes of the same shingles, which two sets of similarity s share with a chance of 1 - (1 - s^ROWS)^BANDS: 0.9998 at
-0.8, 0.17 at 0.5, 0.003 at a third. A shard that has the members of another one is dropped. Within a shard vantage-point
+min-hashes of the same shingles, which two sets of similarity s share with a chance of 1 - (1 - s^ROWS)^BANDS: 0.9995 at
+0.8, 0.22 at 0.5, 0.015 at a third. A shard that has the members of another one is dropped. Within a shard vantage-point
 trees over SimHash fingerprints, each shingle voting once, find the pairs within reach; a shard of more than MEMBERS sets
 is taken as it is. What these links join, through any number of them, is one candidate group, and every pair inside a
 group that no link joins yet is compared by its sets. A group of up to BLOCK sets is compared in one task. In a larger
@@ -29,18 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, slices
-from .graph import apart, components, hottest, lookup, union
+from .graph import apart, components, hottest, lookup, near, union
 from .simhash import ASCII_LOWER, forest
 
-#: Sets of a group that are compared in one task, and on each side of a task in larger groups; hubs of these.
-BLOCK, HUBS = 256, 3
+#: Sets of a group that are compared in one task; so many times that on each side of a task in larger groups; hubs of these.
+BLOCK, SIDE, HUBS = 256, 4, 3
 #: 64-bit parts of a fingerprint.
 PARTS = 3
 NAMES = [f"f{k}" for k in range(PARTS)]
 #: Bits of a fingerprint are voted by so many shingles at once, and so many are min-hashed at once.
 VOTES, HASHED = 1 << 15, 256
 #: Bands of min-hashes, and min-hashes of a band.
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 32, 7
 #: Sets of a shard that are searched in one task; rows of shards in a task, about.
 MEMBERS, TASK_ROWS = 4096, 50_000
 #: Shingles of the sets that a task compares, about; groups that are broadcast at most.
@@ -133,12 +133,20 @@ def candidates(every: DataFrame, reach: int, members: int = MEMBERS) -> DataFram
     every: set, f0, f1, f2, bands, cut. Sets of a shard of more than `members` are linked whatever their fingerprints.
     """
     dealt = every.select("set", F.posexplode("bands").alias("_k", "_band")).select("set", F.xxhash64("_k", "_band").alias("shard"))
-    counted = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("_all")).filter("n > 1")
+    counted = cut(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor("set").alias("all")).filter("n > 1"))
+    prints = every.select("set", *NAMES)
+    # a shard of two is its least set and what is left of it
+    two = counted.filter("n = 2").select(F.col("low").alias("src"), F.col("low").bitwiseXOR(F.col("all")).alias("dst")).distinct()
+    for end in ("src", "dst"):
+        two = two.join(prints.select(F.col("set").alias(end), F.struct(*NAMES).alias(f"_{end}")), end)
+    differ = sum((F.bit_count(F.col(f"_src.{n}").bitwiseXOR(F.col(f"_dst.{n}"))) for n in NAMES), F.lit(0))
+    two = two.filter(differ <= reach).select("src", "dst")
     # shards with the same members are one
-    shards = cut(counted.groupBy("n", "low", "_all").agg(F.min("shard").alias("shard")).select("shard", "n", "low"))
-    placed = cut(lookup(dealt, shards, "shard", hottest(shards, "n")))
+    shards = cut(counted.filter("n > 2").groupBy("n", "low", "all").agg(F.min("shard").alias("shard")).select("shard", "n", "low"))
+    few = near(shards)
+    placed = cut(dealt.join(few, "shard") if few is not shards else lookup(dealt, shards, "shard", hottest(shards, "n")))
     large = placed.filter((F.col("n") > members) & (F.col("set") != F.col("low"))).select(F.col("set").alias("src"), F.col("low").alias("dst"))
-    rows = lookup(placed.filter(F.col("n") <= members).select("shard", "set"), every.select("set", *NAMES), "set", [])
+    rows = placed.filter(F.col("n") <= members).select("shard", "set").join(prints, "set")
     tasks = max(1, -(-placed.count() // TASK_ROWS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,18 +154,16 @@ def candidates(every: DataFrame, reach: int, members: int = MEMBERS) -> DataFram
         name, points = pdf["set"].to_numpy(), pdf[NAMES].to_numpy(np.int64).view(np.uint64)
         first = np.flatnonzero(np.append(True, np.diff(pdf["shard"].to_numpy()) != 0))
         sizes = np.diff(np.append(first, len(name)))
-        two = first[sizes == 2]
-        two = two[np.bitwise_count(points[two] ^ points[two + 1]).sum(1, dtype=np.int64) <= reach]
-        src, dst = [name[two]], [name[two + 1]]
-        for at, many in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        src, dst = [], []
+        for at, many in zip(first.tolist(), sizes.tolist(), strict=True):
             root = forest(points[at : at + many], np.ones(many, bool), reach)
             moved = np.flatnonzero(root != np.arange(many))
             src.append(name[at + moved])
             dst.append(name[at + root[moved]])
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
-    near = rows.groupBy(F.pmod(F.xxhash64("shard"), F.lit(tasks)).alias("_task")).applyInPandas(run, "src bigint, dst bigint")
-    return near.unionByName(large).distinct()
+    found = rows.groupBy(F.pmod(F.xxhash64("shard"), F.lit(tasks)).alias("_task")).applyInPandas(run, "src bigint, dst bigint")
+    return two.unionByName(found).unionByName(large)
 
 
 def linked(found: list[np.ndarray], asked: np.ndarray, joined: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -233,7 +239,7 @@ def large(rows: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
     main = main.groupBy("group").agg(F.max(F.struct("_m", "hub"))["hub"].alias("main"), F.max("_n").alias("_n"))
     rows = beside(rows, main).withColumn("joined", F.coalesce(F.col("hub") == F.col("main"), F.lit(False)))
     rows = cut(beside(rows, rows.groupBy("group").agg(F.count_if(~F.col("joined")).alias("rest"), F.max("n").alias("_n"))).filter("rest > 0").select("set", "group", "n", "rest", "shingles", "joined"))
-    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    parts = lambda c: F.ceil(F.col(c) / (SIDE * block)).cast("int")
     place = lambda c: F.pmod(F.xxhash64("set", F.lit(7)), parts(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
     asked = rows.filter("NOT joined").select("group", place("rest").alias("i"), each("n").alias("j"), "set", "shingles", F.lit(True).alias("asked"), "joined")
@@ -255,9 +261,9 @@ def firsts(docs: DataFrame, size: int, least: tuple[int, int], reach: int, block
     group = components(candidates(every, reach)).withColumnRenamed("node", "set").withColumnRenamed("root", "group")
     every = cut(every.select("set", "key").join(group, "set", "left").select("set", "key", F.coalesce("group", "set").alias("group")))
     sizes = cut(every.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"))
-    some = lookup(every, sizes, "group", hottest(sizes, "n")).select(F.col("key").alias("_key"), "set", "group", F.col("n").cast("bigint").alias("n"))
+    some = cut(lookup(every, sizes, "group", hottest(sizes, "n")).select(F.col("key").alias("_key"), "set", "group", F.col("n").cast("bigint").alias("n")))
     # rows that share a key are equal
-    texts = docs.join(some, F.col("key") == F.col("_key")).select("set", "group", "n", "text").dropDuplicates(["set"])
+    texts = docs.join(near(some), F.col("key") == F.col("_key")).select("set", "group", "n", "text").dropDuplicates(["set"])
     rows = cut(sets(texts, size))
     few = rows.filter(F.col("n") <= block).select("group", F.lit(0).alias("i"), F.lit(0).alias("j"), "set", "shingles", F.lit(True).alias("asked"), F.lit(False).alias("joined"))
     edges = compared(few, least)

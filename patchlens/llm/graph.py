@@ -11,6 +11,8 @@ from .common import cut
 #: Keys that are broadcast at most, and the least rows of a key for that. With the HOT keys of most rows taken out, no
 #: key left has more than 1 / HOT of all rows.
 HOT, LEAST = 1000, 100
+#: Rows of a table that is broadcast whole, at most: some 20 MB.
+WHOLE = 200_000
 
 
 def hottest(df: DataFrame, rows: str, most: int = HOT) -> list[Row]:
@@ -33,6 +35,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: list[Row], how: str
     return some.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(right, key, how))
 
 
+def near(table: DataFrame, most: int = WHOLE) -> DataFrame:
+    """A table, which is cut, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def apart(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     """df, which is cut and has one row for each combination of values, with `name`, a 64-bit hash of these, made unique.
 
