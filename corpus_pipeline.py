@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from patchlens.llm import copies, langid, packing, pii, quality
 from patchlens.llm.common import cut, read
+from patchlens.llm.graph import near
 from patchlens.llm.queries import PIECES, WORDS, vocabulary
 
 #: Near-duplicates: words of a shingle, the least Jaccard similarity of a link (4/5), differing bits of candidates at
@@ -55,7 +56,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*whole).alias("row"), F.xxhash64(F.lit("row"), *reversed(whole)).alias("more"))
     rows = docs.select(key.alias("key"), "text", F.struct(*row).alias("_row"))
     kept = cut(copies.firsts(rows.select("key", "text"), SHINGLE, LEAST, REACH).distinct())
-    return rows.select("key", "_row").dropDuplicates(["key"]).join(kept, "key", "left_semi").select("_row.*")
+    rows = rows.select("key", "_row")
+    # whole rows are shuffled only where too many go to name them
+    keys = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
+    gone = cut(keys.join(kept, "key", "left_anti").select("key"))
+    few = near(gone)
+    out = rows.join(few, "key", "left_anti") if few is not gone else rows.join(kept, "key", "left_semi")
+    equal = cut(keys.filter("n > 1").select("key"))
+    if equal.take(1):
+        out = out.join(near(equal), "key", "left_anti").unionByName(out.join(near(equal), "key", "left_semi").dropDuplicates(["key"]))
+    return out.select("_row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
