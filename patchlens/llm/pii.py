@@ -7,7 +7,8 @@ Expectation-maximisation over the histogram of vote patterns (bounded: KINDS * 3
 estimates the labelers' reliabilities without any labels; a logistic classifier over kind, votes and length is trained
 on the posteriors, and candidates to which it gives at least 0.5 become spans where they overlap no base span.
 
-Null texts count as empty and have no spans. Equal rows are separate rows. An empty table gives no rows.
+Null texts count as empty and have no spans. Equal texts have equal spans, equal rows are separate rows. An empty table
+gives no rows. A long text, or one with many matches, costs time in proportion to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, matches, written
+from ..functions.scan import bound, scanned
+from .spans import SPAN, between, chunks, matches, written
 
 #: The given patterns, in a form that never looks at a character run twice. A run's first character
 #: (or the end of the last match, \G) is its only start, and runs that nothing can follow from inside are possessive.
@@ -38,8 +40,24 @@ WIDE = (
     rf"|(?<![0-9])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{STREETS})(?![A-Za-z])"
     r"|(?<!\p{L})\p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20}){1,2}(?!\p{L})"
 )
-#: Gazetteers and cues.
-NAMES = "anna maria john james mary robert michael david peter thomas paul laura julia marie jean pierre louis hans karl anja sabine jose carlos juan ana lucia elena sofia daniel martin andreas stefan claire sophie emma alice william george charles richard susan linda karen nancy".split()
+#: Given names that are common in public registers of births (a gazetteer, which a caller may replace),
+#: words of streets, and cues.
+NAMES = (
+    "james robert john michael david william richard joseph thomas charles christopher daniel matthew anthony mark steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan "
+    "jacob gary nicholas eric stephen larry justin scott brandon benjamin samuel frank gregory raymond patrick alexander jack dennis jerry mary patricia jennifer linda elizabeth barbara susan jessica sarah karen "
+    "nancy lisa betty margaret sandra ashley kimberly emily donna michelle carol amanda dorothy melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela anna ruth brenda pamela nicole katherine "
+    "emma olivia sophia peter hans karl klaus wolfgang jürgen dieter manfred stefan andreas martin jens uwe ursula monika petra sabine renate helga karin brigitte ingrid erika andrea anja julia lena jean pierre "
+    "michel andré philippe alain jacques bernard marcel rené louis claude marie jeanne françoise monique catherine nathalie isabelle sylvie jacqueline sophie claire camille antonio josé manuel francisco juan jesús "
+    "javier carlos miguel alejandro pedro luis pablo maría carmen josefa isabel dolores pilar teresa ana cristina lucía paula elena rosa"
+).split()
+STREET_NAMES = "main|oak|park|church|high|station|mill|maple|washington|lake|hill|elm|pine|cedar|view|river|spring|north|south|east|west|king|queen|victoria|green|bridge|school|market|union|center|broad|forest|sunset|ridge|walnut|chestnut|meadow|garden"
+#: What speaks for and against the shape of a match of a base kind.
+SHAPES = {
+    "email": (r"\.(?:com|org|net|edu|gov|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|be|ca|au|jp|br|in)$", r"(?i)^(?:no-?reply|postmaster|webmaster|admin|info|support|abuse|root)@"),
+    "ip": (r"^(?!0)", r"^(?:0|10|127|255)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\."),
+    "card": (r"^(?:4|5[ -]?[1-5]|3[ -]?[47]|6[ -]?0[ -]?1[ -]?1|6[ -]?5)", r"^(?:0|9)"),
+    "phone": (r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0"),
+}
 NOT_NAMES = "the and of in on for with this that from by is are was a an to it at as monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december der die das und le la les et el los las y".split()
 BEFORE = r"(?i)(?<!\p{L})(?:name|contact|call|phone|tel|mobile|fax|ssn|social security|iban|account|address|lives at|born|mr|mrs|ms|dr|herr|frau|monsieur|madame|señor|señora|e?mail|signed|regards)[^\p{L}]{0,3}$"
 AROUND = r"@|\+[0-9]|[0-9]{4}"
@@ -71,48 +89,44 @@ def valid(kind: str, match: Column) -> Column:
 
 def around(text: Column, pattern: str, found: Column) -> Column:
     """start, end, match, left and right of each match: its place, and what stands before and after it."""
-    gaps = F.split(text, pattern, -1)
-    n = F.size(found)
-    parts = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("match"), F.slice(gaps, F.lit(2), n).alias("next"))
     kind = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("match"), F.right(part["gap"], F.lit(LEFT)).alias("left"), F.left(part["next"], F.lit(RIGHT)).alias("right"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+    def of(gaps: Column) -> Column:
+        ends = scanned(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), lambda a, b: a + b)
+        one = lambda end, m, i: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"), F.right(F.get(gaps, i), F.lit(LEFT)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(RIGHT)).alias("right"))
+        return bound(ends, lambda at: F.transform(found, lambda m, i: one(F.get(at, i), m, i)))
 
-    return F.when(n > 0, F.aggregate(parts, zero, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    return F.when(F.size(found) > 0, bound(F.split(text, pattern, -1), of)).otherwise(F.array()).cast(kind)
 
 
-def voted(kind: Column, s: Column) -> list[Column]:
+def voted(kind: Column, s: Column, names: list[str]) -> list[Column]:
     """Each labeler's vote on a candidate: 1, 0 or -1."""
     vote = lambda yes, no=F.lit(False): F.when(no, -1).when(yes, 1).otherwise(0)
     words = F.split(F.lower(s["match"]), " ")
     person = kind == "person"
     shape = (
-        F.when(kind.isin(*BASE), 1)
+        F.when(kind == "email", vote(*(s["match"].rlike(p) for p in SHAPES["email"]))).when(kind == "ip", vote(*(s["match"].rlike(p) for p in SHAPES["ip"])))
+        .when(kind == "card", vote(*(s["match"].rlike(p) for p in SHAPES["card"]))).when(kind == "phone", vote(*(s["match"].rlike(p) for p in SHAPES["phone"])))
         .when(kind == "national", vote(~s["match"].rlike("^(?:000|666|9)|-00-|-0000$"), s["match"].rlike("^(?:000|666|9)|-00-|-0000$")))
         .when(kind == "account", vote(s["match"].rlike("^(?:DE[0-9]{20}|FR[0-9]{12}[A-Z0-9]{11}[0-9]{2}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}|NL[0-9]{2}[A-Z]{4}[0-9]{10})$")))
         .when(kind == "local", vote(s["match"].rlike(r"^\(?[2-9]"), s["match"].rlike(r"^\(?[01]")))
         .otherwise(0)
     )
-    known = F.array(*map(F.lit, NAMES))
+    known = F.array(*map(F.lit, names))
     other = F.array(*map(F.lit, NOT_NAMES))
-    listed = F.when(person, vote(F.array_contains(known, words[0]), F.arrays_overlap(words, other))).when(kind == "address", 1).otherwise(0)
+    listed = F.when(person, vote(F.array_contains(known, words[0]), F.arrays_overlap(words, other))).when(kind == "address", vote(F.lower(s["match"]).rlike(f"(?<![a-z])(?:{STREET_NAMES})(?![a-z])"), s["match"].rlike("^0"))).otherwise(0)
     repeated = person & (F.size(F.array_distinct(words)) < F.size(words))
     return [shape, listed, vote(s["left"].rlike(BEFORE)), vote((F.concat_ws(" ", s["left"], s["right"])).rlike(AROUND)), vote(F.lit(False), s["left"].rlike(AGAINST) | repeated)]
 
 
-def described(kind: Column, s: Column) -> Column:
+def described(kind: Column, s: Column, names: list[str]) -> Column:
     """A candidate as it is counted and judged: place, kind, votes and length class."""
     size = s["end"] - s["start"]
-    votes = [v.cast("int").alias(f"v{i}") for i, v in enumerate(voted(kind, s))]
+    votes = [v.cast("int").alias(f"v{i}") for i, v in enumerate(voted(kind, s, names))]
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), *votes, F.when(size < 12, 0).when(size < 20, 1).otherwise(2).alias("size"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, names: list[str] = NAMES) -> DataFrame:
     """doc_id, text and what follows it in docs, with `base` and `wide`: arrays of described candidates."""
     text = F.col("text")
     df = docs.withColumn("text", F.coalesce(text.cast("string"), F.lit("")))
@@ -125,12 +139,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_{kind}", around(text, pattern, F.col(f"_{kind}")))
 
     def sound(kind: str) -> Column:
-        return F.transform(F.filter(f"_{kind}", lambda s: valid(kind, s["match"])), lambda s: described(F.lit(kind), s))
+        return F.transform(F.filter(f"_{kind}", lambda s: valid(kind, s["match"])), lambda s: described(F.lit(kind), s, names))
 
     def told(s: Column) -> Column:
         m = s["match"]
         kind = F.when(m.rlike("^[A-Z]{2}[0-9]{2}"), "account").when(m.rlike("^[0-9]{3}-[0-9]{2}-"), "national").when(m.rlike(r"^[0-9(].*[0-9]$"), "local").when(m.rlike("^[0-9]"), "address").otherwise("person")
-        return described(kind, s)
+        return described(kind, s, names)
 
     df = df.withColumn("base", F.concat(*map(sound, BASE))).withColumn("wide", F.transform("_wide", told))
     return df.drop(*(f"_{k}" for k in patterns))
@@ -202,10 +216,10 @@ def span(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), rank.alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, names: list[str] = NAMES) -> DataFrame:
     """The columns of docs (a null text empty; a column `spans` gives way) and spans (start, rank of the kind, kind, end) by kind, then start."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans")).alias("_row")
-    found = candidates(docs.select("text", row))
+    found = candidates(docs.select("text", row), names)
     counted = histogram(found)
     weight = train(counted, estimate(counted)[1])
     added = F.filter("wide", lambda c: (judged(weight, c) >= 0.5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
@@ -216,23 +230,24 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def masked(found: DataFrame) -> DataFrame:
     """text with every span (overlapping ones as one, by its first kind) replaced by <KIND>; spans go."""
-    by_place = F.array_sort("spans")
-    zero = F.array().cast(SPAN)
+    ordered = F.array_sort("spans")
 
-    def merge(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), F.array_append(F.slice(out, 1, F.size(out) - 1), wider)).otherwise(F.array_append(out, s))
+    def groups(spans: Column) -> Column:
+        """(start, end, kind) of each run of overlapping spans."""
 
-    merged = found.withColumn("_merged", F.aggregate(by_place, zero, merge))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        def of(reach: Column) -> Column:
+            begins = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+            upto = lambda heads, k: F.coalesce(F.get(heads, k + 1), F.size(spans)) - 1
+            return bound(begins, lambda heads: F.transform(heads, lambda at, k: F.struct(F.get(spans, at)["start"].alias("start"), F.get(reach, upto(heads, k)).alias("end"), F.get(spans, at)["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(kept, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
+        return bound(scanned(F.transform(spans, lambda s: s["end"]), F.greatest), of)
 
-    text = F.aggregate("_merged", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return merged.withColumn("text", F.when(F.size("_merged") > 0, text).otherwise(F.col("text"))).drop("_merged", "spans")
+    def masked_text(parts: Column, runs: Column) -> Column:
+        kept = F.transform(runs, lambda r, k: F.concat(between(parts, F.coalesce(F.get(runs, k - 1)["end"], F.lit(0)), r["start"]), F.lit("<"), F.upper(r["kind"]), F.lit(">")))
+        return F.concat(F.array_join(kept, ""), between(parts, F.element_at(runs, -1)["end"], F.length("text")))
+
+    text = bound(chunks(F.col("text")), lambda parts: bound(bound(ordered, groups), lambda runs: masked_text(parts, runs)))
+    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

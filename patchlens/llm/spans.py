@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scan import bound, scanned
+
+#: Code points of a piece in which a place is looked up.
+CHUNK = 256
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -13,24 +17,33 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def placed(text: Column, pattern: str, found: Column, rank: int, kind: str, keep: Column | None = None) -> Column:
-    """Spans of a pattern's matches, in code points, end exclusive.
+    """Spans of a pattern's matches, in code points, end exclusive; linear in the number of matches.
 
     found: matches(text, pattern). keep: for each match whether it stays (null: all); others still hold their place.
     The texts between the matches are what split() leaves, so a match begins where all before it ends.
     """
-    keep = F.transform(found, lambda _: F.lit(True)) if keep is None else keep
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), sizes.alias("size"), keep.alias("keep"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        end = start + part["size"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(part["keep"], F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(parts, zero, step, lambda state: state["out"])).otherwise(F.array().cast(SPAN))
+
+    def of(sizes: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(sizes))
+        ends = scanned(F.zip_with(gaps, sizes, lambda gap, size: gap + size), lambda a, b: a + b)
+        return F.zip_with(ends, sizes, lambda end, size: F.struct((end - size).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end")))
+
+    spans = bound(F.transform(found, F.length), of)
+    if keep is not None:
+        spans = F.array_compact(F.zip_with(spans, keep, lambda span, stays: F.when(stays, span)))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array()).cast(SPAN)
+
+
+def chunks(text: Column) -> Column:
+    """A text as pieces of CHUNK code points."""
+    return matches(text, f"(?s).{{1,{CHUNK}}}")
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text cut by chunks(): no look at what stands far before."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(near, start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
 
 
 def written(spans: Column) -> Column:
