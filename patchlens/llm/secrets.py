@@ -5,9 +5,11 @@ satisfies it. The trigrams of all queries are indexed: postings by (segment, tri
 about SEGMENT rows, so a posting list is bounded however common its trigram. Queries are evaluated by intersecting and
 uniting postings, candidates are verified with the pattern, and rules without mandatory trigrams scan every text.
 
-Candidates up to BROADCAST rows are broadcast to the scan that verifies; beyond that only their texts are shuffled.
+Candidates up to BROADCAST rows are broadcast to the scan that verifies; beyond that texts and candidates are shuffled.
+Rows are named by a hash in the index. It only says where rules are tried: a text's spans are always found in that text.
 
-Null texts count as empty and have no spans. Equal rows are separate rows. An empty table gives no rows.
+Null texts count as empty and have no spans. Equal texts have equal spans, equal rows are separate rows. An empty table
+gives no rows. A long text, or one with many matches, costs time in proportion to it.
 """
 
 from __future__ import annotations
@@ -149,7 +151,7 @@ def answered(query: Query, postings: Column) -> Column:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and rid, equal for equal rows only."""
+    """doc_id, text (null: empty) and rid, a hash of both."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select("doc_id", text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
@@ -188,21 +190,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast: int = BROA
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     fully = tuple(r for r in rules if r.kind not in indexed)
-    looked = tuple(r for r in rules if r.kind in indexed)
     if not indexed:
         return spans_of(rows, fully, ranks, None).select("doc_id", "text", "spans")
     terms = sorted(set().union(*map(trigrams, indexed.values())))
     segments = max(1, math.ceil(rows.count() / SEGMENT))
     index = cut(build_index(rows, terms, segments))
     found = cut(candidates(index, indexed))
-    if found.count() <= broadcast:
-        # one scan: full rules everywhere, the others where a query was satisfied
-        named = rows.join(F.broadcast(found), "rid", "left")
-        each = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.array(*(F.lit(r.kind) for r in fully)).cast("array<string>"))
-        return spans_of(named.withColumn("kinds", each), rules, ranks, F.col("kinds")).select("doc_id", "text", "spans")
-    verified = spans_of(rows.join(found, "rid").dropDuplicates(["rid"]), looked, ranks, F.col("kinds")).select("rid", F.col("spans").alias("_more"))
-    own = spans_of(rows, fully, ranks, None).join(verified.filter(F.size("_more") > 0), "rid", "left")
-    return own.select("doc_id", "text", F.array_sort(F.concat("spans", F.coalesce("_more", F.array().cast(SPAN)))).alias("spans"))
+    # the other rules are tried where a query was satisfied; rows that share a hash by chance are only tried in vain
+    near = F.broadcast(found) if found.count() <= broadcast else found
+    each = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.array(*(F.lit(r.kind) for r in fully)).cast("array<string>"))
+    named = rows.join(near, "rid", "left").withColumn("kinds", each)
+    return spans_of(named, rules, ranks, F.col("kinds")).select("doc_id", "text", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:
