@@ -4,13 +4,15 @@ A text's fingerprint is the majority vote, bit by bit, of the hashes of its word
 dealt to shards by a vantage-point tree, built on the driver from a sample of bounded size: a node sends what lies
 within a radius of its vantage point inside and the rest outside. A fingerprint that the triangle bound lets have
 neighbours across a boundary is also sent over as a query; as each pair needs one meeting, only the inner side crosses.
-A shard with more queries than a task should hold is dealt again into parts, each with all points at home there. Within
-a part a tree of the same kind prunes the search down to small tiles that are compared in full. A part returns a
+A shard with more rows than a task should hold is dealt again into parts: its points at home into some pieces, its
+queries into others, and every piece meets every other. Within a part a tree of the same kind prunes the search down to small tiles that are compared in full. A part returns a
 spanning forest of its links, at most a row for each of its fingerprints, however dense they lie; the components of
 these forests are found by distributed rounds.
 
 Null and empty texts and texts without words have fingerprint zero and are linked with each other like any others.
-Rows with equal ids stay separate rows; the smallest doc_id of a component names it (null if it has none).
+Rows with equal ids stay separate rows; the smallest doc_id of a component names it (null if it has none). Equal texts
+are one fingerprint, however many. A long text is hashed whole, a bounded number of shingles at a time. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SEED = 42
 SAMPLE = 16_384
 #: Fingerprints at home in a shard, queries in a part of one, and points and queries that are compared in full at once.
 HOME, QUERIES, TILE, ASKED = 4096, 32_768, 256, 512
+#: Points at home of a part, at most about: more than a leaf should have, reached only where the sample has no more leaves.
+PIECE = 8 * HOME
 #: The least number of shards, so that a task never holds a large share of the rows.
 SHARDS = 32
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -177,25 +181,31 @@ def links(distinct: DataFrame, reach: int, words: int = 1, home: int = HOME) ->
     seen = distinct.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).select(*names).collect()
     sample = np.array([tuple(r) for r in seen], np.int64).reshape(-1, words).view(np.uint64)
     tree = Tree(sample, max(SHARDS, -(-total // home)))
-    _, leaf, _ = tree.route(sample, reach) if len(sample) else (None, np.zeros(0, np.int64), None)
-    load = np.bincount(leaf, minlength=max(1, tree.leaves)) * (total / max(1, len(sample)))
-    parts = np.maximum(1, np.ceil(load / QUERIES)).astype(np.int64)
-    dealt = spark.sparkContext.broadcast((tree, parts))
+    _, leaf, own_leaf = tree.route(sample, reach) if len(sample) else (None, np.zeros(0, np.int64), np.zeros(0, bool))
+    share = total / max(1, len(sample))
+    pieces = lambda rows, most: np.maximum(1, np.ceil(np.bincount(rows, minlength=max(1, tree.leaves)) * share / most)).astype(np.int64)
+    dealt = spark.sparkContext.broadcast((tree, pieces(leaf[own_leaf], PIECE), pieces(leaf, QUERIES)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, many = dealt.value
+        own, homes, asks = dealt.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = np.stack([np.asarray(column(batch, n)) for n in names], 1).view(np.uint64)
+            every = np.asarray(column(batch, "node"))
             point, to, at_home = own.route(points, reach)
-            # what is at home in a shard goes to all its parts, a query to one
-            copies = np.where(at_home, many[to], 1)
-            first = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            point, to, at_home = (np.repeat(x, copies) for x in (point, to, at_home))
-            nodes = np.asarray(column(batch, "node"))[point]
-            part = np.where(at_home, first, (nodes.view(np.uint64) % many[to].astype(np.uint64)).astype(np.int64))
-            out = {"leaf": pa.array(to.astype(np.int32)), "part": pa.array(part.astype(np.int32)), "home": pa.array(at_home), "node": pa.array(nodes)}
+            # parts of a shard: (piece of what is at home, piece of all queries); a point at home asks the other pieces
+            h, q = homes[to], asks[to]
+            copies = np.where(at_home, q + h - 1, h)
+            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            point, to, at_home, h, q = (np.repeat(x, copies) for x in (point, to, at_home, h, q))
+            nodes = every[point].view(np.uint64)
+            piece, asking = (nodes % h.astype(np.uint64)).astype(np.int64), ((nodes >> np.uint64(20)) % q.astype(np.uint64)).astype(np.int64)
+            staying = at_home & (nth < q)
+            other = nth - q
+            i = np.where(staying, piece, np.where(at_home, other + (other >= piece), nth))
+            j = np.where(staying, nth, asking)
+            out = {"leaf": pa.array(to.astype(np.int32)), "part": pa.array(i * q + j, pa.int64()), "home": pa.array(staying), "node": pa.array(nodes.view(np.int64))}
             yield pa.RecordBatch.from_pydict(out | {n: pa.array(points[point, k].view(np.int64)) for k, n in enumerate(names)})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +216,7 @@ def links(distinct: DataFrame, reach: int, words: int = 1, home: int = HOME) ->
         return pd.DataFrame({"src": node[linked], "dst": node[root[linked]]})
 
     fields = ", ".join(f"{n} bigint" for n in names)
-    sent = distinct.select("node", *names).mapInArrow(route, f"leaf int, part int, home boolean, node bigint, {fields}")
+    sent = distinct.select("node", *names).mapInArrow(route, f"leaf int, part bigint, home boolean, node bigint, {fields}")
     return sent.groupBy("leaf", "part").applyInPandas(search, "src bigint, dst bigint")
 
 
