@@ -9,7 +9,8 @@ words; each distinct word of a batch is scored once, all words of a length toget
 Letters that the vocabulary lacks are spelled with the 256 byte pieces.
 
 Null and empty texts and texts without letters are `und` with score 0. Equal texts give equal values; ties go to the
-language first in sorted order. Without any labelled row everything is `und`.
+language first in sorted order, equal rows stay separate rows. Without any labelled row everything is `und`. A long text
+is scored whole, by its distinct words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, slices
 
 EDGE = "▁"
 UNDETERMINED = "und"
-#: Bound of the sample that a model is fitted on: rows a language, characters a row, distinct words in all.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS = 500, 100_000, 120_000
+#: Bound of the sample that a model is fitted on: rows of a language, characters of a row, distinct words of a language.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS = 500, 100_000, 30_000
 EM_ROUNDS = 2
 SMOOTHING = 0.05
 #: Alphas below this are scaled up by its inverse.
@@ -229,17 +230,18 @@ def public_pieces(path: str) -> list[str]:
     return [p for p in every if (rest := p.removeprefix(EDGE)).isalpha() and rest == rest.lower() or p == EDGE]
 
 
-def word_counts(labelled: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_WORDS) -> list:
-    """(lang, word, n) of a bounded sample: about `rows` texts a language by a hash, the most frequent words."""
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+def word_counts(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, chars: int = SAMPLE_CHARS) -> list:
+    """(lang, word, n) of a bounded sample: about `rows` texts a language by a hash, `chars` characters of a text, the `words` most frequent words of a language."""
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = labelled.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share")).collect()
     if not share:
         return []
     keep = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, r.share))) for r in share])
     picked = labelled.filter((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0) < keep)
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    counts = picked.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "lang", "word").limit(most).collect()
+    parts = F.filter(F.split(F.lower(F.left("text", F.lit(chars))), r"[^\p{L}]+"), lambda w: w != "")
+    counts = picked.select("lang", F.explode(parts).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    return counts.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= words).select("lang", "word", "n").collect()
 
 
 def fit(counts: list, pieces: list[str], rounds: int = EM_ROUNDS) -> Model:
