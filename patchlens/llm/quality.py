@@ -1,12 +1,13 @@
 """A quality classifier: a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes, each with a mark if four bytes from it on repeat what stands shortly before, are embedded and cut into overlapping chunks, WIDTH bytes every STRIDE bytes, over the whole
-document. Learned filters answer to each chunk, the strongest answer of each filter over the document is kept, and one
+A text's UTF-8 bytes, each with a mark if four bytes from it on repeat what stands shortly before, are embedded and cut
+into overlapping chunks, WIDTH bytes every STRIDE bytes, over the whole document. Learned filters answer to each chunk, the strongest answer of each filter over the document is kept, and one
 logistic unit combines these into a probability. Scoring holds a bounded piece of a document at a time, so very long
 texts cost time but no memory.
 
-Null and empty texts are scored as one chunk of padding. Equal texts give equal scores. With labels of one kind only,
-or none, every score is the share of label 1 in the sample (0.5 for none).
+Null and empty texts are scored as one chunk of padding. Equal texts give equal scores, equal rows stay separate rows.
+With labels of one kind only, or none, every score is the share of label 1 in the sample (0.5 for none). An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -140,20 +141,16 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """At most `rows` texts of each label, the first by a hash of their ids, of at most `most` bytes.
+    """At most `rows` texts of each label, the first by a hash of their ids among those of at most `most` bytes.
 
-    A document labelled both ways counts as neither.
+    A document labelled both ways counts as neither, a repeated id brings one text.
     """
-    spark = docs.sparkSession
     clear = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
-    picked = None
-    for value in (0, 1):
-        part = clear.filter(F.col("quality") == value).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        picked = part if picked is None else picked.unionByName(part)
-    ids = spark.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
-    short = docs.select("doc_id", F.encode("text", "UTF-8").alias("bytes")).filter(F.length("bytes") <= most)
-    # a repeated id brings one text
-    found = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
+    fitting = docs.select("doc_id", F.encode("text", "UTF-8").alias("bytes")).filter(F.length("bytes") <= most)
+    known = fitting.select("doc_id").join(clear.select("doc_id", "quality"), "doc_id").distinct()
+    ids = [tuple(r) for value in (0, 1) for r in known.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    picked = docs.sparkSession.createDataFrame(ids, known.schema)
+    found = fitting.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
     return [bytes(r["bytes"]) for r in found], np.array([r["quality"] for r in found], np.float64)
 
 
