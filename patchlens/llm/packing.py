@@ -7,12 +7,13 @@ sequences, and a sequence holds at most about sqrt(2 * LENGTH) different lengths
 slot of its rank among the pieces of its length. Ranks come from counts by (length, salt), so no length, however
 common, is ranked by one task.
 
-Null texts count as empty: they become one piece of the end id alone. Equal rows are separate documents. An empty
-table gives no rows.
+Null texts count as empty: they become one piece of the end id alone. Equal rows are separate documents, of equal lengths
+and interchangeable places. A text longer than a sequence is cut into full ones and a rest. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -40,16 +41,23 @@ TAIL, PLAIN = ".,;:!?", "\u0250"
 PAIRED = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
+#: The normaliser and the splitter of tokenizers whose words may be encoded one by one.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+SPLITTER = ["Split", "ByteLevel"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Tokenizer:
-    """Ids by the tokenizers library; a word between spaces or line feeds is encoded once.
+    """Ids by the tokenizers library.
 
-    Right for tokenizers whose normaliser and splitter treat such words separately: white space is dropped, no
-    special token holds any, and nothing composes across it. Fresh words are encoded many at a time, with a special
-    token between them where the tokenizer has one.
+    Where a file's normaliser and splitter are the ones above (lower case, white space dropped, letters parted from
+    marks, a mark at a word's end), a word between spaces or line feeds is encoded once: no special token holds white
+    space, and nothing composes across it. Fresh words are encoded many at a time, with a special token between them
+    where there is one. With any other file texts are encoded whole by the library.
     """
 
     def __init__(self, path: str, parts: bool = True):
-        self.path, self.parts, self.inner, self.plain, self.mark, self.last = path, parts, None, None, None, None
+        self.path, self.parts, self.inner, self.plain, self.mark, self.last, self.whole = path, parts, None, None, None, None, False
         self.recent: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -67,11 +75,19 @@ class Tokenizer:
         from tokenizers import normalizers, pre_tokenizers
 
         self.inner, self.plain = Library.from_file(self.path), Library.from_file(self.path)
+        with open(self.path, encoding="utf-8") as f:
+            given = json.load(f)
+        steps = lambda part, inside: part.get(inside, [part]) if part else []
+        normal, split = steps(given.get("normalizer"), "normalizers"), steps(given.get("pre_tokenizer"), "pretokenizers")
+        known = [x["type"] for x in normal] == NORMALISER and [x["type"] for x in split] == SPLITTER and split[0].get("pattern") == {"Regex": SPLIT} and not given.get("post_processor")
+        special = all(t.special and not t.normalized and not t.lstrip and not t.rstrip for t in self.inner.get_added_tokens_decoder().values())
+        self.whole = not (known and special and getattr(self.inner.model, "end_of_word_suffix", None))
+        if self.whole:
+            return
         # the same merges without the normaliser and the splitting pattern, which change nothing in a stem
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = getattr(self.inner.model, "end_of_word_suffix", None)
-        self.parts = self.parts and bool(suffix)
         if self.parts:
             self.last = np.zeros(self.inner.get_vocab_size() + 1, bool)
             self.last[[i for token, i in self.inner.get_vocab().items() if token.endswith(suffix)]] = True
@@ -160,6 +176,8 @@ class Tokenizer:
         """Little-endian unsigned 32-bit ids of each text; nothing for null."""
         if self.inner is None:
             self.open()
+        if self.whole:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.inner.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [self.spaced(t or "").split(" ") for t in texts]
         if len(self.recent) > MEMO_WORDS:
             self.before, self.recent = self.recent, {}
