@@ -140,23 +140,13 @@ def _made_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", made.alias("u"))
 
 
-@query(f"""SELECT page_id, nullif(regexp_extract(u, '([a-fA-F0-9]{{40}})', 1), '') AS commit_hash,
-CASE WHEN page_id % 4 = 0 THEN 'frameworks/m' || page_id WHEN page_id % 4 = 1 THEN 'kernel/m' || page_id WHEN page_id % 4 = 2 THEN 'kernel/common' END AS project,
-CASE WHEN page_id % 4 IN (0, 2) THEN u || '^!/?format=TEXT' WHEN page_id % 4 = 1 THEN u || '.diff' END AS download,
-CASE WHEN page_id % 4 IN (0, 2) THEN md5(url) || left(md5(url), 8) WHEN page_id % 4 = 1 THEN '/clo/la/kernel/m' || page_id || '/-/commit/' || md5(url) || left(md5(url), 8) END AS fix_commit
-FROM ({MADE_URLS}) JOIN pages USING (page_id) WHERE page_id % 4 <> 3""")
-def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("u")
-    return _made_urls(spark, sf_dir).filter("page_id % 4 <> 3").select("page_id", url.commit_hash(u).alias("commit_hash"), url.project(u).alias("project"), url.download(u).alias("download"), url.fix_commit(u).alias("fix_commit"))
-
-
 @query(f"""SELECT page_id, nullif(regexp_extract(u, '([a-fA-F0-9]{{40}})', 1), '') AS commit_hash,
 CASE WHEN page_id % 4 = 0 THEN 'frameworks/m' || page_id WHEN page_id % 4 = 1 THEN 'kernel/m' || page_id WHEN page_id % 4 = 2 THEN 'kernel/common' END AS project,
 CASE WHEN page_id % 4 IN (0, 2) THEN u || '^!/?format=TEXT' WHEN page_id % 4 = 1 THEN u || '.diff' END AS download,
 CASE WHEN page_id % 4 IN (0, 2) THEN md5(url) || left(md5(url), 8) WHEN page_id % 4 = 1 THEN '/clo/la/kernel/m' || page_id || '/-/commit/' || md5(url) || left(md5(url), 8) ELSE rtrim(string_split({URL.format(2)}, '/+/')[-1], '^!') END AS fix_commit
 FROM ({MADE_URLS}) JOIN pages USING (page_id)""")
-def url_classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url_classify with the pages that keep their address: no project and no download at unknown hosts."""
+def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No project and no download at unknown hosts."""
     u = F.col("u")
     return _made_urls(spark, sf_dir).select("page_id", url.commit_hash(u).alias("commit_hash"), url.project(u).alias("project"), url.download(u).alias("download"), url.fix_commit(u).alias("fix_commit"))
 
@@ -359,7 +349,7 @@ def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT v, row_number() OVER (ORDER BY o DESC) AS rank FROM ({VERSIONS})")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.top(_versions(spark, sf_dir), 1000, F.desc("ver")).select("v", "rank")
+    return agg.ranked(_versions(spark, sf_dir), F.desc("ver")).select("v", "rank")
 
 
 @query("""SELECT n_regionkey, bool_and(n = expected) AS matches, count(*) FILTER (n <> expected) AS mismatches FROM (
@@ -425,16 +415,8 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", naive.alias("naive"), dates.aware(F.col("d")).cast("timestamp_ntz").alias("utc"), F.when(naive.isNotNull(), dates.epoch(dates.aware(F.concat(F.left("d", F.lit(19)), F.lit("Z"))))).alias("seconds"), naive.isNull().alias("none"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey) AS rank FROM orders ORDER BY rank LIMIT 500")
-def date_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.when(F.col("o_orderkey") % 10 == 0, "N/A").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    rows = t(spark, sf_dir, "orders").select("o_orderkey", dates.aware(d).alias("d"))
-    return agg.top(rows, 500, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey) AS rank FROM orders")
-def date_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date_sort without its limit."""
+def date_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.when(F.col("o_orderkey") % 10 == 0, "N/A").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rows = t(spark, sf_dir, "orders").select("o_orderkey", dates.aware(d).alias("d"))
     return agg.ranked(rows, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
@@ -463,14 +445,8 @@ def nested_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slim.select("l_orderkey", text.joined_numbers(F.transform("failures", lambda f: f["l_linenumber"])).alias("numbers"))
 
 
-@query("SELECT l_linenumber, l_quantity, l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0")
-def flatten_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("failures"))
-    return reshape.with_parents(rows, "failures", ["l_orderkey"])
-
-
 @query("SELECT l_linenumber, l_quantity, l_orderkey FROM lineitem")
-def flatten_with_parents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flatten_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("failures"))
     return reshape.with_parents(rows, "failures", ["l_orderkey"])
 
@@ -495,57 +471,6 @@ def attempt_explode_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NL = "chr(10)"
-FIRST = "regexp_extract(text, '^[^\\n\\r\\v\\f]{0,40}')"
-DIFFS = f"""SELECT doc_id, 'commit ' || doc_id || {NL} || 'diff --git a/src/f' || doc_id % 7 || '.c b/src/f' || doc_id % 7 || '.c' || {NL} || '--- a/x' || {NL} || '+++ b/x' || {NL} || '@@ -1,2 +1,2 @@' || {NL} || ' keep' || {NL} || '-old' || {NL} || '+' || {FIRST} || {NL}
-|| CASE WHEN doc_id % 2 = 0 THEN 'diff --git a/lib/g.c b/lib/g.c' || {NL} || '--- a/y' || {NL} || '+++ b/y' || {NL} || '@@ -3 +3,2 @@ f' || {NL} || ' a' || {NL} || '+b' || {NL} ELSE '' END AS d FROM documents"""
-
-
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A commit patch of one or two files whose added line is a document's."""
-    n = F.col("doc_id")
-    name = F.concat(F.lit("src/f"), (n % 7).cast("string"), F.lit(".c"))
-    first = F.regexp_extract("text", r"^[^\n\r\x0b\f]{0,40}", 0)
-    one = F.concat(F.lit("commit "), n.cast("string"), F.lit("\ndiff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n keep\n-old\n+"), first, F.lit("\n"))
-    two = F.when(n % 2 == 0, "diff --git a/lib/g.c b/lib/g.c\n--- a/y\n+++ b/y\n@@ -3 +3,2 @@ f\n a\n+b\n").otherwise("")
-    return t(spark, sf_dir, "documents").select("doc_id", F.concat(one, two).alias("d"))
-
-
-@query("""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS hunks, (3 + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END)::BIGINT AS total, (1 + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS added, (1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS removed FROM documents""")
-def hunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("d")
-    return _diffs(spark, sf_dir).select("doc_id", diff.hunk_count(d).alias("hunks"), diff.line_counts(d).alias("c")).select("doc_id", "hunks", "c.*")
-
-
-@query(f"""SELECT doc_id, substr(d, strpos(d, '@@ '), length(d) - strpos(d, '@@ ')) AS hunks FROM ({DIFFS})""")
-def hunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diffs(spark, sf_dir).select("doc_id", diff.hunks_only(F.col("d")).alias("hunks"))
-
-
-@query("""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS sections, 'src/f' || doc_id % 7 || '.c' AS file, CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END::BIGINT AS by_name, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS by_suffix, 1::BIGINT AS by_mention FROM documents""")
-def diff_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    found = _diffs(spark, sf_dir).select("doc_id", diff.sections(F.col("d")).alias("s"))
-    count = lambda c: long(F.size(c))
-    return found.select(
-        "doc_id", count(s).alias("sections"), diff.target(s[0]["header"]).alias("file"), count(diff.kept_by_name(s, F.array(F.lit("src/f3.c")))).alias("by_name"),
-        count(diff.kept_by_suffix(s, F.array(F.lit("root/lib/g.c")))).alias("by_suffix"), count(diff.kept_by_mention(s, F.lit("src/f"))).alias("by_mention"),
-    )
-
-
-@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'diff --git a/lib/g.c b/lib/g.c' || {NL} || '--- a/y' || {NL} || '+++ b/y' || {NL} || '@@ -3 +3,2 @@ f' || {NL} || ' a' || {NL} || '+b' ELSE '' END AS patch FROM documents""")
-def patch_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diffs(spark, sf_dir).select("doc_id", diff.patch_of(F.col("d"), F.lit("b/lib/g.c")).alias("patch"))
-
-
-@query(f"""SELECT doc_id, 1::BIGINT AS blocks, '<<<<<<< DOWNSTREAM (version 14)' || {NL} || 'ours ' || doc_id || {NL} || '=======' || {NL} || {FIRST} || {NL} || '>>>>>>> UPSTREAM PATCH (commit c' || doc_id || ')' AS block FROM documents""")
-def conflict_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    made = F.concat(F.lit("int x;\n<<<<<<< HEAD\nours "), n, F.lit("\n=======\n"), F.regexp_extract("text", r"^[^\n\r\x0b\f]{0,40}", 0), F.lit("\n>>>>>>> theirs\nint y;\n"))
-    found = t(spark, sf_dir, "documents").select("doc_id", diff.conflicts(made, F.lit("14"), F.concat(F.lit("c"), n)).alias("c"))
-    return found.select("doc_id", long(F.size("c")).alias("blocks"), F.col("c")[0]["merge_conflict"].alias("block"))
-
-
-# over whole texts
 BREAKS = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
 WHOLE = f"""SELECT doc_id, n, 'diff --git a/src/f' || doc_id % 7 || '.c b/src/f' || doc_id % 7 || '.c' || {NL} || '--- a/x' || {NL} || '+++ b/x' || {NL} || '@@ -1,2 +1,' || n + 1 || ' @@' || {NL} || ' keep' || {NL} || '-old' || {NL} || '+' || replace(w, {NL}, {NL} || '+') AS one,
 CASE WHEN doc_id % 2 = 0 THEN {NL} || 'diff --git a/lib/g.c b/lib/g.c' || {NL} || '--- a/y' || {NL} || '+++ b/y' || {NL} || '@@ -3 +3,2 @@ f' || {NL} || ' a' || {NL} || '+b' ELSE '' END AS two
@@ -563,18 +488,18 @@ def _whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS hunks, (2 + n + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END)::BIGINT AS total, (n + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS added, (1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS removed FROM ({WHOLE})""")
-def hunk_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
     return _whole_diffs(spark, sf_dir).select("doc_id", diff.hunk_count(d).alias("hunks"), diff.line_counts(d).alias("c")).select("doc_id", "hunks", "c.*")
 
 
 @query(f"SELECT doc_id, substr(one, strpos(one, '@@ ')) || two AS hunks FROM ({WHOLE})")
-def hunk_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_diffs(spark, sf_dir).select("doc_id", diff.hunks_only(F.col("d")).alias("hunks"))
 
 
 @query(f"""SELECT doc_id, (1 + (doc_id + 1) % 2)::BIGINT AS sections, (6 + n)::BIGINT AS lines, 'src/f' || doc_id % 7 || '.c' AS file, CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END::BIGINT AS by_name, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS by_suffix, 1::BIGINT AS by_mention FROM ({WHOLE})""")
-def diff_filters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diff_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     found = _whole_diffs(spark, sf_dir).select("doc_id", diff.sections(F.col("d")).alias("s"))
     count = lambda c: long(F.size(c))
@@ -585,13 +510,13 @@ def diff_filters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT doc_id, one AS patch, ltrim(two, {NL}) AS other FROM ({WHOLE})")
-def patch_of_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def patch_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
     return _whole_diffs(spark, sf_dir).select("doc_id", diff.patch_of(d, F.col("name")).alias("patch"), diff.patch_of(d, F.lit("b/lib/g.c")).alias("other"))
 
 
 @query(f"""SELECT doc_id, 1::BIGINT AS blocks, '<<<<<<< DOWNSTREAM (version 14)' || {NL} || 'ours ' || doc_id || {NL} || '=======' || {NL} || regexp_replace(text, {BREAKS}, {NL}, 'g') || {NL} || '>>>>>>> UPSTREAM PATCH (commit c' || doc_id || ')' AS block FROM documents""")
-def conflict_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conflict_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     made = F.concat(F.lit("int x;\n<<<<<<< HEAD\nours "), n, F.lit("\n=======\n"), F.col("text"), F.lit("\n>>>>>>> theirs\nint y;\n"))
     found = t(spark, sf_dir, "documents").select("doc_id", diff.conflicts(made, F.lit("14"), F.concat(F.lit("c"), n)).alias("c"))
@@ -600,7 +525,7 @@ def conflict_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, '```c' || {NL} || f || {NL} || '```' AS fenced, f AS back, array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), lambda x: x[2] || ': ' || x[1]), {NL}) AS numbered, f AS decoded
 FROM (SELECT doc_id, 'x' || text AS f, string_split(regexp_replace('x' || text, {BREAKS}, {NL}, 'g') || {NL} || 'end', {NL}) AS l FROM documents)""")
-def code_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("f")
     rows = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), F.col("text")).alias("f"))
     return rows.select("doc_id", text.fenced(f, F.lit("c")).alias("fenced"), text.unfenced(F.concat(F.lit("```diff\n"), f, F.lit("\n```"))).alias("back"), text.numbered(F.concat(f, F.lit("\nend\n"))).alias("numbered"), text.decoded(F.base64(F.encode(f, "UTF-8"))).alias("decoded"))
@@ -619,13 +544,6 @@ def console_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT doc_id, '```c' || {NL} || f || {NL} || '```' AS fenced, f AS back, '1: ' || f || {NL} || '2: end' AS numbered, f AS decoded FROM (SELECT doc_id, 'x' || {FIRST} AS f FROM documents)""")
-def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = F.col("f")
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), F.regexp_extract("text", r"^[^\n\r\x0b\f]{0,40}", 0)).alias("f"))
-    return rows.select("doc_id", text.fenced(f, F.lit("c")).alias("fenced"), text.unfenced(F.concat(F.lit("```diff\n"), f, F.lit("\n```"))).alias("back"), text.numbered(F.concat(f, F.lit("\nend\n"))).alias("numbered"), text.decoded(F.base64(F.encode(f, "UTF-8"))).alias("decoded"))
-
-
 @query("""SELECT *, input_tokens + output_tokens AS total_tokens, applied_directly + fixed AS successful, forwarded - fixed AS failed, printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / for_application, 2)) AS application_rate,
 printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / total_patches, 2)) AS pipeline_rate FROM
 (SELECT count(*) AS total_patches, count(*) FILTER (o_orderstatus = 'P') AS fetch_failures, count(*) FILTER (o_orderstatus <> 'P') AS for_application, count(*) FILTER (o_orderstatus = 'F') AS applied_directly, count(*) FILTER (o_orderstatus = 'O') AS forwarded FROM orders),
@@ -640,8 +558,8 @@ def pipeline_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, 'Unknown Error') AS error_type, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1""")
 def failure_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the counts alone: failures_of_error has what failed, a row each, and error_lists the list that a report carries
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("e"))
-    # totals first, without the list that a report also carries
     return rows.groupBy(F.coalesce("e", F.lit("Unknown Error")).alias("error_type")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
