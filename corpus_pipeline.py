@@ -1,7 +1,9 @@
 """The corpus pipeline: language, quality, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever these are called, with every row that they keep as it was
+(but for the masked text). All take null and empty texts, null and repeated ids, texts of any length and empty tables,
+which give empty tables.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ def carried(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those that no learned language explains."""
+    """Rejects texts without letters (null and empty ones too) and those that no learned language explains.
+
+    Languages are learned from the rows of docs that name one; where none does, every row is rejected.
+    """
     counts = langid.word_counts(docs.select("doc_id", "text", "lang"))
     model = langid.fit([tuple(r) for r in counts], langid.public_pieces(vocabulary(PIECES)))
     found = langid.identify(carried(docs), model, ["_row"])
@@ -40,7 +45,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that the classifier holds for bad."""
+    """Rejects texts that the classifier holds for bad.
+
+    Without labels of both kinds every text has the same score: all stay, unless all labels are bad.
+    """
     network = quality.fit(*quality.sample(docs, read(spark, sf_dir, "labels")))
     return quality.score(carried(docs), network, ["_row"]).filter("score >= 0.5").select("_row.*")
 
@@ -69,7 +77,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows."""
+    """Masks personal data; n_chars follows. A null text becomes an empty one."""
     row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -77,7 +85,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: a row for each piece of a document."""
+    """Sequences of at most 4096 tokens: a row for each piece of a document; its text is left where it is."""
     return packing.pack(docs, packing.Tokenizer(vocabulary(WORDS)))
 
 
