@@ -58,3 +58,15 @@ def vulnerability_page(id_: Column) -> Column:
 def failures_report(report: Column) -> Column:
     """Where the failures of a report go."""
     return F.replace(report, F.lit(".json"), F.lit("_failures.json"))
+
+
+def commit_query(url: Column) -> Column:
+    """Where the forge tells of a commit: its address needs four path segments and 7 to 40 hex digits; null without."""
+    found = lambda group: F.regexp_extract(path(url), r"^/([^/]+/[^/]+/[^/]+/[^/]+)/-/commit/([a-f0-9]{7,40})", group)
+    whole = F.concat(F.lit(f"https://{FORGE_HOST}/api/v4/projects/"), F.replace(F.url_encode(found(1)), F.lit("+"), F.lit("%20")), F.lit("/repository/commits/"), found(2))
+    return F.when(found(2) != "", whole)
+
+
+def generated_patch(commit: Column, file: Column, made: Column) -> Column:
+    """The name of a generated patch file."""
+    return F.concat(commit, F.lit("_"), F.substring_index(file, "/", -1), F.lit("_"), F.date_format(made, "yyyyMMdd_HHmmss"), F.lit(".diff"))

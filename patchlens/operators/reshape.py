@@ -18,14 +18,22 @@ def with_parents(df: DataFrame, array: str, parents: list[str]) -> DataFrame:
     return df.select(F.explode(array).alias("_child"), *parents).select("_child.*", *parents)
 
 
+def seen(rows: DataFrame, key: str, file: str, item: str, order: str) -> DataFrame:
+    """The long form of regroup(): key, file, item (null for a file without any), each with the place where it was first seen.
+
+    No row and no task holds all files of a key, however many it has; regroup() nests this for a report that asks for it.
+    """
+    return rows.groupBy(key, file, item).agg(F.min(order).alias("first_seen"))
+
+
 def regroup(rows: DataFrame, key: str, file: str, item: str, order: str) -> DataFrame:
     """Per key its files in the order they were first seen, each with its distinct items in that order.
 
     Two map-side combining aggregations; `files` is an array of (file, items).
     """
-    seen = rows.groupBy(key, file, item).agg(F.min(order).alias("_o"))
+    first = seen(rows, key, file, item, order).withColumnRenamed("first_seen", "_o")
     items = F.transform(F.array_sort(F.collect_list(F.when(F.col(item).isNotNull(), F.struct("_o", F.col(item).alias("v"))))), lambda s: s["v"])
-    files = seen.groupBy(key, file).agg(F.min("_o").alias("_o"), items.alias("items"))
+    files = first.groupBy(key, file).agg(F.min("_o").alias("_o"), items.alias("items"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(file).alias("file"), "items"))), lambda s: F.struct(s["file"].alias("file"), s["items"].alias("items")))
     return files.groupBy(key).agg(F.min("_o").alias("first_seen"), listed.alias("files"))
 

@@ -503,6 +503,23 @@ def built_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", url.vulnerability_page(F.col("p_brand")).alias("page"), url.branch(s("p_size")).alias("branch"), url.failures_report(joined("r/", s("p_partkey"), ".json")).alias("failures"))
 
 
+@query("""SELECT o_orderkey, 'c' || o_custkey || '_f' || o_orderkey || '.c_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.diff' AS name,
+CASE WHEN o_custkey % 3 = 0 THEN 'https://git.codelinaro.org/api/v4/projects/clo%2Fla%2Fkernel%2Fm' || o_custkey || '/repository/commits/' || left(md5(o_orderkey::VARCHAR), 12) END AS asked FROM orders""")
+def generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of generated patches, and where the forge tells of a commit: not for three or five path segments."""
+    k = F.col("o_custkey") % 3
+    path = joined("clo/la/", F.when(k == 0, "kernel/").when(k == 1, "").otherwise("a/b/"), "m", s("o_custkey"))
+    address = joined("https://git.codelinaro.org/", path, "/-/commit/", F.left(F.md5(s("o_orderkey").cast("binary")), F.lit(12)), ".diff")
+    name = url.generated_patch(joined("c", s("o_custkey")), joined("src/f", s("o_orderkey"), ".c"), F.col("o_orderdate"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), url.commit_query(address).alias("asked"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, min(l_linenumber) AS first_seen FROM lineitem GROUP BY 1, 2, 3")
+def dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What dedup_regroup nests, a row each."""
+    return reshape.seen(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_returnflag <> 'N'")
 def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, "f").otherwise("").alias("file"), F.when(F.col("l_returnflag") != "N", "c").alias("commit"))
