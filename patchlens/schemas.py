@@ -1,4 +1,4 @@
-"""Schemas of the reports, as DDL. Objects whose keys are data are maps: inference would make a field of each key."""
+"""Schemas of the reports, as DDL. Names and their order are those of the reports. Objects whose keys are data are maps: inference would make a field of each key."""
 
 from __future__ import annotations
 
