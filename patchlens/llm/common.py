@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a task, about, where the number of rows is known.
+TASK_ROWS = 200_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -27,15 +31,20 @@ def shared_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "patchlens-checkpoints"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder: a lost executor costs no recomputation.
 
+    most: a bound on its rows, where one is known; the last stage then has a task for each TASK_ROWS of these, and no
+    more files than tasks, however many partitions shuffles have.
+
     A checkpoint hands the planner's guess of its size and its constraints on to the next plan. A join guesses the
     product of its sides, so from one round of joins to the next these numbers have several times the digits, until
     planning takes minutes and the driver's memory; the rows are therefore taken over without either.
     """
     spark = df.sparkSession
     shared_dir(spark)
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // TASK_ROWS)))
     stored = df._jdf.checkpoint()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 

@@ -42,9 +42,9 @@ VOTES, HASHED = 1 << 15, 256
 #: Bands of min-hashes, and min-hashes of a band.
 BANDS, ROWS = 32, 7
 #: Sets of a shard that are searched in one task; rows of shards in a task, about.
-MEMBERS, TASK_ROWS = 4096, 50_000
+MEMBERS, TASK_ROWS = 4096, 8192
 #: Shingles of the sets that a task compares, about; groups that are broadcast at most.
-SHINGLES, HOT_GROUPS = 2_000_000, 64
+SHINGLES, HOT_GROUPS = 500_000, 64
 _rng = np.random.default_rng(11)
 TIMES, PLUS = (_rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1) for _ in range(2))
 MIX = _rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,7 +133,8 @@ def candidates(every: DataFrame, reach: int, members: int = MEMBERS) -> DataFram
     every: set, f0, f1, f2, bands, cut. Sets of a shard of more than `members` are linked whatever their fingerprints.
     """
     dealt = every.select("set", F.posexplode("bands").alias("_k", "_band")).select("set", F.xxhash64("_k", "_band").alias("shard"))
-    counted = cut(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor("set").alias("all")).filter("n > 1"))
+    most = BANDS * every.count()
+    counted = cut(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor("set").alias("all")).filter("n > 1"), most // 2)
     prints = every.select("set", *NAMES)
     # a shard of two is its least set and what is left of it
     two = counted.filter("n = 2").select(F.col("low").alias("src"), F.col("low").bitwiseXOR(F.col("all")).alias("dst")).distinct()
@@ -142,9 +143,9 @@ def candidates(every: DataFrame, reach: int, members: int = MEMBERS) -> DataFram
     differ = sum((F.bit_count(F.col(f"_src.{n}").bitwiseXOR(F.col(f"_dst.{n}"))) for n in NAMES), F.lit(0))
     two = two.filter(differ <= reach).select("src", "dst")
     # shards with the same members are one
-    shards = cut(counted.filter("n > 2").groupBy("n", "low", "all").agg(F.min("shard").alias("shard")).select("shard", "n", "low"))
+    shards = cut(counted.filter("n > 2").groupBy("n", "low", "all").agg(F.min("shard").alias("shard")).select("shard", "n", "low"), most // 3)
     few = near(shards)
-    placed = cut(dealt.join(few, "shard") if few is not shards else lookup(dealt, shards, "shard", hottest(shards, "n")))
+    placed = cut(dealt.join(few, "shard") if few is not shards else lookup(dealt, shards, "shard", hottest(shards, "n")), most)
     large = placed.filter((F.col("n") > members) & (F.col("set") != F.col("low"))).select(F.col("set").alias("src"), F.col("low").alias("dst"))
     rows = placed.filter(F.col("n") <= members).select("shard", "set").join(prints, "set")
     tasks = max(1, -(-placed.count() // TASK_ROWS))
@@ -258,10 +259,11 @@ def firsts(docs: DataFrame, size: int, least: tuple[int, int], reach: int, block
     docs = docs.select("key", F.col("text").cast("string").alias("text"))
     seen = cut(printed(docs, size).groupBy("set", *NAMES).agg(F.min("key").alias("key"), F.any_value("bands").alias("bands")))
     every = apart(seen, "set", NAMES)
+    total = every.count()
     group = components(candidates(every, reach)).withColumnRenamed("node", "set").withColumnRenamed("root", "group")
-    every = cut(every.select("set", "key").join(group, "set", "left").select("set", "key", F.coalesce("group", "set").alias("group")))
-    sizes = cut(every.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"))
-    some = cut(lookup(every, sizes, "group", hottest(sizes, "n")).select(F.col("key").alias("_key"), "set", "group", F.col("n").cast("bigint").alias("n")))
+    every = cut(every.select("set", "key").join(group, "set", "left").select("set", "key", F.coalesce("group", "set").alias("group")), total)
+    sizes = cut(every.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), total)
+    some = cut(lookup(every, sizes, "group", hottest(sizes, "n")).select(F.col("key").alias("_key"), "set", "group", F.col("n").cast("bigint").alias("n")), total)
     # rows that share a key are equal
     texts = docs.join(near(some), F.col("key") == F.col("_key")).select("set", "group", "n", "text").dropDuplicates(["set"])
     rows = cut(sets(texts, size))

@@ -64,34 +64,35 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     left = cut(edges.filter("src <> dst").select(F.explode(ways).alias("e")).select("e.*").distinct())
-    rounds: list[tuple[DataFrame, list[Row]]] = []
-    while True:
+    most = left.count()
+    rounds: list[tuple[DataFrame, list[Row], int]] = []
+    while most:
         turn = F.lit(len(rounds))
         order = lambda c, t=turn: F.struct(F.xxhash64(t, c).alias("h"), F.col(c).alias("v"))
         best = left.groupBy("src").agg(F.min(order("dst")).alias("best"), F.count("*").alias("links"))
-        joined = cut(best.select(F.col("src").alias("node"), F.least("best", order("src"))["v"].alias("to"), "links"))
-        top = joined.orderBy(F.desc("links")).limit(HOT).collect()
-        if not top:
-            break
-        hot = [r for r in top if r["links"] >= LEAST]
-        rounds.append((joined, hot))
+        joined = cut(best.select(F.col("src").alias("node"), F.least("best", order("src"))["v"].alias("to"), "links"), most)
+        hot = hottest(joined, "links")
+        rounds.append((joined, hot, most))
         moved = left
         for end in ("src", "dst"):
             named = joined.select(F.col("node").alias(end), F.col("to").alias("_to"))
             moved = lookup(moved, named, end, [Row(**{end: r["node"], "_to": r["to"]}) for r in hot]).drop(end).withColumnRenamed("_to", end)
-        left = cut(moved.filter("src <> dst").select("src", "dst").distinct())
+        left = cut(moved.filter("src <> dst").select("src", "dst").distinct(), most)
+        most = left.count()
     # where a round sends a node, later rounds may send on; a node to which many are sent had as many edges
     roots: DataFrame | None = None
-    for joined, hot in reversed(rounds):
+    for joined, hot, most in reversed(rounds):
         here = joined.select("node", F.col("to").alias("root"))
         if roots is not None:
             after = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            known = here.sparkSession.createDataFrame([(r["node"],) for r in hot], "root bigint")
-            few = after.join(F.broadcast(known), "root", "left_semi").collect() if hot else []
-            # hot nodes that no later round knows stay where they are
-            few += [Row(root=r["node"], _to=None) for r in hot if r["node"] not in {x["root"] for x in few}]
+            few = []
+            if hot:
+                known = here.sparkSession.createDataFrame([(r["node"],) for r in hot], "root bigint")
+                few = after.join(F.broadcast(known), "root", "left_semi").collect()
+                # hot nodes that no later round knows stay where they are
+                few += [Row(root=r["node"], _to=None) for r in hot if r["node"] not in {x["root"] for x in few}]
             here = lookup(here, after, "root", few, "left").select("node", F.coalesce("_to", "root").alias("root"))
-        roots = cut(here)
+        roots = cut(here, most)
     return roots if roots is not None else edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
 
