@@ -36,6 +36,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ MEMO_WORDS, MEMO_PAIRS, MEMO_CHARS = 200_000, 1_000_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, PAIRS = 1, 2
 PENALTY = 10.0
+#: Characters up to which merging looks through all pairs; a heap gives the same beyond.
+SHORT = 40
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -144,6 +147,22 @@ class Merges:
 
     def merged(self, text: str) -> list[str]:
         """What merging does, by its definition: the best scored pair first, the leftmost of equals."""
+        if len(text) > SHORT:
+            return self.merged_by_heap(text)
+        id_of, score = self.id_of, self.score
+        parts = list(text)
+        rank = [-score[at] if (at := id_of.get(a + b)) is not None else math.inf for a, b in pairwise(parts)]
+        while rank and (best := min(rank)) < math.inf:
+            i = rank.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(rank):
+                    rank[k] = -score[at] if (at := id_of.get(parts[k] + parts[k + 1])) is not None else math.inf
+        return parts
+
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The same in time that hardly grows beyond the text's length."""
         parts: list[str | None] = list(text)
         after = [*range(1, len(parts)), -1]
         ahead = [*range(-1, len(parts) - 1)]
@@ -236,6 +255,7 @@ class Transducer:
             for c in reversed(piece):
                 node = node[0].setdefault(c, [{}, -1, 0.0])
             node[1:] = at, 1.0 if self.merges else -self.score[at]
+        self.longest = max(map(len, self.id_of))
         self.dearest = 1.0 if self.merges else PENALTY - min(self.score[i] for i in self.id_of.values())
 
     def shortest(self, word: str) -> list[tuple[int, int]]:
@@ -247,31 +267,36 @@ class Transducer:
         """
         if self.trie is None:
             self.link()
-        size, trie, merges, dearest, inf = len(word), self.trie, self.merges, self.dearest, math.inf
+        size, trie, merges, longest, inf = len(word), self.trie, self.merges, self.longest, math.inf
         known = merges.known if merges else {}
         weight, labels, begins = [0.0] + [inf] * size, [-1] * (size + 1), [0] * (size + 1)
+        back = word[::-1]
         for end in range(1, size + 1):
-            node, arcs = trie, []
-            for begin in range(end - 1, -1, -1):
-                node = node[0].get(word[begin])
+            node, arcs, begin = trie, [], end
+            for c in back[size - end : size - end + longest]:
+                node = node[0].get(c)
                 if node is None:
                     break
+                begin -= 1
                 if node[1] >= 0:
-                    arcs.append((begin, node[1], node[2]))
+                    arcs.append((begin, node))
             if not arcs or arcs[0][0] != end - 1:
-                arcs.insert(0, (end - 1, -2 - ord(word[end - 1]), dearest))
-            least = inf
-            for begin, label, more in reversed(arcs):
-                total = weight[begin] + more
-                if merges is not None:
-                    last = labels[begin]
+                arcs.insert(0, (end - 1, (None, -2 - ord(word[end - 1]), self.dearest)))
+            if merges is not None:
+                # the first finite arc is the only one
+                for begin, node in reversed(arcs):
+                    last, label = labels[begin], node[1]
                     apart = known.get((last + 1 << 24) + label) if last >= -1 and label >= 0 else None
-                    total += merges.weight(last, label) if apart is None else apart
-                if total < least:
-                    least, labels[end], begins[end] = total, label, begin
-                    if merges is not None:  # no other arc is finite
+                    if (merges.weight(last, label) if apart is None else apart) < inf:
+                        weight[end], labels[end], begins[end] = weight[begin] + node[2], label, begin
                         break
-            weight[end] = least
+            else:
+                least = inf
+                for begin, node in reversed(arcs):
+                    total = weight[begin] + node[2]
+                    if total < least:
+                        least, labels[end], begins[end] = total, node[1], begin
+                weight[end] = least
         if weight[size] == inf:
             raise ValueError("no path")
         out, at = [], size
