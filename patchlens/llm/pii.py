@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import bound, scanned
+from .common import cut
 from .spans import SPAN, between, chunks, matches, written
 
 #: The given patterns, in a form that never looks at a character run twice. A run's first character
@@ -216,16 +217,23 @@ def span(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), rank.alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
 
 
-def scan(docs: DataFrame, names: list[str] = NAMES) -> DataFrame:
-    """The columns of docs (a null text empty; a column `spans` gives way) and spans (start, rank of the kind, kind, end) by kind, then start."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans")).alias("_row")
+def scan(docs: DataFrame, names: list[str] = NAMES, text: bool = True) -> DataFrame:
+    """The columns of docs (a null text empty; a column `spans` gives way) and spans (start, rank of the kind, kind, end) by kind, then start.
+
+    Without `text` that column is left out; what is kept of a row is then small, and stored between counting and judging,
+    so that texts are read once instead of twice.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans" and (text or c != "text"))).alias("_row")
     found = candidates(docs.select("text", row), names)
+    if not text:
+        found = cut(found.drop("text"))
     counted = histogram(found)
     weight = train(counted, estimate(counted)[1])
     added = F.filter("wide", lambda c: (judged(weight, c) >= 0.5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     spans = F.transform(F.concat("base", added), span)
     ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.select(F.col("_row").withField("text", F.col("text")).alias("_row"), ordered.cast(SPAN).alias("spans")).select("_row.*", "spans")
+    kept = F.col("_row").withField("text", F.col("text")) if text else F.col("_row")
+    return found.select(kept.alias("_row"), ordered.cast(SPAN).alias("spans")).select("_row.*", "spans")
 
 
 def masked(found: DataFrame) -> DataFrame:

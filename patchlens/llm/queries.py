@@ -54,7 +54,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
-    return pii.digest(pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), text=False))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
