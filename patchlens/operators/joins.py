@@ -47,11 +47,17 @@ def first_match(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
-def ordered_pairs(versions: DataFrame, by: str) -> DataFrame:
-    """All pairs of a later and an earlier version; a table of versions is small by nature."""
+#: Versions that are paired at most: a table of versions is small by nature, and pairs are what is asked for.
+VERSIONS = 10_000
+
+
+def ordered_pairs(versions: DataFrame, by: str, most: int = VERSIONS) -> DataFrame:
+    """All pairs of a later and an earlier version; more than `most` versions are refused rather than multiplied."""
+    if versions.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} versions")
     a = versions.select(F.struct(*versions.columns).alias("a"))
     b = versions.select(F.struct(*versions.columns).alias("b"))
-    return a.join(b, F.col(f"a.{by}") > F.col(f"b.{by}"))
+    return a.join(F.broadcast(b), F.col(f"a.{by}") > F.col(f"b.{by}"))
 
 
 def same_counts(left: DataFrame, right: DataFrame, group: str, version: str) -> DataFrame:

@@ -526,7 +526,7 @@ def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.complete(rows, "file", "commit").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT 'g' || o_orderkey AS patch_file, NULL AS patch_url, 'LLM' AS source, o_orderpriority AS project FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
+@query("SELECT 'g' || o_orderkey AS patch_file, CAST(NULL AS VARCHAR) AS patch_url, 'LLM' AS source, o_orderpriority AS project FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
 def successful_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 3
     saved = F.when(k == 1, joined("g", s("o_orderkey"))).when(k == 2, joined("g", s("o_orderkey"))).otherwise(F.when(F.col("o_custkey") % 2 == 0, ""))
