@@ -190,15 +190,15 @@ class Tokenizer:
         return out
 
 
-def pieces(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END) -> DataFrame:
-    """doc_id, row (tells equal ids apart), piece, start, length, ids_crc32 of each piece; nothing of the text stays."""
+def pieces(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END, carry: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; carry: and its ids, 32 bits each, little-endian."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owner, place, start, size, crc = [], [], [], [], []
+            owner, place, start, size, crc, kept = [], [], [], [], [], []
             for row, ids in enumerate(shared.value.encode(column(batch, "text").to_pylist())):
                 ids += last
                 for k in range(0, len(ids), 4 * length):
@@ -208,13 +208,16 @@ def pieces(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int
                     start.append(k // 4)
                     size.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_pydict({
+                    if carry:
+                        kept.append(part)
+            out = {
                 "doc_id": column(batch, "doc_id").take(pa.array(owner, pa.int64())),
                 "piece": pa.array(place, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
-            })
+            }
+            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(kept, pa.binary())} if carry else {}))
 
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return picked.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{', ids binary' if carry else ''}")
 
 
 def plan(counts: dict[int, int], capacity: int = LENGTH) -> dict[str, np.ndarray]:
@@ -283,19 +286,36 @@ def ranked(found: DataFrame, salts: int) -> DataFrame:
     return numbered.join(bases, ["length", "_salt"]).withColumn("rank", F.col("_base") + F.col("_nth")).drop("_salt", "_base", "_nth")
 
 
-def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END, carry: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; carry: and its ids."""
     spark = docs.sparkSession
-    found = cut(pieces(docs, tokenizer, length, end))
+    found = cut(pieces(docs, tokenizer, length, end, carry))
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(plan(histogram, length))
     salts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = ["ids"] if carry else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             part["sequence_id"], part["offset"] = place(table.value, part["length"].to_numpy(), part.pop("rank").to_numpy())
             yield part
 
-    rows = ranked(found, salts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, `offset` bigint")
+    rows = ranked(found, salts).select("doc_id", "piece", "start", "length", "ids_crc32", *ids, "rank")
+    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, {'ids binary, ' if carry else ''}sequence_id bigint, `offset` bigint")
+
+
+def sequences(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end: int = END) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids, and where each document begins (doc_ids, pieces, offsets).
+
+    A sequence has at most `length` ids, so it is put together in memory whatever the table's size.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        ids = np.frombuffer(b"".join(pdf["ids"]), "<u4").astype(np.int32)
+        return pd.DataFrame({"sequence_id": [pdf["sequence_id"].iat[0]], "ids": [ids], "doc_ids": [pdf["doc_id"].tolist()], "pieces": [pdf["piece"].to_numpy()], "offsets": [pdf["offset"].to_numpy()]})
+
+    packed = pack(docs, tokenizer, length, end, carry=True)
+    return packed.groupBy("sequence_id").applyInPandas(run, f"sequence_id bigint, ids array<int>, doc_ids array<{kind}>, pieces array<int>, offsets array<bigint>")

@@ -399,3 +399,21 @@ def test_packing_of_other_tokenizers_is_the_library(tmp_path):
     texts = ["Hello World, it's 1st.", "", "a  b", "Ünï\ncode"]
     own, library = packing.Tokenizer(path), Tokenizer.from_file(path)
     assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_sequences_hold_the_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [None, "", "one two", "word " * 300, "some, other text. " * 40] + [f"text number {i}" * (i % 7) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = packing.sequences(docs, packing.Tokenizer(path), length=64).collect()
+    back = {}
+    for r in rows:
+        assert len(r["ids"]) <= 64 and r["offsets"][0] == 0
+        for doc, piece, a, b in zip(r["doc_ids"], r["pieces"], r["offsets"], [*r["offsets"][1:], len(r["ids"])], strict=True):
+            back.setdefault(doc, {})[piece] = r["ids"][a:b]
+    got = {doc: [x for _, part in sorted(parts.items()) for x in part] for doc, parts in back.items()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
