@@ -16,7 +16,24 @@ from pyspark.sql import functions as F
 TASK_ROWS = 200_000
 
 
+#: Rows of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of a session's Arrow batches, if they are not bounded more tightly yet.
+
+    Plans read this setting when they run, after the call that made them, so it stays. Operators leave the session as it
+    is; queries and stages of the pipeline, which stand for an application, call this.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
