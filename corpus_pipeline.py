@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm import copies, langid, packing, pii, quality
-from patchlens.llm.common import cut, read
+from patchlens.llm.common import cut, read, small_batches
 from patchlens.llm.graph import near
 from patchlens.llm.queries import PIECES, WORDS, vocabulary
 
@@ -30,6 +30,7 @@ LEAST_FIT = 1.5
 
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id and text, with the whole row beside them: no column can clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
@@ -59,6 +60,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id, or have none, but not their other columns are told apart by 128 bits of the whole row.
     Null and empty texts and those without words are one group. An empty table gives no rows.
     """
+    small_batches(spark)
     row = [F.col(f"`{c}`") for c in docs.columns]
     whole = [x for c in row for x in (c, c.isNull())]
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*whole).alias("row"), F.xxhash64(F.lit("row"), *reversed(whole)).alias("more"))
@@ -86,6 +88,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens: a row for each piece of a document; its text is left where it is."""
+    small_batches(spark)
     return packing.pack(docs, packing.Tokenizer(vocabulary(WORDS)))
 
 
