@@ -81,16 +81,9 @@ def hunk_count(text: Column) -> Column:
 
 def line_counts(text: Column) -> Column:
     """(total, added, removed) of the hunk lines after the first `@@ `."""
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("removed"))
-
-    def step(s: Column, line: Column) -> Column:
-        one = lambda c: (s["inside"] & c).cast("bigint")
-        return F.struct(
-            (s["inside"] | line.startswith("@@ ")).alias("inside"),
-            (s["total"] + one(line.rlike("^[+ -]"))).alias("total"), (s["added"] + one(line.startswith("+"))).alias("added"), (s["removed"] + one(line.startswith("-"))).alias("removed"),
-        )
-
-    return F.aggregate(lines(F.coalesce(text, F.lit(""))), zero, step, lambda s: F.struct(s["total"].alias("total"), s["added"].alias("added"), s["removed"].alias("removed")))
+    # hunks_only() writes one kind of line end, so what begins a line is told by a pattern
+    count = lambda hunks, mark: F.regexp_count(hunks, F.lit(f"(?m)^{mark}")).cast("bigint")
+    return bound(hunks_only(text), lambda h: F.struct(count(h, "[+ -]").alias("total"), count(h, "[+]").alias("added"), count(h, "-").alias("removed")))
 
 
 def conflicts(text: Column, version: Column, commit: Column) -> Column:
