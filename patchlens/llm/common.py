@@ -66,6 +66,12 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; -1 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))
