@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm import copies, langid, packing, pii, quality
-from patchlens.llm.common import cut, read, small_batches
+from patchlens.llm.common import cut, discard, read, shared_dir, small_batches
 from patchlens.llm.graph import near
 from patchlens.llm.queries import PIECES, WORDS, vocabulary
 
@@ -99,13 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    from patchlens.llm.common import shared_dir
-
+    """All stages over documents, each written to the shared folder and read again; a table goes once the next is written."""
     shared_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            discard(spark, f"{folder}/{i - 1}")
     return docs
