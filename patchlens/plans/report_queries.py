@@ -580,6 +580,15 @@ def published_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(filters.qualifies(F.col("affected"), F.col("published"), day("1995-01-01"), day("1996-12-31"))).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
+MESSAGES = ["429 Quota exceeded for x", "RATE LIMIT reached", "400 API key not valid. Pass a valid one.", "500 Internal Error", "timeout", "invalid key"]
+
+
+@query("SELECT event_id, regexp_matches(lower(m), 'quota') OR contains(lower(m), 'rate limit') OR contains(lower(m), 'api key not valid') OR contains(lower(m), 'internal error') AS rotate FROM (SELECT event_id, ([" + ", ".join(f"'{m}'" for m in MESSAGES) + "])[event_id % 6 + 1] || ' ' || event_type AS m FROM events)")
+def key_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.concat(F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 6 + 1).cast("int")), F.lit(" "), F.col("event_type"))
+    return t(spark, sf_dir, "events").select("event_id", status.rotate_key(message).alias("rotate"))
+
+
 # the whole run
 
 RUN = """SELECT (SELECT count(*) FROM orders) AS total_patches_from_vanir, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total_fetch_failures, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS total_patches_for_application,
