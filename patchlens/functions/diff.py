@@ -70,9 +70,11 @@ def joined(found: Column) -> Column:
 
 def hunks_only(text: Column) -> Column:
     """The text from the first line that begins a hunk, or empty."""
-    parts = lines(F.coalesce(text, F.lit("")))
-    first = F.array_position(F.transform(parts, lambda x: x.startswith("@@ ")), True).cast("int")
-    return F.when(first > 0, F.array_join(F.slice(parts, F.greatest(first, F.lit(1)), F.size(parts)), "\n")).otherwise(F.lit(""))
+    def of(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, lambda x: x.startswith("@@ ")), True).cast("int")
+        return bound(first, lambda at: F.when(at > 0, F.array_join(F.slice(parts, F.greatest(at, F.lit(1)), F.size(parts)), "\n")).otherwise(F.lit("")))
+
+    return bound(lines(F.coalesce(text, F.lit(""))), of)
 
 
 def hunk_count(text: Column) -> Column:

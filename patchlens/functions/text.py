@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scan import bound
+
 #: What splits lines, as Python's splitlines() does.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]+"
@@ -12,9 +14,7 @@ WORD = r"[\p{L}\p{N}_]+"
 
 def lines(text: Column) -> Column:
     """Lines of a text; no empty one after a last line end, none of an empty text."""
-    parts = F.split(text, LINE_ENDS, -1)
-    ends = F.element_at(parts, -1) == ""
-    return F.when(ends, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, LINE_ENDS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def words_and_chars(text: Column) -> Column:
