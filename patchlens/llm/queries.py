@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embdedup, langid, packing, pieces, pii, quality, secrets, simhash, tiff
+from . import audit, chat, embdedup, exponion, htmltext, langid, packing, pieces, pii, quality, secrets, simhash, tiff
 from .common import read, remainder
 
 WORDS = "word_bpe_49k.json"
@@ -82,9 +82,24 @@ def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents under every order."""
+    return audit.audit(audit.documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 40 clusters after five rounds."""
+    return exponion.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_embdedup": op10_embdedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_embdedup": op10_embdedup, "op11_html": op11_html, "op12_audit": op12_audit, "op13_exponion": op13_exponion}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.duck_sql(), "op5_chat": chat.duck_sql()}
+    return {"op4_secrets": secrets.duck_sql(), "op5_chat": chat.duck_sql(), "op12_audit": audit.duck_sql(), "op13_exponion": exponion.duck_sql()}
