@@ -194,7 +194,9 @@ class Page:
 
     def text(self) -> str:
         """The content blocks in page order, white space inside each being one space, one a line."""
-        lines = []
+        lines: list[str] = []
+        if not self.blocks:
+            return ""
         for a, b, yes in zip(self.blocks, [*self.blocks[1:], len(self.paths)], self.content(), strict=True):
             if yes and (line := " ".join(html.unescape("".join(self.texts[a:b])).split())):
                 lines.append(line)

@@ -275,9 +275,12 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 
 
 def ranked(found: DataFrame, salts: int) -> DataFrame:
-    """Adds each piece's rank (from 0) among those of its length."""
+    """Adds each piece's rank (from 0) among those of its length; found: cut, so that rows keep their places.
+
+    Salts come from the place of a stored row, so rows that are equal in all columns spread as others do.
+    """
     # doc_id and piece order a salt's pieces; equal rows are interchangeable
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(salts)).cast("int"))
+    salted = found.withColumn("_salt", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

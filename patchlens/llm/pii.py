@@ -217,6 +217,20 @@ def span(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), rank.alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
 
 
+def apart(base: Column, wide: Column) -> Column:
+    """The candidates of wide that overlap no span of base: one look to the left and one to the right along both."""
+
+    def of(every: Column) -> Column:
+        end = scanned(F.transform(every, lambda e: F.when(e["own"] == 0, e["end"]).otherwise(F.lit(-1))), F.greatest)
+        start = F.reverse(scanned(F.reverse(F.transform(every, lambda e: F.when(e["own"] == 0, e["start"]).otherwise(F.lit(2**31 - 1)))), F.least))
+        around = F.zip_with(end, start, lambda e, s: F.struct(e.alias("end"), s.alias("start")))
+        free = F.zip_with(every, around, lambda c, a: F.when((c["own"] == 1) & (a["end"] <= c["start"]) & (a["start"] >= c["end"]), c["c"]))
+        return F.array_compact(free)
+
+    laid = lambda spans, own: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(own).alias("own"), c["end"].alias("end"), c.alias("c")))
+    return F.when((F.size(base) > 0) & (F.size(wide) > 0), bound(F.array_sort(F.concat(laid(base, 0), laid(wide, 1))), of)).otherwise(wide)
+
+
 def scan(docs: DataFrame, names: list[str] = NAMES, text: bool = True) -> DataFrame:
     """The columns of docs (a null text empty; a column `spans` gives way) and spans (start, rank of the kind, kind, end) by kind, then start.
 
@@ -229,7 +243,7 @@ def scan(docs: DataFrame, names: list[str] = NAMES, text: bool = True) -> DataFr
         found = cut(found.drop("text"))
     counted = histogram(found)
     weight = train(counted, estimate(counted)[1])
-    added = F.filter("wide", lambda c: (judged(weight, c) >= 0.5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    added = apart(F.col("base"), F.filter("wide", lambda c: judged(weight, c) >= 0.5))
     spans = F.transform(F.concat("base", added), span)
     ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     kept = F.col("_row").withField("text", F.col("text")) if text else F.col("_row")

@@ -83,18 +83,23 @@ class Network:
     def scores(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if self.fixed is not None:
             return np.full(len(sizes), self.fixed)
-        data = symbols(data, sizes)
         # long texts are cut where chunks begin, each piece with the bytes that its last chunk covers
         pieces = np.maximum(1, -(-sizes // PIECE))
         owner = np.repeat(np.arange(len(sizes)), pieces)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = (np.cumsum(sizes) - sizes)[owner] + place * PIECE
-        ends = np.minimum(starts + PIECE + WIDTH - STRIDE, np.cumsum(sizes)[owner])
+        after = np.cumsum(sizes)[owner]
+        starts = after - sizes[owner] + place * PIECE
+        ends = np.minimum(starts + PIECE + WIDTH - STRIDE, after)
+        # marks look at the LAGS bytes before a byte and at the three after it
+        early, late = np.maximum(starts - LAGS, after - sizes[owner]), np.minimum(ends + 3, after)
         best = np.full((len(sizes), FILTERS), -np.inf, np.float32)
         at = 0
         while at < len(owner):
             upto = max(at + 1, int(np.searchsorted(np.cumsum(ends[at:] - starts[at:]), PIECE, "right")) + at)
-            part = np.concatenate([data[a:b] for a, b in zip(starts[at:upto], ends[at:upto], strict=True)])
+            wide = late[at:upto] - early[at:upto]
+            part = symbols(np.concatenate([data[a:b] for a, b in zip(early[at:upto], late[at:upto], strict=True)]), wide)
+            spot = np.arange(len(part)) - np.repeat(np.cumsum(wide) - wide, wide)
+            part = part[(spot >= np.repeat((starts - early)[at:upto], wide)) & (spot < np.repeat((ends - early)[at:upto], wide))]
             going_on = place[at:upto] < pieces[owner[at:upto]] - 1
             np.maximum.at(best, owner[at:upto], self.strongest(part, ends[at:upto] - starts[at:upto], going_on)[0])
             at = upto

@@ -5,7 +5,8 @@ satisfies it. The trigrams of all queries are indexed: postings by (segment, tri
 about SEGMENT rows, so a posting list is bounded however common its trigram. Queries are evaluated by intersecting and
 uniting postings, candidates are verified with the pattern, and rules without mandatory trigrams scan every text.
 
-Candidates up to BROADCAST rows are broadcast to the scan that verifies; beyond that texts and candidates are shuffled.
+Candidates up to BROADCAST rows are broadcast to the scan that verifies; beyond that texts and candidates are shuffled,
+but for the rows that repeat most, which stay where they are read and meet a broadcast.
 Rows are named by a hash in the index. It only says where rules are tried: a text's spans are always found in that text.
 
 Null texts count as empty and have no spans. Equal texts have equal spans, equal rows are separate rows. An empty table
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .graph import LEAST, hottest, lookup
 from .spans import SPAN, duck_spans, duck_written, matches, placed, written
 
 #: Rows of an index segment, about.
@@ -197,9 +199,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast: int = BROA
     index = cut(build_index(rows, terms, segments))
     found = cut(candidates(index, indexed))
     # the other rules are tried where a query was satisfied; rows that share a hash by chance are only tried in vain
-    near = F.broadcast(found) if found.count() <= broadcast else found
     each = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.array(*(F.lit(r.kind) for r in fully)).cast("array<string>"))
-    named = rows.join(near, "rid", "left").withColumn("kinds", each)
+    if found.count() <= broadcast:
+        named = rows.join(F.broadcast(found), "rid", "left")
+    else:  # equal rows share a rid: those of the most rows meet a broadcast, where they lie
+        many = cut(rows.groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).join(found, "rid", "left"))
+        named = lookup(rows, cut(found.withColumn("n", F.lit(0).cast("bigint"))), "rid", hottest(many, "n"), "left").drop("n")
+    named = named.withColumn("kinds", each)
     return spans_of(named, rules, ranks, F.col("kinds")).select("doc_id", "text", "spans")
 
 

@@ -3,7 +3,8 @@
 The reader walks the chain of image directories (either byte order), decodes PackBits, LZW, deflate or plain strips
 and tiles, together or in planes, undoes horizontal differencing of whole numbers of 8 to 64 bits and the byte-wise
 differencing of floating-point ones, and gives each page's samples row by row: little-endian, samples of fewer than 8 bits as a byte
-each. A page that cannot be decoded is a row with its error and null samples; the pages before it stay. Null and empty
+each. A page that cannot be decoded is a row with its error and null samples; the pages before it stay.
+So is one whose sizes are zero, do not fit its stored bytes, or come to more than MOST bytes of samples. Null and empty
 media give no rows, repeated rows give theirs again, and an empty table gives none. Rows leave in batches of bounded
 bytes, a file at a time; a page is held whole.
 
@@ -39,6 +40,10 @@ CLEAR, STOP, WIDEST = 256, 257, 4094
 HORIZONTAL, FLOATING, REAL = 2, 3, 3
 #: Every byte with its bits the other way round.
 TURNED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).tobytes()
+#: Bytes of samples that one page may have: a column's value is held whole.
+MOST = 1 << 30
+#: Bytes that a stored byte becomes, at most, by codec.
+GROWS = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 #: Bytes of the pages that leave in one batch, about.
 BATCH_BYTES = 4 << 20
 
@@ -181,7 +186,8 @@ def encode(rows: np.ndarray, compression: int) -> bytes:
     return lzw_encode(rows.tobytes()) if compression == LZW else zlib.compress(rows.tobytes(), 1) if compression == DEFLATE else rows.tobytes()
 
 
-def decode(data: bytes, compression: int) -> bytes:
+def decode(data: bytes, compression: int, most: int = MOST) -> bytes:
+    """The bytes of a strip or tile; deflate stops after the `most` that it should have."""
     if compression == PLAIN:
         return data
     if compression == PACKBITS:
@@ -189,7 +195,11 @@ def decode(data: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        inflater = zlib.decompressobj()
+        out = inflater.decompress(data, most)
+        if len(out) < most and not inflater.eof:
+            raise ValueError("deflate data end early")
+        return out
     raise ValueError(f"compression {compression}")
 
 
@@ -264,7 +274,7 @@ def read_pages(media: bytes) -> Iterator[Page]:
                     fields[tag] = struct.unpack_from(form, media, place + 8 if inside else struct.unpack_from(order + "I", media, place + 8)[0])
             (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * count)
             decode_page(media, fields, page, order)
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, TypeError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
             page.error, page.data, at = f"{type(e).__name__}: {e}", None, 0
         yield page
         number += 1
@@ -292,8 +302,11 @@ def undone(raw: bytes, rows: int, across: int, samples: int, bits: int, predicto
 
 def decode_page(media: bytes, fields: dict[int, tuple[int, ...]], page: Page, order: str) -> None:
     one = lambda name, default=None: fields[TAGS[name]][0] if default is None else fields.get(TAGS[name], (default,))[0]
-    page.width, page.height, page.samples = one("width"), one("height"), one("samples", 1)
-    page.compression, page.predictor, page.bits = one("compression", PLAIN), one("predictor", 1), one("bits", 1)
+    sizes = {"width": one("width"), "height": one("height"), "samples": one("samples", 1), "strip height": one("strip_rows", 1), "tile width": one("tile_width", 1), "tile height": one("tile_height", 1)}
+    if wrong := [n for n, v in sizes.items() if not 0 < v < 1 << 31 and (n, v) != ("strip height", (1 << 32) - 1)]:
+        raise ValueError(f"{wrong[0]} of {sizes[wrong[0]]}")
+    page.width, page.height, page.samples = sizes["width"], sizes["height"], sizes["samples"]
+    page.compression, page.predictor, page.bits = (min(v, (1 << 31) - 1) for v in (one("compression", PLAIN), one("predictor", 1), one("bits", 1)))
     page.tiled = TAGS["tile_offsets"] in fields
     real = one("sample_format", 1) == REAL
     if len(set(fields.get(TAGS["bits"], (1,)))) > 1 or page.bits not in (1, 2, 4, 8, 16, 32, 64):
@@ -309,13 +322,19 @@ def decode_page(media: bytes, fields: dict[int, tuple[int, ...]], page: Page, or
     if len(places) < columns * bands * planes:
         raise ValueError("strips or tiles are missing")
     size = max(1, page.bits // 8)
+    whole = page.height * page.width * page.samples * size
+    blocks = range(columns * bands * planes)
+    held = sum(max(0, min(sizes[k], len(media) - places[k])) for k in blocks) * GROWS.get(page.compression, 1) * (8 // min(8, page.bits))
+    if whole > min(MOST, held):
+        raise ValueError(f"{whole} bytes of samples in strips or tiles that hold {held} at most")
+    wide = -(-across * together * page.bits // 8) * down
     out = np.empty((page.height, page.width, page.samples, size), np.uint8)
-    for k in range(columns * bands * planes):
+    for k in blocks:
         plane, at = divmod(k, columns * bands)
         y, x = at // columns * down, at % columns * across
         rows = down if page.tiled else min(down, page.height - y)
         stored = media[places[k] : places[k] + sizes[k]]
-        raw = decode(stored.translate(TURNED) if one("fill_order", 1) == 2 else stored, page.compression)
+        raw = decode(stored.translate(TURNED) if one("fill_order", 1) == 2 else stored, page.compression, wide)
         block = undone(raw, rows, across, together, page.bits, page.predictor, order).reshape(rows, across, together, size)
         block = block[: page.height - y, : page.width - x]
         out[y : y + block.shape[0], x : x + block.shape[1], plane : plane + together] = block
