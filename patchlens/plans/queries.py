@@ -585,4 +585,4 @@ def rollup_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("event_type", "bucket").agg(F.grouping_id().alias("kind"), F.count("*").alias("n"))
 
 
-from . import report_queries  # noqa: E402, F401 (adds its queries to QUERIES)
+from . import patch_queries, report_queries  # noqa: E402, F401 (add their queries to QUERIES)
