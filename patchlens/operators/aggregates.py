@@ -62,12 +62,6 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """All rows of a total order, numbered from 1: ranges are sorted and numbered apart, with the counts of those before."""
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, f"{df._jdf.schema().toDDL()}, rank bigint")
-
-
 def classified(rows: DataFrame, key: str, status: str, good: str, bad: str) -> DataFrame:
     """Successes, failures and all of a key, and the class that these make."""
     s = F.col(status)

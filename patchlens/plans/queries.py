@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, diff, status, text, url
 from ..operators import aggregates as agg
-from ..operators import filters, joins, reshape
+from ..operators import filters, joins, ordered, reshape
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,7 +349,7 @@ def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT v, row_number() OVER (ORDER BY o DESC) AS rank FROM ({VERSIONS})")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.ranked(_versions(spark, sf_dir), F.desc("ver")).select("v", "rank")
+    return ordered.ranked(_versions(spark, sf_dir), F.desc("ver")).select("v", "rank")
 
 
 @query("""SELECT n_regionkey, bool_and(n = expected) AS matches, count(*) FILTER (n <> expected) AS mismatches FROM (
@@ -419,7 +419,7 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.when(F.col("o_orderkey") % 10 == 0, "N/A").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rows = t(spark, sf_dir, "orders").select("o_orderkey", dates.aware(d).alias("d"))
-    return agg.ranked(rows, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
+    return ordered.ranked(rows, F.col("d").asc_nulls_first(), F.asc("o_orderkey")).select("o_orderkey", "rank")
 
 
 @query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
@@ -585,4 +585,4 @@ def rollup_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("event_type", "bucket").agg(F.grouping_id().alias("kind"), F.count("*").alias("n"))
 
 
-from . import patch_queries, report_queries  # noqa: E402, F401 (add their queries to QUERIES)
+from . import ordered_queries, patch_queries, report_queries  # noqa: E402, F401 (add their queries to QUERIES)

@@ -26,6 +26,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written once: what is read from it again stays as it was, and a lost executor costs no recomputation."""
+    target = folder(df.sparkSession, "stored")
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def files(df: DataFrame, suffix: str, target: str) -> str:
     """Writes `value` of each row to the file `name` + suffix of the folder target; names are few, and plain words."""
     spark = df.sparkSession
