@@ -7,6 +7,7 @@ tag) reaches to the end of the text; a "<" that begins no tag is text.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ SCOPES = frozenset("button caption html object table td template th".split())
 #: Starts that end an open element: the starts, the elements, and the elements beyond which they do not reach.
 ENDED = (
     ("li", "li", "menu ol ul"), ("dd dt", "dd dt", "dl"), ("option", "option", "optgroup select"), ("optgroup", "optgroup", "select"),
+    ("h1 h2 h3 h4 h5 h6", "h1 h2 h3 h4 h5 h6", "article aside blockquote div main section table"),
     ("td th", "td th", "table tr"), ("tr", "tr", "table tbody tfoot thead"), ("tbody tfoot thead", "tbody tfoot thead", "table"),
 )
 STARTS, ENDING, LIMITS = ({name: [k for k, rule in enumerate(ENDED) if name in rule[i].split()] for rule in ENDED for name in rule[i].split()} for i in range(3))
@@ -139,3 +141,48 @@ def events(source: str) -> Iterator[tuple[int, str, str]]:
                 push(name)
     while stack:
         yield pop()
+
+
+def words(parts: list[str]) -> str:
+    """Text pieces as one line, character references decoded."""
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def metadata(source: str | None) -> dict:
+    """What a page says about itself: title, headings, addresses of links, <time> stamps, rows of its tables (the text of
+    the <th> and the texts of the <td>, of rows with either), and the first <strong> after the words "Commit date"."""
+    found: dict = {"title": None, "headings": [], "links": [], "times": [], "rows": [], "spoken": None}
+    opened: list[tuple[str, list[str]]] = []  # elements whose text is wanted, each with its pieces
+    rows: list[tuple[list[str], list[str]]] = []  # rows that are open: texts of th and of td
+    said = ""  # the end of the text so far
+    for kind, name, more in events(source or ""):
+        if kind == TEXT:
+            if more not in ("script", "style"):
+                for _, pieces in opened:
+                    pieces.append(name)
+                said = (said + name)[-200:] if name.strip() else said
+        elif kind == OPEN:
+            given = attributes(more) if more else {}
+            if name == "a" and given.get("href"):
+                found["links"].append(html.unescape(given["href"]))
+            elif name == "time" and given.get("datetime"):
+                found["times"].append(html.unescape(given["datetime"]))
+            elif name == "tr":
+                rows.append(([], []))
+            if name in ("title", "h1", "h2", "th", "td") or name == "strong" and found["spoken"] is None and "Commit date" in said:
+                opened.append((name, []))
+        elif opened and opened[-1][0] == name:
+            text = words(opened.pop()[1])
+            if name == "title":
+                found["title"] = text if found["title"] is None else found["title"]
+            elif name in ("h1", "h2"):
+                found["headings"].append(text)
+            elif name == "strong":
+                found["spoken"] = text
+            elif rows:
+                rows[-1][name == "td"].append(text)
+        elif name == "tr" and rows:
+            heads, cells = rows.pop()
+            if heads or cells:
+                found["rows"].append({"title": " ".join(heads), "cells": cells})
+    return found

@@ -165,7 +165,12 @@ def breakdown(rejected: DataFrame, ungenerated: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def error_ends(rows: DataFrame, error: str, order: str) -> DataFrame:
+    """Failures of each error, and the first and the last of them by `order`."""
+    return rows.groupBy(F.coalesce(error, F.lit("Unknown Error")).alias("error_type")).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
 def by_error(rows: DataFrame, error: str, fields: list[str]) -> DataFrame:
-    """Failures of each error, and what failed; no error reads Unknown Error."""
+    """Failures of each error, and what failed; no error reads Unknown Error. One list an error: for reports that are small by nature."""
     named = rows.withColumn("error_type", F.coalesce(F.col(error), F.lit("Unknown Error")))
     return named.groupBy("error_type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*fields))).alias("failed"))

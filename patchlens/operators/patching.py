@@ -6,15 +6,11 @@ helpers on single values. A null text is a file that is not there, a null patch
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import patches
+from .arrow import computed
 
 HUNK = "hunk int, line int, offset int, fuzz int, placed boolean"
 TRIED = f"struct<path string, code int, output string, applied_before boolean, hunks array<struct<{HUNK}>>>"
@@ -22,28 +18,6 @@ APPLIED = "struct<text string, rejects string, total_hunks int, failed_hunks arr
 MERGED = "struct<text string, conflicts int>"
 
 
-def ddl(kind: str) -> str:
-    """A struct written with spaces between names and types, as Spark reads it."""
-    return kind.replace(" ", ": ").replace(",: ", ", ")
-
-
-def computed(df: DataFrame, name: str, kind: str, function: Callable[..., Any], *inputs: Column) -> DataFrame:
-    """df with one more column: a Python function of the inputs of each row."""
-    spark = df.sparkSession
-    arrow = to_arrow_schema(spark.createDataFrame([], f"`{name}` {ddl(kind)}").schema).field(0).type
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    many = len(inputs)
-    picked = df.select(row, *(c.alias(f"_{i}") for i, c in enumerate(inputs)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [function(*x) for x in zip(*(batch.column(i + 1).to_pylist() for i in range(many)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], ["_row", name])
-
-    schema = f"_row {picked.schema['_row'].dataType.simpleString()}, `{name}` {ddl(kind)}"
-    return picked.mapInArrow(run, schema).select("_row.*", name)
-
-
 def differences(df: DataFrame, old: Column, new: Column, path: Column, name: str = "patch", context: int = patches.CONTEXT) -> DataFrame:
     """Adds the section of a patch that makes new from old by a shortest edit script; empty where they are equal."""
     return computed(df, name, "string", lambda a, b, p: patches.unified(a, b, p or "", context), old, new, path)

@@ -407,12 +407,12 @@ def slice_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("""SELECT o_orderkey, o_orderdate AS naive, o_orderdate - INTERVAL 2 HOUR AS utc, epoch(o_orderdate)::BIGINT AS seconds, o_orderdate IS NULL AS none FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS o_orderdate FROM orders)""")
+@query("""SELECT o_orderkey, o_orderdate AS naive, o_orderdate - INTERVAL 2 HOUR AS utc, coalesce(epoch(o_orderdate)::BIGINT, 0) AS seconds, o_orderdate IS NULL AS none FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS o_orderdate FROM orders)""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "N/A").otherwise(F.concat(d, F.lit("+02:00"))).alias("d"))
     naive = dates.naive(F.col("d"))
-    return rows.select("o_orderkey", naive.alias("naive"), dates.aware(F.col("d")).cast("timestamp_ntz").alias("utc"), F.when(naive.isNotNull(), dates.epoch(dates.aware(F.concat(F.left("d", F.lit(19)), F.lit("Z"))))).alias("seconds"), naive.isNull().alias("none"))
+    return rows.select("o_orderkey", naive.alias("naive"), dates.aware(F.col("d")).cast("timestamp_ntz").alias("utc"), dates.epoch(dates.aware(F.concat(F.left("d", F.lit(19)), F.lit("Z")))).alias("seconds"), naive.isNull().alias("none"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey) AS rank FROM orders")
@@ -547,13 +547,13 @@ def console_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT *, input_tokens + output_tokens AS total_tokens, applied_directly + fixed AS successful, forwarded - fixed AS failed, printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / for_application, 2)) AS application_rate,
 printf('%.2f%%', round(CAST(100 AS DOUBLE) * (applied_directly + fixed) / total_patches, 2)) AS pipeline_rate FROM
 (SELECT count(*) AS total_patches, count(*) FILTER (o_orderstatus = 'P') AS fetch_failures, count(*) FILTER (o_orderstatus <> 'P') AS for_application, count(*) FILTER (o_orderstatus = 'F') AS applied_directly, count(*) FILTER (o_orderstatus = 'O') AS forwarded FROM orders),
-(SELECT count(*) FILTER (l_returnflag = 'A') AS fixed, count(*) FILTER (l_returnflag <> 'A') AS fix_rejected, sum(l_linenumber)::BIGINT AS input_tokens, sum(2 * l_linenumber)::BIGINT AS output_tokens FROM lineitem WHERE l_linenumber = 1), (SELECT count(*) AS generation_failures FROM lineitem WHERE l_linenumber = 7)""")
+(SELECT count(*) FILTER (l_returnflag = 'A') AS fixed, count(*) FILTER (l_returnflag <> 'A') AS fix_rejected, sum(l_linenumber)::BIGINT AS input_tokens, sum(2 * l_linenumber)::BIGINT AS output_tokens FROM lineitem WHERE l_linenumber % 4 <> 3), (SELECT count(*) AS generation_failures FROM lineitem WHERE l_linenumber % 4 = 3)""")
 def pipeline_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
     s = F.col("o_orderstatus")
     applied = orders.filter(s != "P").select(F.when(s == "F", status.CLEAN).otherwise(status.HUNKS).alias("detailed_status"), (s == "O").alias("forwarded"))
-    repaired = items.filter("l_linenumber = 1").select(F.when(F.col("l_returnflag") == "A", status.CLEAN).when(F.col("l_returnflag") == "R", status.HUNKS).alias("detailed_status"), F.when(F.col("l_returnflag") == "A", status.APPLIED).otherwise(status.REJECTED).alias("status"), long("l_linenumber").alias("input_tokens"), long(F.col("l_linenumber") * 2).alias("output_tokens"))
-    return agg.funnel(orders.select((s == "P").alias("failed")), applied, repaired, items.filter("l_linenumber = 7"))
+    repaired = items.filter("l_linenumber % 4 <> 3").select(F.when(F.col("l_returnflag") == "A", status.CLEAN).when(F.col("l_returnflag") == "R", status.HUNKS).alias("detailed_status"), F.when(F.col("l_returnflag") == "A", status.APPLIED).otherwise(status.REJECTED).alias("status"), long("l_linenumber").alias("input_tokens"), long(F.col("l_linenumber") * 2).alias("output_tokens"))
+    return agg.funnel(orders.select((s == "P").alias("failed")), applied, repaired, items.filter("l_linenumber % 4 = 3"))
 
 
 @query("""SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, 'Unknown Error') AS error_type, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1""")

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dates, diff, status, text, url
 from ..operators import aggregates as agg
-from ..operators import filters, joins, reshape
+from ..operators import filters, joins, ordered, reshape
 from ..sources import reports as scans
 from ..sources import scratch, sinks
 from . import reports as plans
-from .queries import NL, long, query, t
+from .queries import NL, SQL, long, query, success_matrix_pivot, t
 
 
 def joined(*parts: Column | str) -> Column:
@@ -28,6 +28,11 @@ def s(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def thousand(c: str) -> Column:
+    """The document of a row, where a table is written as documents: a thousand numbers each, however many rows there are."""
+    return F.floor(F.col(c) / 1000).alias("doc")
+
+
 # scans and sinks
 
 
@@ -35,7 +40,7 @@ def s(c: str) -> Column:
 def scan_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = joined("f", s("l_linenumber"), ".c", F.when(F.col("l_linenumber") % 3 == 1, "::g").when(F.col("l_linenumber") % 3 == 2, "::B::h").otherwise(""))
     one = F.struct(joined("p", s("l_partkey")).alias("patch"), code.alias("unpatched_code"))
-    found = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("details")).select((F.col("l_orderkey") % 20).alias("doc"), F.struct(joined("i", s("l_orderkey")).alias("ID"), "details").alias("m"))
+    found = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("details")).select(thousand("l_orderkey"), F.struct(joined("i", s("l_orderkey")).alias("ID"), "details").alias("m"))
     docs = found.groupBy("doc").agg(F.collect_list("m").alias("missing_patches"))
     rows = scans.scanner(spark, scratch.documents(docs, "doc", scratch.folder(spark, "scanner"), "missing_patches"))
     parts = text.split_once(F.col("unpatched_code"), "::")
@@ -47,7 +52,7 @@ def scan_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", joined("f", s("l_partkey")).alias("file"), joined("s", s("l_suppkey")).alias("function"))
     listed = reshape.regroup(rows, "l_orderkey", "file", "function", "l_linenumber")
     files = F.map_from_entries(F.transform("files", lambda f: F.struct(f["file"], F.struct(f["items"].alias("functions")))))
-    one = listed.select((F.col("l_orderkey") % 20).alias("doc"), F.struct(joined("u", s("l_orderkey")).alias("patch_url"), files.alias("files")).alias("p"))
+    one = listed.select(thousand("l_orderkey"), F.struct(joined("u", s("l_orderkey")).alias("patch_url"), files.alias("files")).alias("p"))
     docs = one.groupBy("doc").agg(F.collect_list("p").alias("patches"))
     found = scans.parsed(spark, scratch.documents(docs, "doc", scratch.folder(spark, "parsed"), "patches"))
     return found.select("patch_url", F.explode("files").alias("file", "f")).select("patch_url", "file", F.explode("f.functions").alias("function"))
@@ -56,27 +61,27 @@ def scan_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'u' || o_orderkey AS patch_url, o_orderpriority AS project FROM orders")
 def scan_either_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(joined("u", s("o_orderkey")).alias("patch_url"), F.col("o_orderpriority").alias("project"))
-    docs = t(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 20).alias("doc")).agg(F.collect_list(one).alias("p"))
+    docs = t(spark, sf_dir, "orders").groupBy(thousand("o_orderkey")).agg(F.collect_list(one).alias("p"))
     value = F.when(F.col("doc") % 2 == 0, F.to_json("p")).otherwise(F.to_json(F.struct(F.col("p").alias("patches"))))
     return scans.patches(spark, scratch.documents(docs.withColumn("value", value), "doc", scratch.folder(spark, "roots"))).select("patch_url", "project")
 
 
-LOGGED = "SELECT 'day' || day(ts) % 10 || '.json' AS source_file, 'v' || user_id AS vulnerability_id, 'src/f' || user_id % 7 || '.c' AS file_name, CASE WHEN (props::JSON ->> 'k')::BIGINT % 10 = 0 THEN 'unknown' ELSE 'r' || (props::JSON ->> 'k')::BIGINT % 10 END AS reason FROM events WHERE event_type = 'error'"
+LOGGED = "SELECT 'log' || event_id // 1000 || '.json' AS source_file, 'v' || user_id AS vulnerability_id, 'src/f' || user_id % 7 || '.c' AS file_name, CASE WHEN (props::JSON ->> 'k')::BIGINT % 10 = 0 THEN 'unknown' ELSE 'r' || (props::JSON ->> 'k')::BIGINT % 10 END AS reason FROM events WHERE event_type = 'error'"
 
 
 def _logged(spark: SparkSession, sf_dir: str, name: str, broken: bool = False) -> DataFrame:
-    """Failure logs of ten days, read back; one file of the days that end in 3 is cut off, where that is asked for."""
+    """Failure logs of a thousand events each, read back; files whose number ends in 3 are cut off, where that is asked for."""
     rows = t(spark, sf_dir, "events").filter("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("bigint") % 10
     one = F.struct(joined("v", s("user_id")).alias("vulnerability_id"), joined("src/f", (F.col("user_id") % 7).cast("string"), ".c").alias("file_name"), F.when(k > 0, joined("r", k.cast("string"))).alias("reason"))
-    docs = rows.groupBy((F.dayofmonth("ts") % 10).alias("doc")).agg(F.collect_list(one).alias("skipped_or_errored_diff_generation_log"))
+    docs = rows.groupBy(thousand("event_id")).agg(F.collect_list(one).alias("skipped_or_errored_diff_generation_log"))
     whole = F.to_json(F.struct(F.lit("14").alias("target_downstream_version"), "skipped_or_errored_diff_generation_log"))
-    value = F.when(F.col("doc") == 3, F.left(whole, F.length(whole) - 5)).otherwise(whole) if broken else whole
-    folder = scratch.documents(docs.select(joined("day", s("doc")).alias("name"), value.alias("value")), "name", scratch.folder(spark, name))
+    value = F.when(F.col("doc") % 10 == 3, F.left(whole, F.length(whole) - 5)).otherwise(whole) if broken else whole
+    folder = scratch.documents(docs.select(joined("log", s("doc")).alias("name"), value.alias("value")), "name", scratch.folder(spark, name))
     return scans.failure_logs(spark, [folder, f"{folder}/none.json"])
 
 
-@query(f"SELECT source_file, vulnerability_id, reason FROM ({LOGGED}) WHERE source_file <> 'day3.json'")
+@query(f"SELECT source_file, vulnerability_id, reason FROM ({LOGGED}) WHERE source_file NOT LIKE '%3.json'")
 def scan_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logged(spark, sf_dir, "tolerant", True).select("source_file", "vulnerability_id", "reason")
 
@@ -125,13 +130,14 @@ def line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.id_list(spark, folder)
 
 
-@query("SELECT 'd/part' || p_partkey || '.c.rej' AS path, '@@ ' || p_name || chr(10) AS content FROM part WHERE p_size < 10")
+@query("SELECT 'd/part' || p_partkey // 20 || '.c.rej' AS path, string_agg('@@ ' || p_name || chr(10), '' ORDER BY p_partkey) || chr(10) AS content FROM part WHERE p_size < 25 GROUP BY p_partkey // 20")
 def find_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = t(spark, sf_dir, "part")
+    """Reject files below a folder, of up to twenty hunks each, among files of other names."""
     folder = scratch.folder(spark, "rejects")
-    rows = lambda condition: part.filter(condition).select(joined("part", s("p_partkey"), ".c").alias("name"), joined("@@ ", F.col("p_name")).alias("value"))
-    scratch.files(rows("p_size < 10"), ".rej", f"{folder}/d")
-    scratch.files(rows("p_size BETWEEN 10 AND 12"), ".orig", f"{folder}/e")
+    hunks = t(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("file"), (F.col("p_size") < 25).alias("torn")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", joined("@@ ", F.col("p_name"), "\n").alias("h")))).alias("h"))
+    rows = lambda torn: hunks.filter(torn).select(joined("part", s("file"), ".c").alias("name"), F.array_join("h.h", "").alias("value"))
+    scratch.files(rows("torn"), ".rej", f"{folder}/d")
+    scratch.files(rows("NOT torn"), ".orig", f"{folder}/e")
     return scans.reject_files(spark, folder)
 
 
@@ -149,9 +155,9 @@ def sink_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report by file: one document, written and read back, with the place of each patch under its file."""
     rows = t(spark, sf_dir, "lineitem").select(s("l_partkey").alias("file"), s("l_orderkey").alias("patch_url"), F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")).alias("d"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
     folder = scratch.folder(spark, "by_file")
-    sinks.json_document(reshape.inverted(rows, "file", "d", "o", ["patch_url"]), folder, "grouped_patch_records")
-    back = spark.read.schema(schemas.GROUPED).json(folder).select(F.explode("grouped_patch_records").alias("g"))
-    return back.select("g.file", F.posexplode("g.patches").alias("p", "x")).select("file", F.col("x.patch_url").cast("bigint").alias("patch_url"), long(F.col("p") + 1).alias("place"))
+    sinks.document(reshape.inverted(rows, "file", "d", "o", ["patch_url"]), folder, "grouped_patch_records", "file")
+    back = scans.document(spark, folder, schemas.GROUPED_RECORD)
+    return back.select("file", F.posexplode("patches").alias("p", "x")).select("file", F.col("x.patch_url").cast("bigint").alias("patch_url"), long(F.col("p") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
@@ -176,6 +182,14 @@ def sink_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out if not scratch.exists(spark, f"{folder}.txt") else out.limit(0)
 
 
+@query(SQL["success_matrix_pivot"])
+def sink_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The success matrix, a column for each target, written as CSV and read back."""
+    folder = scratch.folder(spark, "matrix")
+    sinks.csv(success_matrix_pivot(spark, sf_dir), folder)
+    return spark.read.option("header", True).option("escape", '"').csv(folder)
+
+
 CELLS = "SELECT o_orderpriority AS src, o_orderstatus AS tgt, round(100.0::DOUBLE * count(*) FILTER (o_totalprice > 150000) / count(*), 2) AS rate, count(*) AS n FROM orders GROUP BY 1, 2"
 
 
@@ -194,7 +208,7 @@ def html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT 'vulnerabilities' AS chart, vulnerability_id AS label, n AS value FROM (SELECT vulnerability_id, count(DISTINCT source_file) AS n FROM ({LOGGED}) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15)
 UNION ALL SELECT 'reasons', reason, count(*) FROM ({LOGGED}) GROUP BY 2
-UNION ALL SELECT 'sources', source_file, count(DISTINCT vulnerability_id) FROM ({LOGGED}) GROUP BY 2
+UNION ALL (SELECT 'sources', source_file, count(DISTINCT vulnerability_id) AS n FROM ({LOGGED}) GROUP BY 2 ORDER BY n DESC, source_file LIMIT 10)
 UNION ALL SELECT 'files', regexp_extract(file_name, '[^/]*$'), count(*) FROM ({LOGGED}) GROUP BY 2""")
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = plans.charts(_logged(spark, sf_dir, "charts"))
@@ -232,7 +246,7 @@ CASE l_linenumber % 3 WHEN 0 THEN 'src/a.c' WHEN 1 THEN 'src/b.c' ELSE 'src/none
 COUNTED = f"""SELECT *, l_returnflag = 'R' AS own, CASE WHEN l_returnflag = 'R' THEN CASE file WHEN 'src/a.c' THEN m ELSE 0 END ELSE CASE file WHEN 'src/a.c' THEN k WHEN 'src/b.c' THEN 1 ELSE 0 END END AS gt_added,
 CASE WHEN l_returnflag = 'R' THEN CASE file WHEN 'src/a.c' THEN m ELSE 0 END ELSE CASE file WHEN 'src/a.c' THEN k + 1 WHEN 'src/b.c' THEN 3 ELSE 0 END END AS gt_total,
 CASE WHEN l_returnflag <> 'R' AND file = 'src/b.c' THEN 1 ELSE 0 END AS gt_removed, CASE WHEN l_returnflag = 'R' THEN CASE file WHEN 'src/a.c' THEN 1 ELSE 0 END ELSE CASE file WHEN 'src/a.c' THEN 1 WHEN 'src/b.c' THEN 2 ELSE 0 END END AS gt_hunks FROM ({LINES})"""
-ATTEMPTS = f"""SELECT 'log' || k || '.json' AS json_file_source, CASE WHEN k = 4 THEN 'MISSING_IN_SUMMARY' ELSE 's' || k || {NL} || '"q"' END AS system_prompt, CASE WHEN k = 4 THEN 'MISSING_IN_SUMMARY' ELSE 'b' || k % 2 END AS base_task_prompt,
+ATTEMPTS = f"""SELECT 'log' || k || '-' || l_orderkey // 1000 || '.json' AS json_file_source, CASE WHEN k = 4 THEN 'MISSING_IN_SUMMARY' ELSE 's' || k || {NL} || '"q"' END AS system_prompt, CASE WHEN k = 4 THEN 'MISSING_IN_SUMMARY' ELSE 'b' || k % 2 END AS base_task_prompt,
 'v' || l_orderkey AS vulnerability_id, l_returnflag AS downstream_version, file AS target_file_name, l_linenumber::BIGINT AS original_patch_total_hunks_for_file,
 CASE l_linenumber % 4 WHEN 1 THEN '1' WHEN 2 THEN '1,2' WHEN 3 THEN '1,2,3' ELSE '' END AS original_patch_failed_hunk_numbers, (l_linenumber % 4)::BIGINT AS rej_file_reported_hunk_count,
 1::BIGINT AS rej_file_actual_hunk_count, (q + 1)::BIGINT AS rej_file_total_lines, q::BIGINT AS rej_file_added_lines, 1::BIGINT AS rej_file_removed_lines,
@@ -246,7 +260,7 @@ FROM (SELECT *, unnest(CASE tries WHEN 0 THEN [0] WHEN 1 THEN [1] ELSE [1, 2] EN
 
 
 def _logs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Five logs of runs, written and read back: orders as vulnerabilities, return flags as versions, lines as conflicts."""
+    """Logs of runs, of a thousand numbers of orders each, written and read back: orders as vulnerabilities, return flags as versions, lines as conflicts."""
     orders = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("k"))
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int") % 7
     tries = n % 3
@@ -266,11 +280,11 @@ def _logs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     version = F.struct(F.col("l_returnflag").alias("downstream_version"), F.when(F.col("l_returnflag") == "R", own).when(F.col("l_returnflag") == "A", "").alias("downstream_patch_content"), "file_conflicts")
     upstream = joined("commit\ndiff --git a/src/a.c b/src/a.c\n--- a/src/a.c\n+++ b/src/a.c\n@@ -1,2 +1,2 @@\n keep", F.repeat(F.lit("\n+u"), F.col("k").cast("int")), "\ndiff --git a/src/b.c b/src/b.c\n@@ -1 +1 @@ x\n-p\n+q\n@@ -9 +9 @@ y\n r\n")
     vulnerabilities = versions.groupBy("l_orderkey").agg(F.collect_list(version).alias("failures")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    docs = vulnerabilities.groupBy("k").agg(F.collect_list(F.struct(joined("v", s("l_orderkey")).alias("id"), upstream.alias("upstream_patch_content"), "failures")).alias("failures"))
+    docs = vulnerabilities.groupBy("k", thousand("o_orderkey")).agg(F.collect_list(F.struct(joined("v", s("l_orderkey")).alias("id"), upstream.alias("upstream_patch_content"), "failures")).alias("failures"))
     summary = F.when(F.col("k") != 4, F.struct(joined("s", s("k"), '\n"q"').alias("system_prompt"), joined("b", (F.col("k") % 2).cast("string")).alias("base_task_prompt")))
     # nodes of another type are passed over
     value = F.regexp_replace(F.to_json(F.struct(summary.alias("summary"), "failures")), r'(?s)^(.*?"failures":\[)', '$1"odd",')
-    folder = scratch.documents(docs.select(joined("log", s("k")).alias("name"), value.alias("value")), "name", scratch.folder(spark, name))
+    folder = scratch.documents(docs.select(joined("log", s("k"), "-", s("doc")).alias("name"), value.alias("value")), "name", scratch.folder(spark, name))
     return scans.run_logs(spark, folder)
 
 
@@ -287,7 +301,7 @@ def attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source_file, n, row_number() OVER (ORDER BY source_file) AS rank FROM (SELECT json_file_source AS source_file, count(DISTINCT vulnerability_id) AS n FROM ({ATTEMPTS}) GROUP BY 1)")
 def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.top(_logs(spark, sf_dir, "scanned").select("source_file", long(F.size(F.filter("failures", lambda v: v.isNotNull()))).alias("n")), 5, F.asc("source_file"))
+    return ordered.ranked(_logs(spark, sf_dir, "scanned").select("source_file", long(F.size(F.filter("failures", lambda v: v.isNotNull()))).alias("n")), F.asc("source_file"))
 
 
 CONFLICTS = "count(DISTINCT vulnerability_id || '|' || downstream_version || '|' || target_file_name)"
@@ -384,12 +398,12 @@ GROUPED = f"SELECT l_orderkey, CASE WHEN f = n THEN 'vulnerabilities_with_all_fa
 
 
 def _report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An evaluation report in twenty files, its vulnerabilities in their groups, read back."""
+    """An evaluation report in files of a thousand numbers of orders each, its vulnerabilities in their groups, read back."""
     rows = _evaluated(spark, sf_dir)
     classes = plans.classified(rows).select("id", F.concat(F.lit("vulnerabilities_with_"), F.when(F.col("class") == "all_successful", "all_successful_patches").otherwise(F.col("class"))).alias("_group"))
     whole = F.struct("id", "vulnerability_url", "severity", "patch_attempts")
     lists = [F.collect_list(F.when(F.col("_group") == g, whole)).alias(g) for g in schemas.GROUPS]
-    docs = rows.join(classes, "id").groupBy((F.col("l_orderkey") % 20).alias("doc")).agg(*lists)
+    docs = rows.join(classes, "id").groupBy(thousand("l_orderkey")).agg(*lists)
     return scans.evaluations(spark, scratch.documents(docs, "doc", scratch.folder(spark, name), *schemas.GROUPS))
 
 
@@ -567,7 +581,16 @@ def commit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = joined('<p><time class="a" datetime="', F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '">then</time></p>')
     spoken = joined("<span>Commit date</span> <strong>", F.date_format(d, "MMM dd, yyyy h:mma"), "</strong>")
     html = F.when(k == 0, table).when((k == 1) | (F.second(d) > 0), stamp).otherwise(spoken)
-    return t(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(scans.commit_page_date(html)).alias("seconds"))
+    pages = scans.page_metadata(t(spark, sf_dir, "orders").select("o_orderkey", html.alias("html")), F.col("html"))
+    return pages.select("o_orderkey", F.unix_timestamp(scans.commit_page_date(F.col("page"))).alias("seconds"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\\s+', ' ', 'g')), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title,
+len(regexp_extract_all(html, '<a href="')) AS links, regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, links and headings of whole pages."""
+    found = scans.page_metadata(t(spark, sf_dir, "pages").select("page_id", "html"), F.col("html"))
+    return found.select("page_id", "page.title", long(F.size("page.links")).alias("links"), F.get("page.links", F.lit(0)).alias("first_link"), long(F.size("page.headings")).alias("headings"))
 
 
 @query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND o_orderkey % 10 <> 0")
@@ -592,8 +615,8 @@ def key_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the whole run
 
 RUN = """SELECT (SELECT count(*) FROM orders) AS total_patches_from_vanir, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total_fetch_failures, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS total_patches_for_application,
-(SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS patches_applied_directly, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS patches_forwarded_to_llm, count(*) FILTER (l_linenumber = 1 AND l_returnflag = 'A') AS patches_successfully_fixed_by_llm,
-count(*) FILTER (l_linenumber = 1 AND l_returnflag <> 'A') AS llm_application_failures, count(*) FILTER (l_linenumber = 7) AS llm_generation_failures, sum(l_linenumber)::BIGINT AS llm_total_input_tokens, sum(2 * l_linenumber)::BIGINT AS llm_total_output_tokens, sum(3 * l_linenumber)::BIGINT AS llm_total_tokens FROM lineitem"""
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS patches_applied_directly, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS patches_forwarded_to_llm, count(*) FILTER (l_linenumber % 4 <> 3 AND l_returnflag = 'A') AS patches_successfully_fixed_by_llm,
+count(*) FILTER (l_linenumber % 4 <> 3 AND l_returnflag <> 'A') AS llm_application_failures, count(*) FILTER (l_linenumber % 4 = 3) AS llm_generation_failures, sum(l_linenumber)::BIGINT AS llm_total_input_tokens, sum(2 * l_linenumber)::BIGINT AS llm_total_output_tokens, sum(3 * l_linenumber)::BIGINT AS llm_total_tokens FROM lineitem"""
 
 
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -601,9 +624,9 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     said = F.when(F.col("o_orderstatus") == "F", status.CLEAN).when(F.col("o_custkey") % 5 > 0, status.HUNKS)
     applied = orders.filter("o_orderstatus <> 'P'").select("o_orderstatus", joined("p", s("o_orderkey")).alias("patch_file"), F.col("o_orderpriority").alias("project"), said.alias("detailed_status"), F.when(F.col("o_orderstatus") == "F", status.APPLIED).otherwise(status.REJECTED).alias("status"), F.lit(" Hunk FAILED \n").alias("message_output"))
     ok = F.col("l_returnflag") == "A"
-    repaired = lines.filter("l_linenumber = 1").select(joined("g", s("l_orderkey")).alias("patch_file"), F.lit("x").alias("project"), F.when(ok, status.OFFSETS).when(F.col("l_returnflag") == "R", status.HUNKS).alias("detailed_status"), F.when(ok, status.APPLIED).otherwise(status.REJECTED).alias("status"), F.lit(" no \n").alias("message_output"))
-    entry = F.struct(joined("h", s("l_orderkey")).alias("patch_file"), F.lit("x").alias("project"), F.when(F.col("l_returnflag") == "R", "quota").alias("error"))
-    summary = lines.groupBy((F.col("l_orderkey") % 10).alias("doc")).agg(F.collect_list(F.when(F.col("l_linenumber") == 7, entry)).alias("failed_patches_list"), F.sum("l_linenumber").alias("total_input_tokens"), F.sum(F.col("l_linenumber") * 2).alias("total_output_tokens"), F.sum(F.col("l_linenumber") * 3).alias("total_tokens"))
+    repaired = lines.filter("l_linenumber % 4 <> 3").select(joined("g", s("l_orderkey"), ".", s("l_linenumber")).alias("patch_file"), F.lit("x").alias("project"), F.when(ok, status.OFFSETS).when(F.col("l_returnflag") == "R", status.HUNKS).alias("detailed_status"), F.when(ok, status.APPLIED).otherwise(status.REJECTED).alias("status"), F.lit(" no \n").alias("message_output"))
+    entry = F.struct(joined("h", s("l_orderkey"), ".", s("l_linenumber")).alias("patch_file"), F.lit("x").alias("project"), F.when(F.col("l_returnflag") == "R", "quota").alias("error"))
+    summary = lines.groupBy(thousand("l_orderkey")).agg(F.collect_list(F.when(F.col("l_linenumber") % 4 == 3, entry)).alias("failed_patches_list"), F.sum("l_linenumber").alias("total_input_tokens"), F.sum(F.col("l_linenumber") * 2).alias("total_output_tokens"), F.sum(F.col("l_linenumber") * 3).alias("total_tokens"))
     generated = summary.select(F.struct("failed_patches_list", "total_input_tokens", "total_output_tokens", "total_tokens").alias("summary"))
     return plans.pipeline_summary(orders, orders.filter("o_orderstatus = 'P'"), applied, applied.filter("o_orderstatus = 'O'"), repaired, generated)
 
@@ -626,8 +649,8 @@ def console_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPSTREAM = "SELECT CASE WHEN o_custkey % 5 > 0 THEN 'Rejected: Failed Hunks' ELSE 'Unknown Error' END AS error_type, 'p' || o_orderkey AS patch_file, o_orderpriority AS project, 'Hunk FAILED' AS error_message FROM orders WHERE o_orderstatus = 'O'"
-REPAIRS = """SELECT 'LLM_patch_rejected' AS error_type, 'g' || l_orderkey AS patch_file, 'x' AS project, 'no' AS error_message FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'A'
-UNION ALL SELECT 'LLM_generation_failed', 'h' || l_orderkey, 'x', CASE WHEN l_returnflag = 'R' THEN 'quota' ELSE 'LLM did not produce a usable patch.' END FROM lineitem WHERE l_linenumber = 7"""
+REPAIRS = """SELECT 'LLM_patch_rejected' AS error_type, 'g' || l_orderkey || '.' || l_linenumber AS patch_file, 'x' AS project, 'no' AS error_message FROM lineitem WHERE l_linenumber % 4 <> 3 AND l_returnflag <> 'A'
+UNION ALL SELECT 'LLM_generation_failed', 'h' || l_orderkey || '.' || l_linenumber, 'x', CASE WHEN l_returnflag = 'R' THEN 'quota' ELSE 'LLM did not produce a usable patch.' END FROM lineitem WHERE l_linenumber % 4 = 3"""
 
 
 @query(f"SELECT 'upstream' AS stage, error_type, count(*) AS n FROM ({UPSTREAM}) GROUP BY 2 UNION ALL SELECT 'llm', error_type, count(*) FROM ({REPAIRS}) GROUP BY 2")
@@ -644,6 +667,6 @@ def failed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, 'Unknown Error') AS error_type, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1")
 def error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of each error with the list of what failed, sorted: its ends."""
+    """Failures of each error with the first and the last of what failed: a bounded number however many there are."""
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("e"))
-    return agg.by_error(rows, "e", ["o_orderkey"]).select("error_type", "n", F.element_at("failed", 1)["o_orderkey"].alias("first"), F.element_at("failed", -1)["o_orderkey"].alias("last"))
+    return agg.error_ends(rows, "e", "o_orderkey").select("error_type", "n", "first", "last")

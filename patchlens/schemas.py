@@ -5,7 +5,8 @@ from __future__ import annotations
 SCANNER = "covered_cves array<string>, missing_patches array<struct<ID string, details array<struct<patch string, unpatched_code string>>>>"
 PATCH = "patch_url string, patch_file string, project string, commit_date string, files map<string, struct<functions: array<string>>>"
 PARSED = f"patches array<struct<{PATCH.replace(' string', ': string').replace(' map<', ': map<')}>>"
-GROUPED = "grouped_patch_records array<struct<file string, patches array<struct<patch_url string, patch_file string, project string, commit_date string>>>>"
+GROUPED_RECORD = "file string, patches array<struct<patch_url string, patch_file string, project string, commit_date string>>"
+GROUPED = f"grouped_patch_records array<struct<{GROUPED_RECORD}>>"
 FETCH_FAILURE = "url string, reason string, commit_date string"
 REJECTED_FILE = "struct<failed_file string, reject_file string, rej_content string>"
 APPLIED = f"patches array<struct<patch_file string, patch_url string, source string, project string, status string, detailed_status string, message_output string, upstream_patch_content string, rejected_files array<{REJECTED_FILE}>>>"

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import dates
+from ..functions import html as pages
 from ..operators import filters
+from ..operators.arrow import computed
 from . import scratch
 
 
@@ -23,10 +25,16 @@ def documents(spark: SparkSession, path: str | list[str], schema: str | T.Struct
             return spark.createDataFrame([], f"{schema}, source_file string")
     reader = spark.read.schema(schema if not tolerant else f"{schema}, _corrupt string").option("multiLine", True)
     df = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt") if tolerant else reader.option("mode", "FAILFAST")).json(path)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    df = df.withColumn("source_file", scratch.file_name(F.col("_metadata.file_path")))
     return df.filter(F.col("_corrupt").isNull()).drop("_corrupt") if tolerant else df
 
 
+def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a document that sinks.document() wrote, read line by line in many tasks."""
+    lines = spark.read.text(path).filter(F.left("value", F.lit(2)).isin(" {", ",{"))
+    return lines.select(F.from_json(F.substr("value", F.lit(2)), schema).alias("r")).select("r.*")
+
+
 def guard(texts: Column, element: T.StructType, *path: str) -> Column:
     """Objects of an array of JSON texts, and, along a path of fields, of the arrays inside them; null for nodes of other types."""
     objects = lambda kind: F.transform(texts, lambda x: F.when(x.startswith("{"), F.from_json(x, kind)))
@@ -43,7 +51,7 @@ def guarded(spark: SparkSession, path: str, schema: str, *fields: str) -> DataFr
     first, *rest = fields
     loose = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.name == first else f.dataType) for f in whole])
     read = spark.read.schema(loose).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return read.withColumn(first, guard(F.col(first), whole[first].dataType.elementType, *rest)).withColumn("source_file", F.col("_metadata.file_name"))
+    return read.withColumn(first, guard(F.col(first), whole[first].dataType.elementType, *rest)).withColumn("source_file", scratch.file_name(F.col("_metadata.file_path")))
 
 
 def rows(df: DataFrame, root: str, *keep: str) -> DataFrame:
@@ -101,21 +109,19 @@ def evaluations(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def metadata_rows(html: Column) -> Column:
-    """(title, cells) of each row of an HTML table, tags taken out of both."""
-    bare = lambda c: F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
-    row = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), bare)
-    return F.transform(row, lambda r: F.struct(bare(F.regexp_extract(r, r"(?is)<th[^>]*>(.*?)</th>", 1)).alias("title"), cells(r).alias("cells")))
+PAGE = "struct<title string, headings array<string>, links array<string>, times array<string>, rows array<struct<title string, cells array<string>>>, spoken string>"
+
+
+def page_metadata(df: DataFrame, html: Column, name: str = "page") -> DataFrame:
+    """Adds what each page says about itself, tags read in their nesting."""
+    return computed(df, name, PAGE, pages.metadata, html)
 
 
-def commit_page_date(html: Column) -> Column:
+def commit_page_date(page: Column) -> Column:
     """The date of a commit page: of a table row that names the committer, else of a <time>, else of a spoken date."""
-    named = F.filter(metadata_rows(html), lambda r: dates.commit_row(r["title"]) & (F.size(r["cells"]) >= 2))
+    named = F.filter(page["rows"], lambda r: dates.commit_row(r["title"]) & (F.size(r["cells"]) >= 2))
     told = F.filter(F.transform(named, lambda r: dates.commit_time(F.element_at(r["cells"], -1))), lambda t: t.isNotNull())
-    stamp = F.nullif(F.regexp_extract(html, r'(?i)<time[^>]*datetime="([^"]*)"', 1), F.lit(""))
-    spoken = F.nullif(F.regexp_extract(html, r"(?is)Commit date.*?<strong>\s*(.*?)\s*</strong>", 1), F.lit(""))
-    return F.coalesce(F.get(told, F.lit(0)), dates.aware(stamp), dates.page_time(spoken).cast("timestamp"))
+    return F.coalesce(F.get(told, F.lit(0)), dates.aware(F.get(page["times"], F.lit(0))), dates.page_time(page["spoken"]).cast("timestamp"))
 
 
 def failure_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -136,12 +142,13 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def listed_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the JSON files of a folder, without suffix; no file is read."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
-    return names.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "").alias("id"))
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "{*.json,part-*}").option("recursiveFileLookup", True).load(folder).select(scratch.file_name(F.col("path")).alias("name"))
+    return names.filter(F.col("name").endswith(".json")).select(F.regexp_replace("name", r"\.json$", "").alias("id"))
 
 
 def reject_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the reject files below a folder, the path relative to it."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.rej").option("recursiveFileLookup", True).load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "{*.rej,part-*}").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/") + "/"
-    return found.select(F.substring_index("path", root, -1).alias("path"), F.col("content").cast("string").alias("content"))
+    path = scratch.file_path(F.col("path"))
+    return found.filter(path.endswith(".rej")).select(F.substring_index(path, root, -1).alias("path"), F.col("content").cast("string").alias("content"))

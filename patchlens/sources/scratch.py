@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of this application, with a session that can delete them.
+MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Deletes what queries wrote to read it back, when the application ends: until then its results read these files."""
+    while MADE:
+        spark, path = MADE.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM is gone already
+            return
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see."""
+    """A fresh folder that all executors see; it goes when the application ends."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", "")
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "patchlens-scratch")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append((spark, path))
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -34,19 +53,25 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def files(df: DataFrame, suffix: str, target: str) -> str:
-    """Writes `value` of each row to the file `name` + suffix of the folder target; names are few, and plain words."""
-    spark = df.sparkSession
-    df.select("name", "value").repartition("name").write.partitionBy("name").text(f"{target}-parts")
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = make(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(make(target))
-    for part in system.globStatus(make(f"{target}-parts/name=*/part-*")):
-        name = part.getPath().getParent().getName().partition("=")[2]
-        system.rename(part.getPath(), make(f"{target}/{name}{suffix}"))
-    system.delete(make(f"{target}-parts"), True)
+    """Writes `value` of each row to the file `name` + suffix of the folder target; names are plain words, each of one row.
+
+    Tasks write them, as Spark's writers do: the file x is what a folder name=x holds, and file_name() and file_path() read
+    it so. The driver does nothing for a single file.
+    """
+    named = df.select(F.concat("name", F.lit(suffix)).alias("name"), "value")
+    named.repartition("name").write.partitionBy("name").text(target)
     return target
 
 
+def file_path(path: Column) -> Column:
+    """The path of a file as its readers mean it: name=x/part-... is the file x."""
+    return F.regexp_replace(path, r"/name=([^/]+)/part-[^/]*$", "/$1")
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(file_path(path), "/"), -1)
+
+
 def documents(df: DataFrame, name: str, target: str, *fields: str) -> str:
     """One JSON file for each row of df: `name`.json, an object of the fields, or, without any, the column `value` as it is."""
     value = F.to_json(F.struct(*fields)) if fields else F.col("value")

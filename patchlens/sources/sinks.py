@@ -1,4 +1,7 @@
-"""Report sinks. Each writes a folder by Spark's committer; a report that is one document is one row, so one file."""
+"""Report sinks. Each writes a folder by Spark's committer: a failed task or job leaves nothing that a reader sees.
+
+A report that is one large document is written as sorted parts: in the order of their names they are the document.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,21 @@ def json_document(df: DataFrame, path: str, root: str | None = None) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def document(df: DataFrame, path: str, root: str, *order: str) -> None:
+    """One JSON object whose field `root` lists the rows by `order`, which tells all of them apart.
+
+    A row is a line, and ranges of rows are written by tasks of their own: the first line opens the list, rows but the first
+    begin with a comma, the last line closes it. Nothing holds more than a row.
+    """
+    keys = F.struct(*order)
+    rows = df.select(keys.alias("_key"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("json"))
+    first = rows.agg(F.min("_key").alias("_first"))
+    lines = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("_kind"), "_key", F.concat(F.when(F.col("_key") == F.col("_first"), " ").otherwise(","), "json").alias("value"))
+    none = F.lit(None).cast(rows.schema["_key"].dataType)
+    ends = df.sparkSession.createDataFrame([(0, f'{{"{root}": ['), (2, "]}")], "_kind int, value string").select("_kind", none.alias("_key"), "value")
+    lines.unionByName(ends).repartitionByRange("_kind", "_key").sortWithinPartitions("_kind", "_key").select("value").write.mode("overwrite").text(path)
+
+
 def by_date(df: DataFrame, path: str, date: str, order: str) -> None:
     """Sorted by date, rows without one first, ties in their order."""
     df.orderBy(F.col(date).asc_nulls_first(), order).write.mode("overwrite").json(path)
