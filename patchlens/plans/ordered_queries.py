@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import status
 from ..operators import ordered
-from .queries import query, t
+from ..sources import scratch
+from ..streaming import repairs
+from .queries import SQL, query, t
 
 #: Half of the lines and orders are of one file.
 HOT = "CASE WHEN {0} % 2 = 0 THEN 0 ELSE {1} END"
@@ -51,3 +53,44 @@ def key_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbol = F.when(F.col("message").isNull(), 0).when(status.rotate_key(F.col("message")), 1).otherwise(2)
     found = ordered.states(rows, [F.asc("ts"), F.asc("event_id")], symbol, CALLS)
     return found.select("event_id", F.floor(F.col("state") / 4).cast("int").alias("key"), (F.col("state") % 4).alias("failures"))
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events make a task's attempts; a purchase or a signup is a valid one."""
+    n = F.col("event_id")
+    return t(spark, sf_dir, "events").select(
+        F.concat(F.lit("t"), F.floor(n / 4).cast("string")).alias("task"), (n % 4 + 1).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("time"), F.col("event_type").isin("purchase", "signup").alias("valid"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("input_tokens"), F.floor("value").cast("bigint").alias("output_tokens"),
+    )
+
+
+TRIED = "SELECT 't' || event_id // 4 AS task, event_id % 4 + 1 AS attempt, event_type IN ('purchase', 'signup') AS valid, (props::JSON ->> 'k')::BIGINT AS i, floor(value)::BIGINT AS o FROM events WHERE event_id % 4 < 3"
+
+
+@query(f"""SELECT task, bool_or(valid) AS success, count(*)::INTEGER AS attempts, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(*) = min(stop) AS complete
+FROM (SELECT *, coalesce(min(attempt) FILTER (valid) OVER (PARTITION BY task), 3) AS stop FROM ({TRIED})) WHERE attempt <= stop GROUP BY task""")
+def repairs_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of each task of a table of attempts: up to the first valid one, or to the third."""
+    return repairs.repaired_at_once(_attempts(spark, sf_dir))
+
+
+@query(SQL["repairs_at_once"].replace("GROUP BY task", "GROUP BY task HAVING count(*) = min(stop)"))
+def repairs_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of all events, which come out of order in several micro-batches: tasks that are complete.
+
+    The stream is stopped halfway and started again from its checkpoint.
+    """
+    folder = scratch.folder(spark, "repairs")
+    rows = _attempts(spark, sf_dir)
+    half = F.pmod(F.xxhash64("task", "attempt"), F.lit(2))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, repairs.ROCKS)
+    for k in (0, 1):
+        rows.filter(half == k).repartition(2, "attempt", "task").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        found = repairs.repaired(stream, late="90 days", wait="90 days")
+        run = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/at").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        run.awaitTermination()
+    spark.conf.set(store, before)
+    return spark.read.schema(repairs.OUT).parquet(f"{folder}/out")

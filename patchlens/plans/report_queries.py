@@ -15,7 +15,7 @@ from ..functions import dates, diff, status, text, url
 from ..operators import aggregates as agg
 from ..operators import filters, joins, ordered, reshape
 from ..sources import reports as scans
-from ..sources import scratch, sinks
+from ..sources import archives, scratch, sinks
 from . import reports as plans
 from .queries import NL, SQL, long, query, success_matrix_pivot, t
 
@@ -670,3 +670,19 @@ def error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of each error with the first and the last of what failed: a bounded number however many there are."""
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("e"))
     return agg.error_ends(rows, "e", "o_orderkey").select("error_type", "n", "first", "last")
+
+
+@query("SELECT 'ASB-A-' || o_orderkey || '.json' AS name, o_orderpriority AS id, CASE WHEN o_orderkey % 100 = 7 THEN true ELSE false END AS broken FROM orders")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports packed into archives by tasks, and read back member by member; some are no JSON."""
+    folder = scratch.folder(spark, "archives")
+    spark.dataSource.register(archives.Archives)
+    whole = F.to_json(F.struct(F.col("o_orderpriority").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published")))
+    value = F.when(F.col("o_orderkey") % 100 == 7, F.left(whole, F.lit(9))).otherwise(whole)
+    rows = t(spark, sf_dir, "orders").select(joined("ASB-A-", s("o_orderkey"), ".json").alias("name"), value.cast("binary").alias("content"), F.col("o_orderpriority").alias("p"))
+    rows.select("name", "content").write.format("members").mode("append").save(folder)
+    found = spark.read.format("members").option("path", folder).load()
+    report = F.from_json(F.col("content").cast("string"), "id string, published string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    back = found.select("name", report.alias("r"))
+    ids = rows.select("name", "p")  # what a broken member would have said
+    return back.join(ids, "name").select("name", F.coalesce("r.id", F.when(F.col("r._corrupt").isNotNull(), F.col("p"))).alias("id"), F.col("r._corrupt").isNotNull().alias("broken"))
