@@ -4,8 +4,13 @@ Base kinds are found by their patterns and always stay. Further candidates (nati
 numbers, addresses, names) come from one wider pattern. Labelers vote on every candidate, for, against or not at all:
 the shape of the match, gazetteers, words before it, other personal data around it, and signs against it.
 Expectation-maximisation over the histogram of vote patterns (bounded: KINDS * 3^5 * 3 rows, counted over all documents)
-estimates the labelers' reliabilities without any labels; a logistic classifier over kind, votes and length is trained
-on the posteriors, and candidates to which it gives at least 0.5 become spans where they overlap no base span.
+estimates the labelers' reliabilities without any labels. A span classifier then reads the span itself: the shape of its
+characters, how it begins and ends and the words on either side, hashed into BUCKETS logistic weights. Its odds are those
+before any vote, which each vote changes by the labeler's reliability; by turns it is trained on the posteriors that
+follow, and these on it (a few rounds on a bounded sample), so that it also finds spans on which no labeler votes.
+Candidates with a final probability of at least 0.5 become spans where they overlap no base span.
+
+The sample is SAMPLE candidates a kind at most, the first by a hash; the counts of votes cover all documents.
 
 Null texts count as empty and have no spans. Equal texts have equal spans, equal rows are separate rows. An empty table
 gives no rows. A long text, or one with many matches, costs time in proportion to it.
@@ -14,9 +19,9 @@ gives no rows. A long text, or one with many matches, costs time in proportion t
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import bound, scanned
@@ -69,7 +74,13 @@ LABELERS = 5
 #: for how many candidates that counts.
 START = ((0.55, 0.40, 0.05), (0.05, 0.60, 0.35))
 BELIEF = 20.0
-ROUNDS, STEPS, RATE, RIDGE = 60, 400, 2.0, 1e-3
+ROUNDS, STEPS, RATE, RIDGE = 60, 150, 2.0, 1e-3
+#: Hashed weights of the span classifier; candidates of each kind that it is trained on at most.
+BUCKETS, SAMPLE = 4096, 2000
+#: Candidates that a hashed feature needs in the sample: rarer ones weigh nothing. Rounds of training.
+LEAST, TURNS = 20, 5
+#: Votes as they are counted: for, none, against.
+COLUMN = {1: 0, 0: 1, -1: 2}
 
 
 def luhn(digits: Column) -> Column:
@@ -120,11 +131,22 @@ def voted(kind: Column, s: Column, names: list[str]) -> list[Column]:
     return [shape, listed, vote(s["left"].rlike(BEFORE)), vote((F.concat_ws(" ", s["left"], s["right"])).rlike(AROUND)), vote(F.lit(False), s["left"].rlike(AGAINST) | repeated)]
 
 
+def features(kind: Column, s: Column) -> Column:
+    """The span as its classifier sees it, hashed: shape, first and last characters, the words before and after."""
+    shape = s["match"]
+    for pattern, mark in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), ("[0-9]+", "0")):
+        shape = F.regexp_replace(shape, pattern, mark)
+    low = F.lower(s["match"])
+    before, after = F.regexp_extract(F.lower(s["left"]), r"(\p{L}+)\P{L}*$", 1), F.regexp_extract(F.lower(s["right"]), r"^\P{L}*(\p{L}+)", 1)
+    each = {"shape": F.left(shape, F.lit(16)), "first": F.left(low, F.lit(3)), "last": F.right(low, F.lit(3)), "before": before, "after": after}
+    return F.array(*((F.crc32(F.concat_ws("|", F.lit(name), kind, value)) % BUCKETS).cast("int") for name, value in each.items()))
+
+
 def described(kind: Column, s: Column, names: list[str]) -> Column:
     """A candidate as it is counted and judged: place, kind, votes and length class."""
     size = s["end"] - s["start"]
     votes = [v.cast("int").alias(f"v{i}") for i, v in enumerate(voted(kind, s, names))]
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), *votes, F.when(size < 12, 0).when(size < 20, 1).otherwise(2).alias("size"))
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), *votes, F.when(size < 12, 0).when(size < 20, 1).otherwise(2).alias("size"), features(kind, s).alias("seen"))
 
 
 def candidates(docs: DataFrame, names: list[str] = NAMES) -> DataFrame:
@@ -160,7 +182,6 @@ def histogram(found: DataFrame) -> list[tuple]:
 
 def estimate(counted: list[tuple]) -> tuple[list, list[float]]:
     """Expectation-maximisation: each labeler's [class][for, none, against], and the posterior of each row."""
-    column = {1: 0, 0: 1, -1: 2}
     chance = [[list(START[0]), list(START[1])] for _ in range(LABELERS)]
     prior = {k: 0.5 for k in KINDS}
     posterior = [0.0] * len(counted)
@@ -168,47 +189,66 @@ def estimate(counted: list[tuple]) -> tuple[list, list[float]]:
         votes = [[[BELIEF * p for p in START[y]] for y in (0, 1)] for _ in range(LABELERS)]
         share = {k: [1.0, 2.0] for k in KINDS}
         for i, (kind, pattern, _, n) in enumerate(counted):
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(chance[j][0][column[v]] / chance[j][1][column[v]]) for j, v in enumerate(pattern))
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(chance[j][0][COLUMN[v]] / chance[j][1][COLUMN[v]]) for j, v in enumerate(pattern))
             posterior[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             share[kind][0] += n * posterior[i]
             share[kind][1] += n
             for j, v in enumerate(pattern):
-                votes[j][0][column[v]] += n * posterior[i]
-                votes[j][1][column[v]] += n * (1 - posterior[i])
+                votes[j][0][COLUMN[v]] += n * posterior[i]
+                votes[j][1][COLUMN[v]] += n * (1 - posterior[i])
         chance = [[[x / sum(row) for x in row] for row in v] for v in votes]
         prior = {k: min(1 - 1e-4, max(1e-4, a / b)) for k, (a, b) in share.items()}
     return chance, posterior
 
 
-def inputs(kind: str, votes: tuple, size: int) -> list[str]:
-    return ["one", f"kind:{kind}", f"size:{size}", *(f"vote{j}:{v}" for j, v in enumerate(votes) if v)]
-
-
-def train(counted: list[tuple], posterior: list[float]) -> dict[str, float]:
-    """Logistic weights by gradient steps on the posteriors; each kind weighs alike."""
-    weight: dict[str, float] = defaultdict(float)
-    total = defaultdict(float)
-    for kind, _, _, n in counted:
-        total[kind] += n
-    rows = [(inputs(kind, votes, size), p, n / total[kind] / len(total)) for (kind, votes, size, n), p in zip(counted, posterior, strict=True)]
-    for _ in range(STEPS):
-        slope: dict[str, float] = defaultdict(float)
-        for names, p, n in rows:
-            z = sum(weight[x] for x in names)
-            off = n * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p)
-            for x in names:
-                slope[x] += off
-        for x, g in slope.items():
-            weight[x] -= RATE * (g + RIDGE * weight[x])
-    return dict(weight)
-
-
-def judged(weight: dict[str, float], c: Column) -> Column:
-    """The classifier's probability as an expression."""
-    pick = lambda prefix, value, options: F.coalesce(*[F.when(value == F.lit(o), F.lit(weight[f"{prefix}:{o}"])) for o in options if f"{prefix}:{o}" in weight], F.lit(0.0))
-    z = F.lit(weight.get("one", 0.0)) + pick("kind", c["kind"], KINDS) + pick("size", c["size"], (0, 1, 2))
+def sample(found: DataFrame, most: int = SAMPLE) -> list[tuple]:
+    """(kind, votes, length class, hashed features, candidates) of at most `most` candidates a kind: the first by a hash."""
+    each = found.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.*")
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("seen", "start", "end"))
+    few = each.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    votes = [f"v{i}" for i in range(LABELERS)]
+    counted = few.groupBy("kind", *votes, "size", "seen").agg(F.count("*").alias("n"))
+    return sorted((r["kind"], tuple(r[v] for v in votes), r["size"], tuple(r["seen"]), r["n"]) for r in counted.collect())
+
+
+def swayed(chance: list, votes: tuple) -> float:
+    """What the votes add to a candidate's log odds."""
+    return sum(math.log(chance[j][0][COLUMN[v]] / chance[j][1][COLUMN[v]]) for j, v in enumerate(votes))
+
+
+def train(rows: list[tuple], chance: list) -> np.ndarray:
+    """Logistic weights, BUCKETS of hashed features, then those of the kinds, from sample() and the labelers' chances.
+
+    Each kind weighs alike.
+    """
+    weight = np.zeros(BUCKETS + len(KINDS))
+    if not rows:
+        return weight
+    seen = np.array([(*r[3], BUCKETS + KINDS.index(r[0])) for r in rows])
+    sway = np.array([swayed(chance, r[1]) for r in rows])
+    count = np.array([r[4] for r in rows], float)
+    common = np.bincount(seen.ravel(), np.repeat(count, seen.shape[1]), len(weight)) >= LEAST
+    common[BUCKETS:] = True
+    total = np.bincount(seen[:, -1] - BUCKETS, count, len(KINDS))
+    share = count / (total[seen[:, -1] - BUCKETS] * np.count_nonzero(total))
+    chances = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for _ in range(TURNS):
+        target = chances(weight[seen].sum(axis=1) + sway)
+        for _ in range(STEPS):
+            slope = np.bincount(seen.ravel(), np.repeat(share * (chances(weight[seen].sum(axis=1)) - target), seen.shape[1]), len(weight))
+            weight -= RATE * common * (slope + RIDGE * weight / len(KINDS))
+    return weight
+
+
+def judged(weights: Column, chance: list, c: Column) -> Column:
+    """The final probability as an expression; weights: those of train() as an array."""
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).cast("int")
+    z = F.element_at(weights, F.lit(BUCKETS) + kind)
+    for j in range(5):
+        z = z + F.element_at(weights, c["seen"][j] + 1)
     for j in range(LABELERS):
-        z = z + pick(f"vote{j}", c[f"v{j}"], (1, -1))
+        odds = [F.lit(math.log(chance[j][0][k] / chance[j][1][k])) for k in range(3)]
+        z = z + F.when(c[f"v{j}"] == 1, odds[0]).when(c[f"v{j}"] == -1, odds[2]).otherwise(odds[1])
     return 1 / (1 + F.exp(-z))
 
 
@@ -242,8 +282,12 @@ def scan(docs: DataFrame, names: list[str] = NAMES, text: bool = True) -> DataFr
     if not text:
         found = cut(found.drop("text"))
     counted = histogram(found)
-    weight = train(counted, estimate(counted)[1])
-    added = apart(F.col("base"), F.filter("wide", lambda c: judged(weight, c) >= 0.5))
+    chance, _ = estimate(counted)
+    weight = train(sample(found), chance)
+    # a table of one row: the weights are no part of the plan
+    weights = docs.sparkSession.createDataFrame([(weight.tolist(),)], "_weights array<double>")
+    found = found.crossJoin(F.broadcast(weights))
+    added = apart(F.col("base"), F.filter("wide", lambda c: judged(F.col("_weights"), chance, c) >= 0.5))
     spans = F.transform(F.concat("base", added), span)
     ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     kept = F.col("_row").withField("text", F.col("text")) if text else F.col("_row")
