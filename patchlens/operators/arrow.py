@@ -1,33 +1,30 @@
-"""Python functions on single values as columns, in Arrow batches (of bounded bytes, as the session sets them)."""
+"""Python functions on single values as columns, in Arrow batches; only the inputs travel to Python."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows that are Python objects at once.
+ROWS = 64
 
-def ddl(kind: str) -> str:
-    """A struct written with spaces between names and types, as Spark reads it."""
-    return kind.replace(" ", ": ").replace(",: ", ", ")
 
-
-def computed(df: DataFrame, name: str, kind: str, function: Callable[..., Any], *inputs: Column) -> DataFrame:
+def computed(df: DataFrame, name: str, kind: T.DataType | str, function: Callable[..., Any], *inputs: Column) -> DataFrame:
     """df with one more column: a Python function of the inputs of each row."""
-    spark = df.sparkSession
-    arrow = to_arrow_schema(spark.createDataFrame([], f"`{name}` {ddl(kind)}").schema).field(0).type
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    many = len(inputs)
-    picked = df.select(row, *(c.alias(f"_{i}") for i, c in enumerate(inputs)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [function(*x) for x in zip(*(batch.column(i + 1).to_pylist() for i in range(many)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], ["_row", name])
-
-    schema = f"_row {picked.schema['_row'].dataType.simpleString()}, `{name}` {ddl(kind)}"
-    return picked.mapInArrow(run, schema).select("_row.*", name)
+    spark_type = kind if isinstance(kind, T.DataType) else T.DataType.fromDDL(kind)
+    arrow = to_arrow_type(spark_type)
+
+    def run(*columns: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(columns[0]), ROWS):
+            values = [function(*x) for x in zip(*(c.slice(at, ROWS).to_pylist() for c in columns), strict=True)]
+            parts.append(pa.array(values, arrow))
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return df.withColumn(name, F.arrow_udf(run, spark_type)(*inputs))
