@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, slices
-from .graph import apart, components, hottest, lookup, near, union
+from .graph import LEAST, apart, components, hottest, lookup, near, union
 from .simhash import ASCII_LOWER, forest
 
 #: Sets of a group that are compared in one task; so many times that on each side of a task in larger groups; hubs of these.
@@ -264,8 +264,15 @@ def firsts(docs: DataFrame, size: int, least: tuple[int, int], reach: int, block
     every = cut(every.select("set", "key").join(group, "set", "left").select("set", "key", F.coalesce("group", "set").alias("group")), total)
     sizes = cut(every.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), total)
     some = cut(lookup(every, sizes, "group", hottest(sizes, "n")).select(F.col("key").alias("_key"), "set", "group", F.col("n").cast("bigint").alias("n")), total)
-    # rows that share a key are equal
-    texts = docs.join(near(some), F.col("key") == F.col("_key")).select("set", "group", "n", "text").dropDuplicates(["set"])
+    # rows that share a key are equal: those of the most rows meet a broadcast, where they lie
+    few = near(some)
+    if few is some:
+        many = cut(docs.groupBy("key").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= LEAST))
+        hot = hottest(many.join(some, F.col("key") == F.col("_key")).select(F.col("_key").alias("key"), "set", "group", "n", "_rows"), "_rows")
+        texts = lookup(docs, some.select(F.col("_key").alias("key"), "set", "group", "n"), "key", hot)
+    else:
+        texts = docs.join(few, F.col("key") == F.col("_key"))
+    texts = texts.select("set", "group", "n", "text").dropDuplicates(["set"])
     rows = cut(sets(texts, size))
     few = rows.filter(F.col("n") <= block).select("group", F.lit(0).alias("i"), F.lit(0).alias("j"), "set", "shingles", F.lit(True).alias("asked"), F.lit(False).alias("joined"))
     edges = compared(few, least)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from patchlens.llm import audit, exponion, htmltext, packing, pii, quality, secrets, tiff
 
 SF = "/root/testdata/sf0.001"
@@ -273,3 +274,56 @@ def test_gradients_equal_finite_differences():
             down = loss()
             flat[i] = kept
             assert abs((up - down) / 2e-2 - along[i]) < 0.05 * abs(along[i]) + 2e-3
+
+
+# stages of the pipeline
+
+
+def odd_documents(spark):
+    rows = [(1, None), (2, ""), (3, "mail a@b.co now"), (3, "mail a@b.co now"), (None, "plain words"), (None, None), (3, "other words")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "kept") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string")
+
+
+def test_quality_stage_keeps_all_without_labels(spark, tmp_path):
+    docs = odd_documents(spark)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.good(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert corpus_pipeline.good(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    spark.createDataFrame([(3, 0, 0), (99, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "bad" / "labels.parquet"))
+    assert corpus_pipeline.good(spark, docs, str(tmp_path / "bad")).count() == 0
+
+
+def test_personal_data_stage(spark):
+    docs = odd_documents(spark)
+    out = corpus_pipeline.private(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, "", 0), (2, "", 0), (3, "mail <EMAIL> now", 16), (3, "mail <EMAIL> now", 16), (None, "plain words", 11), (None, "", 0), (3, "other words", 11)]
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert {r.score for r in out.collect()} == {"kept"}
+    assert corpus_pipeline.private(spark, docs.filter("false"), "").count() == 0
+
+
+def test_packing_stage(spark):
+    docs = odd_documents(spark)
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r.doc_id for r in docs.collect()), key=repr)
+    assert {r.sequence_id for r in rows} == {rows[0].sequence_id}
+    at = 0
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == at
+        at += r.length
+    assert sorted(r.length for r in rows)[:3] == [1, 1, 1]
+    assert corpus_pipeline.packed(spark, docs.filter("false"), "").count() == 0
+
+
+def test_near_duplicates_of_a_row_that_repeats(spark, monkeypatch):
+    from patchlens.llm import graph
+
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    monkeypatch.setattr(graph, "LEAST", 5)
+    monkeypatch.setattr(graph.near, "__defaults__", (0,))
+    words = lambda seed: " ".join(np.random.default_rng(seed).choice([f"w{i}" for i in range(300)], 60))
+    rows = [(1, words(1))] * 400 + [(2, words(1) + " more")] * 30 + [(3, words(2)), (4, words(3)), (4, words(3))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()) == [1, 3, 4]
