@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from patchlens.llm import copies, langid, packing, pii, quality
 from patchlens.llm.common import cut, discard, read, shared_dir, small_batches
-from patchlens.llm.graph import near
+from patchlens.llm.graph import hottest, near
 from patchlens.llm.queries import PIECES, WORDS, vocabulary
 
 #: Near-duplicates: words of a shingle, the least Jaccard similarity of a link (4/5), differing bits of candidates at
@@ -70,6 +70,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # whole rows are shuffled only where too many go to name them
     keys = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
     gone = cut(keys.join(kept, "key", "left_anti").select("key"))
+    # of the keys of most rows, which are equal, one row goes on
+    hot = [(r["key"],) for r in hottest(keys, "n")]
+    if hot:
+        many = F.broadcast(spark.createDataFrame(hot, keys.select("key").schema))
+        rows = rows.join(many, "key", "left_anti").unionByName(rows.join(many, "key", "left_semi").dropDuplicates(["key"]))
     few = near(gone)
     out = rows.join(few, "key", "left_anti") if few is not gone else rows.join(kept, "key", "left_semi")
     equal = cut(keys.filter("n > 1").select("key"))
@@ -87,7 +92,11 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: a row for each piece of a document; its text is left where it is."""
+    """Sequences of at most 4096 tokens: a row for each piece of a document; its text is left where it is.
+
+    Null and empty texts are one token, the end. Rows of equal length are placed in no certain order among them; repeated
+    rows are packed each, and rows without a doc_id keep none.
+    """
     small_batches(spark)
     return packing.pack(docs, packing.Tokenizer(vocabulary(WORDS)))
 
