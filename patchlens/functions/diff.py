@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import bound, places, scanned
-from .text import lines, stripped, words_and_chars
+from .text import LINE_ENDS, ONE_END, lines, stripped, words_and_chars
 
 #: What begins a section and a hunk, and what encloses a conflict.
 HEADER = "diff --git"
@@ -68,13 +68,14 @@ def joined(found: Column) -> Column:
     return F.array_join(F.flatten(F.transform(found, lambda s: s["lines"])), "\n")
 
 
-def hunks_only(text: Column) -> Column:
-    """The text from the first line that begins a hunk, or empty."""
-    def of(parts: Column) -> Column:
-        first = F.array_position(F.transform(parts, lambda x: x.startswith("@@ ")), True).cast("int")
-        return bound(first, lambda at: F.when(at > 0, F.array_join(F.slice(parts, F.greatest(at, F.lit(1)), F.size(parts)), "\n")).otherwise(F.lit("")))
+def from_hunks(text: Column) -> Column:
+    """The text from the first line that begins a hunk, as it is, or empty: cut once, at the first match."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?s)(?:\A|{LINE_ENDS})(@@ .*)", 1)
 
-    return bound(lines(F.coalesce(text, F.lit(""))), of)
+
+def hunks_only(text: Column) -> Column:
+    """The same with one kind of line end, and none at the end."""
+    return bound(F.regexp_replace(from_hunks(text), LINE_ENDS, "\n"), lambda h: F.when(h.endswith("\n"), F.left(h, F.length(h) - 1)).otherwise(h))
 
 
 def hunk_count(text: Column) -> Column:
@@ -83,9 +84,9 @@ def hunk_count(text: Column) -> Column:
 
 def line_counts(text: Column) -> Column:
     """(total, added, removed) of the hunk lines after the first `@@ `."""
-    # hunks_only() writes one kind of line end, so what begins a line is told by a pattern
-    count = lambda hunks, mark: F.regexp_count(hunks, F.lit(f"(?m)^{mark}")).cast("bigint")
-    return bound(hunks_only(text), lambda h: F.struct(count(h, "[+ -]").alias("total"), count(h, "[+]").alias("added"), count(h, "-").alias("removed")))
+    # the text begins with a line that is none of them, so every other one follows a line end
+    count = lambda hunks, mark: F.regexp_count(hunks, F.lit(rf"[{ONE_END}]{mark}")).cast("bigint")
+    return bound(from_hunks(text), lambda h: F.struct(count(h, "[+ -]").alias("total"), count(h, "[+]").alias("added"), count(h, "-").alias("removed")))
 
 
 def conflicts(text: Column, version: Column, commit: Column) -> Column:

@@ -319,10 +319,10 @@ def spliced(lines: list[str], hunks: list[Hunk]) -> list[str]:
 
 
 def apply(text: str | None, path: str, hunks: list[Hunk], fuzz: int = FUZZ, spaces: bool = True) -> Outcome:
-    """A file after the hunks of one section; what finds no place is in the rejects."""
+    """A file after the hunks of one section; what finds no place is in the rejects. No file, no rejects."""
     if text is None:
         made = len(hunks) == 1 and not hunks[0].old()
-        return Outcome(path, [Hunk(h.number, h.start, h.lines, h.text, 1 if made else None) for h in hunks], "".join(hunks[0].new()) if made else None, "" if made else "".join(h.text for h in hunks))
+        return Outcome(path, [Hunk(h.number, h.start, h.lines, h.text, 1 if made else None) for h in hunks], "".join(hunks[0].new()) if made else None, "")
     lines = cut(text)
     place(lines, hunks, fuzz, spaces)
     failed = [h for h in hunks if h.line is None]

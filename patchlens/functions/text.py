@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .scan import bound
 
 #: What splits lines, as Python's splitlines() does.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ONE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE_ENDS = rf"\r\n|[{ONE_END}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diff, status, text
 from ..operators import patching
+from . import reports as plans
 from .queries import NL, long, query, t
 
 #: Lines of a document: one for each sentence.
@@ -162,3 +163,21 @@ def hunk_numbers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merge_versions(spark, sf_dir)
     rows = found.select("doc_id", F.explode(diff.conflicts(F.col("result"), F.lit("14"), F.lit("c"))).alias("c"))
     return rows.select("doc_id", long("c.hunk_number").alias("hunk_number"), F.regexp_extract("c.merge_conflict", r"(?s)^<<<<<<< [^\n]*\n(.*?)\n=======\n", 1).alias("ours"))
+
+
+@query()
+def conflict_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of documents on whose vendor's version the first commit's patch fails, and of those that are not there."""
+    rows = patching.differences(_versions(spark, sf_dir), F.col("v1"), F.col("v2"), name())
+    file = F.when(F.col("doc_id") % 10 < 9, F.col("local"))
+    rows = patching.applied(patching.applied(rows, file, F.col("patch")), file, F.col("patch"), "both", merge=True)
+    run, path = F.col("doc_id").cast("string").alias("run"), name().alias("path")
+    lost = F.when(F.col("applied.code") == 2, F.concat("patch", "applied.output")).otherwise(F.col("applied.output"))
+    runs = rows.select(run, F.lit("14").alias("version"), F.concat(F.lit("c"), run).alias("commit"), "patch", lost.alias("output"), "applied.total_hunks", "applied.failed_hunks")
+    rejects = rows.filter("applied.rejects <> ''").select(run, F.concat(path, F.lit(".rej")).alias("path"), F.col("applied.rejects").alias("content"))
+    files = rows.select(run, path, F.col("v2").alias("upstream"), F.col("local").alias("downstream"), F.col("both.text").alias("marked"), F.col("both.output").alias("merge_output"))
+    found = plans.conflict_records(rejects, runs, files)
+    return found.select(
+        F.col("run").cast("bigint").alias("doc_id"), "file_name", "total_hunks", text.joined_numbers(F.col("failed_hunks")).alias("failed"), long(F.size("inline_merge_conflicts")).alias("blocks"), F.col("inline_merge_token_summary.word_based").alias("inline_words"),
+        "rej_file_content", "upstream_file_content", "downstream_file_content_with_markers", "reason",
+    )

@@ -227,3 +227,24 @@ def test_merge_mode_of_documents(spark):
         assert len(mine) == number
         for r in mine:
             assert r.merge_conflict.startswith("<<<<<<< DOWNSTREAM (version 14)\n") and f"commit c{i}" in r.merge_conflict and r.words > 0
+
+
+def test_conflict_records_of_documents(spark):
+    docs, short = sources(spark), 0
+    done = {r.doc_id: r for r in patch_queries.patch_apply(spark, SF).collect()}
+    found = {r.doc_id: r for r in patch_queries.conflict_records_whole(spark, SF).collect()}
+    for i, d in docs.items():
+        sections = list(patches.sections(patches.unified(d.v1, d.v2, f"src/f{i}.c")))
+        if i % 10 == 9:
+            assert (i in found) == bool(sections)
+            if sections:
+                short += 1
+                assert (found[i].file_name, found[i].total_hunks, found[i].blocks, found[i].reason) == (f"src/f{i}.c", 0, 0, f"File 'src/f{i}.c' is missing in downstream repo")
+            continue
+        assert (i in found) == bool(done[i].failed_hunks)
+        if i in found:
+            r = found[i]
+            merged, blocks = patches.apply_merging(d.local, f"src/f{i}.c", sections[0][1], ("ours", "theirs"))
+            assert (r.file_name, r.total_hunks, r.failed, r.blocks, r.reason) == (f"src/f{i}.c", done[i].total_hunks, done[i].failed_hunks, blocks, None)
+            assert r.rej_file_content == "```diff\n" + done[i].rejects.strip() + "\n```" and merged.text.strip() in r.downstream_file_content_with_markers and d.v2.strip() in r.upstream_file_content
+    assert short > 2 and len(found) > short + 5
