@@ -15,6 +15,7 @@ from .arrow import computed
 HUNK = "hunk int, line int, offset int, fuzz int, placed boolean"
 TRIED = f"struct<path string, code int, output string, applied_before boolean, hunks array<struct<{HUNK}>>>"
 APPLIED = "struct<text string, rejects string, total_hunks int, failed_hunks array<int>, code int, output string>"
+FORWARDED = "struct<result string, tries int, failed_hunks int, text string>"
 MERGED = "struct<text string, conflicts int>"
 
 
@@ -80,3 +81,31 @@ def merged(df: DataFrame, base: Column, ours: Column, theirs: Column, name: str
         return {"text": text, "conflicts": conflicts}
 
     return computed(df, name, MERGED, run, base, ours, theirs)
+
+
+#: How a patch is tried on another version, one after the other: context lines left out at most, white space alike or not.
+TRIES = ((0, False), (patches.FUZZ, True))
+
+
+def forwarded(df: DataFrame, text: Column, patch: Column, name: str = "forwarded", tries: tuple[tuple[int, bool], ...] = TRIES) -> DataFrame:
+    """Adds the outcome of a patch on another version of its file: success, failure, or skipped where there is no file or no patch.
+
+    Tries go from strict to tolerant and stop at the first that places every hunk; of failures the last counts. Each row has
+    its own tries, so one that fails holds up no other.
+    """
+
+    def run(content: str | None, given: str | None) -> dict:
+        sections = len(list(patches.sections(given or "")))
+        if content is None or not sections:
+            return {"result": "skipped", "tries": 0, "failed_hunks": 0, "text": None}
+        for number, (fuzz, spaces) in enumerate(tries, 1):
+            after, failed = content, 0
+            for path, hunks in patches.sections(given):
+                done = patches.apply(after, path, hunks, fuzz, spaces)
+                failed += 0 if done.applied_before else len(done.failed)
+                after = after if done.applied_before else done.text
+            if not failed:
+                return {"result": "success", "tries": number, "failed_hunks": 0, "text": after}
+        return {"result": "failure", "tries": len(tries), "failed_hunks": failed, "text": None}
+
+    return computed(df, name, FORWARDED, run, text, patch)

@@ -29,9 +29,10 @@ def seen(rows: DataFrame, key: str, file: str, item: str, order: str) -> DataFra
 def regroup(rows: DataFrame, key: str, file: str, item: str, order: str) -> DataFrame:
     """Per key its files in the order they were first seen, each with its distinct items in that order.
 
-    Two map-side combining aggregations; `files` is an array of (file, items).
+    What repeats is combined before anything is shuffled; then rows are dealt by key once, for both nestings. `files` is an
+    array of (file, items).
     """
-    first = seen(rows, key, file, item, order).withColumnRenamed("first_seen", "_o")
+    first = seen(rows, key, file, item, order).withColumnRenamed("first_seen", "_o").repartition(key)
     items = F.transform(F.array_sort(F.collect_list(F.when(F.col(item).isNotNull(), F.struct("_o", F.col(item).alias("v"))))), lambda s: s["v"])
     files = first.groupBy(key, file).agg(F.min("_o").alias("_o"), items.alias("items"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(file).alias("file"), "items"))), lambda s: F.struct(s["file"].alias("file"), s["items"].alias("items")))

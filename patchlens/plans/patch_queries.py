@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, status, text
+from ..operators import aggregates as agg
 from ..operators import patching
 from . import reports as plans
-from .queries import NL, long, query, t
+from .queries import NL, long, query, texts
 
 #: Lines of a document: one for each sentence.
 SENTENCES = rf"regexp_replace(coalesce(text, ''), '([.!?]) +', '\1' || {NL}, 'g')"
@@ -37,7 +38,7 @@ def rewritten(version: Column, rule: str) -> Column:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) +", "$1\n").alias("v1"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) +", "$1\n").alias("v1"))
     rows = rows.withColumn("v2", rewritten(F.col("v1"), "later")).withColumn("local", rewritten(F.col("v1"), "vendor"))
     return rows.withColumn("v3", rewritten(F.col("v2"), "vendor"))
 
@@ -67,7 +68,7 @@ def commit_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT a.doc_id, coalesce(b.text, '') AS result, CASE WHEN a.text IS DISTINCT FROM b.text THEN 1 ELSE 0 END AS sections FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def patch_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patch from each document to the next, applied."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
     rows = patching.applied(patching.differences(pairs, F.col("text"), F.col("next"), name()), F.col("text"), F.col("patch"), fuzz=0, spaces=False)
     return rows.select("doc_id", F.col("applied.text").alias("result"), F.size(diff.sections(F.col("patch"))).alias("sections"))
@@ -129,7 +130,7 @@ FROM (SELECT *, sum(CASE WHEN (a OR b) AND before THEN 0 ELSE 1 END) OVER (PARTI
 @query(f"""SELECT doc_id, (count(*) FILTER (conflict))::INTEGER AS conflicts, string_agg(CASE WHEN conflict THEN '<<<<<<< ours' || {NL} || ours || {NL} || '=======' || {NL} || theirs || {NL} || '>>>>>>> theirs' || CASE WHEN last = n THEN {NL} ELSE '' END WHEN a THEN ours ELSE theirs END, {NL} ORDER BY i) AS result FROM ({REGIONS}) GROUP BY doc_id""")
 def merge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-way merge of two versions of each document."""
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) +", "$1\n"), "\n", -1).alias("l"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) +", "$1\n"), "\n", -1).alias("l"))
     version = lambda mark, k, r: F.array_join(F.transform("l", lambda x, i: F.concat(F.when(F.length(x) % k == r, mark).otherwise(F.lit("")), (i + 1).cast("string"), F.lit(": "), x)), "\n")
     found = patching.merged(rows, version("", 1, 0), version("ours ", 7, 2), version("theirs ", 5, 1))
     return found.select("doc_id", "merged.conflicts", F.col("merged.text").alias("result"))
@@ -181,3 +182,36 @@ def conflict_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("run").cast("bigint").alias("doc_id"), "file_name", "total_hunks", text.joined_numbers(F.col("failed_hunks")).alias("failed"), long(F.size("inline_merge_conflicts")).alias("blocks"), F.col("inline_merge_token_summary.word_based").alias("inline_words"),
         "rej_file_content", "upstream_file_content", "downstream_file_content_with_markers", "reason",
     )
+
+
+FORWARD = f"SELECT doc_id, a.v AS source, b.v AS target, NOT (a.v = '14' OR b.v = '14') AS fits, a.v IN ('11', '13') AND b.v IN ('11', '13') AS plain FROM ({VERSIONS}), (VALUES ('11'), ('12'), ('13'), ('14'), ('15')) a(v), (VALUES ('11'), ('12'), ('13'), ('14'), ('15')) b(v) WHERE a.v <> b.v AND a.v <> '15' AND len(string_split(v1, {NL})) >= 6"
+
+
+def _forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fix in one version tried on the others: as it is, with wide spaces, with lines of its own, other text, none.
+
+    Lines carry their numbers; those that end in 5 are fixed.
+    """
+    lines = F.split("v1", "\n", -1)
+    with_ = lambda mark: F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit(mark), i.cast("string"), F.lit(": "), x)), "\n")
+    plain = with_("")
+    each = {"11": plain, "12": F.regexp_replace(plain, ": ", ":  "), "13": F.concat(F.lit("own line\nother line\n"), plain), "14": with_("z"), "15": F.lit(None).cast("string")}
+    texts = F.array(*(F.struct(F.lit(v).alias("version"), c.alias("text")) for v, c in each.items()))
+    rows = _versions(spark, sf_dir).filter(F.size(lines) >= 6).select("doc_id", texts.alias("texts"))
+    sources = rows.select("doc_id", "texts", F.explode("texts").alias("s")).filter("s.text IS NOT NULL").select("doc_id", "texts", F.col("s.version").alias("source"), F.col("s.text").alias("old"))
+    fixed = patching.differences(sources, F.col("old"), F.regexp_replace("old", r"(?m)^(z?\d*5):", "$1;"), name())
+    pairs = fixed.select("doc_id", "source", "patch", F.explode("texts").alias("t")).filter(F.col("t.version") != F.col("source"))
+    return patching.forwarded(pairs.select("doc_id", "source", F.col("t.version").alias("target"), F.col("t.text").alias("text"), "patch"), F.col("text"), F.col("patch"))
+
+
+@query(f"SELECT doc_id, source, target, CASE WHEN target = '15' THEN 'skipped' WHEN fits THEN 'success' ELSE 'failure' END AS result, CASE WHEN target = '15' THEN 0 WHEN fits AND plain THEN 1 ELSE 2 END AS tries FROM ({FORWARD})")
+def forwarded_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of every fix on every other version, strictly first, then tolerantly."""
+    return _forwarded(spark, sf_dir).select("doc_id", "source", "target", "forwarded.result", "forwarded.tries")
+
+
+@query(f"""SELECT source, target, count(*) FILTER (fits AND target <> '15') AS successes, count(*) FILTER (NOT fits AND target <> '15') AS failures, count(*) FILTER (target = '15') AS errors, count(*) AS total_attempts,
+round(CAST(100 AS DOUBLE) * count(*) FILTER (fits AND target <> '15') / count(*), 2) AS success_rate FROM ({FORWARD}) GROUP BY 1, 2""")
+def forwarding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The success matrix of fixes tried from version to version."""
+    return agg.success_matrix(_forwarded(spark, sf_dir).select("source", "target", "forwarded.result"), ["source", "target"], "result", "success", "failure")

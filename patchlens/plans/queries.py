@@ -36,6 +36,21 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and a Python worker, for queries that send whole texts.
+BATCH_ROWS = 500
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose whole texts go to Python: a session's batches get a bound, if they have no tighter one.
+
+    Plans read this setting when they run, so it stays; operators leave the session as it is.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+    return t(spark, sf_dir, name)
+
+
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
 

@@ -17,7 +17,7 @@ from ..operators import filters, joins, ordered, reshape
 from ..sources import reports as scans
 from ..sources import archives, scratch, sinks
 from . import reports as plans
-from .queries import NL, SQL, long, query, success_matrix_pivot, t
+from .queries import NL, SQL, long, query, success_matrix_pivot, t, texts
 
 
 def joined(*parts: Column | str) -> Column:
@@ -330,7 +330,8 @@ UNION ALL SELECT 2, (row_number() OVER (ORDER BY rate, system_prompt, base_task_
 FROM (SELECT *, round(CAST(100 AS DOUBLE) * successful / conflicts, 2) AS rate FROM ({PROMPTS}) ORDER BY rate, system_prompt, base_task_prompt LIMIT 3)
 UNION ALL {_errors(3, "attempt_format_error")} UNION ALL {_errors(4, "attempt_apply_error")}""")
 def data_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.data_summary(plans.attempt_rows(_logs(spark, sf_dir, "summary")))
+    # its parts read the same rows: stored once, the logs are parsed once
+    return plans.data_summary(scratch.stored(plans.attempt_rows(_logs(spark, sf_dir, "summary"))))
 
 
 # evaluations
@@ -589,7 +590,7 @@ def commit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 len(regexp_extract_all(html, '<a href="')) AS links, regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, links and headings of whole pages."""
-    found = scans.page_metadata(t(spark, sf_dir, "pages").select("page_id", "html"), F.col("html"))
+    found = scans.page_metadata(texts(spark, sf_dir, "pages").select("page_id", "html"), F.col("html"))
     return found.select("page_id", "page.title", long(F.size("page.links")).alias("links"), F.get("page.links", F.lit(0)).alias("first_link"), long(F.size("page.headings")).alias("headings"))
 
 
