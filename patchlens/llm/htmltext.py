@@ -3,7 +3,8 @@
 A page's text nodes are gathered by their root-to-leaf tag path (tags with their classes). A path's characters and
 punctuation marks a node are its two ratios; both are smoothed over the nodes that stand near and share most of their
 ancestors, and fused. Blocks whose nodes reach a share of the page's mean are content; then so are headings, list items
-and other short blocks of plain content tags in the element path that holds the content. Paths through elements that
+and other short blocks of plain content tags in the element path that holds the content, or all blocks of the article
+element that it stands in. Paths through elements that
 are, or by class, id or role call themselves, menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments weigh nothing, as do scripts, styles, hidden and replaced elements.
 
@@ -34,9 +35,9 @@ NEAR, DEVIATION = 3, 1.5
 DROPPED = frozenset(
     "applet area audio button canvas datalist dialog fieldset form frameset head iframe input label legend map menu nav noembed noframes noscript object optgroup option output script select style svg template textarea title video xmp".split()
 )
-#: Elements that are page furniture unless they stand inside the article.
-AROUND = frozenset("footer header".split())
-ASIDE = frozenset("aside".split())
+#: Elements that are page furniture, and one that is unless it stands inside the article.
+ASIDE = frozenset("aside footer".split())
+AROUND = "header"
 MAIN = frozenset("article main".split())
 BREAKS = BLOCKS | frozenset("body br caption dd dt html li option tbody td tfoot th thead tr".split()) - {"br"}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,6 +47,10 @@ CONTENT = INLINE | frozenset("blockquote caption center dd details dl dt figcapt
 FURNITURE = frozenset(
     "ad ads adbox adslot adunit advert adverts advertisement advertisements advertising adsense alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay pager pagination paywall popup promo promotion promoted recommended related reply replies respond responses search searchbox share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola topbar toolbar trending widget widgets".split()
 )
+#: The same as parts of longer words, which names run together.
+STEMS = re.compile("adsby|advert|banner|breadcrumb|comment(?!ar)|consent|cookie|disqus|footer|masthead|navbar|newsletter|outbrain|popup|promo(?!t|n)|sidebar|sponsor|taboola|widget|(?:top|main|side|sub|site|foot|drop)(?:nav|menu)")
+#: Of an article itself, which may have any topic in its names, only these.
+REPLIES = frozenset("ad advert comment comments reply replies related sponsored teaser".split())
 #: Furniture only outside the article.
 OUTER = frozenset("header head branding logo".split())
 #: Words that say a name describes what is around, as in "has-sidebar".
@@ -58,18 +63,20 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def furniture(name: str, given: dict[str, str], within: bool) -> bool:
-    """Whether an element is page furniture; within: it stands inside the article."""
-    if name in DROPPED or name in ASIDE or name in AROUND and not within:
+def furniture(name: str, given: dict[str, str], within: bool, forms: bool = False) -> bool:
+    """Whether an element is page furniture; within: it stands inside the article; forms: a form is not."""
+    if (name in DROPPED and not (forms and name in ("form", "fieldset"))) or name in ASIDE or name == AROUND and not within:
         return True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or HIDDEN.search(given.get("style", "")):
         return True
-    if name in ("html", "body") or name in MAIN:
+    if name in ("html", "body", "main"):
         return False
+    if name == "article":
+        return not REPLIES.isdisjoint(given.get("class", "").lower().split())
     for key in ("class", "id", "role"):
         for one in given.get(key, "").split():
             words = {w.lower() for w in WORD.findall(one)}
-            if not words & ABOUT and (words & FURNITURE or not within and words & OUTER):
+            if not words & ABOUT and (words & FURNITURE or not within and words & OUTER or STEMS.search(one.lower())):
                 return True
     return False
 
@@ -77,7 +84,7 @@ def furniture(name: str, given: dict[str, str], within: bool) -> bool:
 class Page:
     """Text nodes of a page with their tag paths; paths are numbers, a parent's being smaller."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, forms: bool = False) -> None:
         self.parent, self.tag, self.weighs, self.linked = [-1], [""], [True], [False]
         #: nodes: path, text, depth, least depth since the node before
         self.paths: list[int] = []
@@ -98,7 +105,7 @@ class Page:
                 key = (stack[-1], name, given.get("class", "") or given.get("id", ""))
                 at = known.get(key)
                 if at is None or more:
-                    weighs = self.weighs[stack[-1]] and not furniture(name, given, article > 0)
+                    weighs = self.weighs[stack[-1]] and not furniture(name, given, article > 0, forms)
                     # equal paths, but one by id or style hidden: apart
                     key = (*key, weighs) if at is not None and self.weighs[at] != weighs else key
                     at = known.get(key)
@@ -186,11 +193,23 @@ class Page:
                 holder = at
         while self.tag[holder] in CONTENT:
             holder = self.parent[holder]
+        # an article, or else a main part, that it stands in is content with all that it has
+        for tag in ("article", "main"):
+            outer = holder
+            while outer and self.tag[outer] != tag:
+                outer = self.parent[outer]
+            if outer:
+                holder = outer
+                break
+        whole = self.tag[holder] in MAIN
         inside = [False] * len(held)
         inside[holder] = True
         for at in range(holder + 1, len(held)):
-            inside[at] = inside[self.parent[at]] and self.tag[at] in CONTENT
-        return [yes or any(chosen) and inside[home] and not link for yes, home, link in zip(chosen, self.homes, linked, strict=True)]
+            inside[at] = inside[self.parent[at]] and (whole or self.tag[at] in CONTENT)
+        # a menu is links; in an article, or in its paragraphs and headings, links are text
+        some = any(chosen)
+        text = lambda home: whole or self.tag[holder] not in ("", "body", "html") and self.tag[home] not in ("li", "ul", "ol")
+        return [yes or some and inside[home] and (not link or text(home)) for yes, home, link in zip(chosen, self.homes, linked, strict=True)]
 
     def text(self) -> str:
         """The content blocks in page order, white space inside each being one space, one a line."""
@@ -204,8 +223,9 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    """The main text of one page."""
-    return Page(source).text() if source else ""
+    """The main text of one page; where nothing stands outside its forms, what stands in them."""
+    found = Page(source).text() if source else ""
+    return found if found or not source or "<form" not in source.lower() else Page(source, forms=True).text()
 
 
 def extract(pages: DataFrame) -> DataFrame:

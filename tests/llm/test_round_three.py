@@ -35,6 +35,15 @@ def test_article_text_is_found_among_furniture():
     assert htmltext.main_text(page) == "A heading of <two> lines\nFirst paragraph, with bold and a link, which goes on for a while.\nSecond one here; it has a break in it, and ends.\nShort item.\nOther item.\nQuoted text, rather long, and full of marks; yes."
 
 
+def test_links_and_replies_in_an_article():
+    page = """<div class="sitefooter">All rights, all of them, are reserved. Yes.</div><article class="post category-social"><header><h1><a href="/p">Title of it</a></h1></header>
+    <p>Text of the article, rather long, with commas; and more.<p><a href="/x">Only a link here.</a></p><footer>Filed under: a, b, c.</footer>
+    <ins class="adsbygoogle">Buy, buy, buy.</ins></article><article class="comment"><p>I say, this is wrong, all of it, is it not?</p></article>
+    <div class="cookiebanner">We use cookies, and more. Fine?</div>"""
+    assert htmltext.main_text(page) == "Title of it\nText of the article, rather long, with commas; and more.\nOnly a link here."
+    assert htmltext.main_text("<body><form action=x><p>All of the page, every word, stands in a form.</p></form>") == "All of the page, every word, stands in a form."
+
+
 @pytest.mark.parametrize("source", [None, "", " \n ", "<", "<<<>>>", "<p", "<!-- ", "<script>x", "</p></div>", "<nav><p>Menu, only; menu.</p></nav>", "<html><head><title>x</title></head></html>", "\0"])
 def test_pages_without_content_give_text_or_nothing(source):
     assert isinstance(htmltext.main_text(source), str)
