@@ -8,7 +8,7 @@ import time
 from patchlens import session
 from patchlens.plans import queries as plans
 
-HEADLINE = ("success_matrix", "token_rollup", "failure_by_entity", "dedup_regroup", "status_histogram", "tristate_class", "pair_success_rate", "lookup_enrich", "attempt_explode_outer", "hunk_stats", "pipeline_funnel")
+HEADLINE = ("success_matrix", "token_rollup", "failure_by_entity", "dedup_regroup", "status_histogram", "tristate_class", "pair_success_rate", "lookup_enrich", "attempt_explode_outer", "hunk_stats", "pipeline_funnel", "scan_scanner", "scan_parsed", "sink_by_file", "sink_sorted", "content_at_commit", "commit_patch")
 
 
 def main() -> None:
