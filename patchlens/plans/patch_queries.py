@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import diff, status, text
+from ..functions import diff, prompts, status, text
 from ..operators import aggregates as agg
 from ..operators import patching
 from . import reports as plans
-from .queries import NL, long, query, texts
+from .queries import BREAKS, NL, long, query, t, texts
 
 #: Lines of a document: one for each sentence.
 SENTENCES = rf"regexp_replace(coalesce(text, ''), '([.!?]) +', '\1' || {NL}, 'g')"
@@ -215,3 +215,17 @@ round(CAST(100 AS DOUBLE) * count(*) FILTER (fits AND target <> '15') / count(*)
 def forwarding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The success matrix of fixes tried from version to version."""
     return agg.success_matrix(_forwarded(spark, sf_dir).select("source", "target", "forwarded.result"), ["source", "target"], "result", "success", "failure")
+
+
+FIRST_SQL = f"'Repair the rejected hunks of src/f' || doc_id || '.c.' || {NL} || {NL} || 'File, with line numbers:' || {NL} || array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), lambda x: x[2] || ': ' || x[1]), {NL}) || {NL} || {NL} || 'Rejected hunks:' || {NL} || '@@' || {NL} || {NL} || 'Whole patch:' || {NL} || text || {NL}"
+AGAIN_SQL = f"{NL} || 'Attempt 1 was:' || {NL} || 'd' || {NL} || {NL} || CASE doc_id % 4 WHEN 0 THEN 'It is no unified diff: bad header' WHEN 1 THEN 'Its hunks do not fit: Hunk #1 FAILED' WHEN 2 THEN 'It is no unified diff: bad header' || {NL} || 'It does not apply: no such file' ELSE 'It was not accepted.' END || {NL}"
+
+
+@query(f"SELECT doc_id, {FIRST_SQL} AS first, {FIRST_SQL} || {AGAIN_SQL} AS again FROM (SELECT doc_id, text, string_split(regexp_replace('x' || text, {BREAKS}, {NL}, 'g') || {NL} || 'end', {NL}) AS l FROM documents)")
+def prompts_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a first and a second attempt at each document's file are asked."""
+    k = F.col("doc_id") % 4
+    source = F.concat(F.lit("x"), F.col("text"), F.lit("\nend\n"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", k.alias("k"), prompts.first(name(), source, F.lit("@@"), F.col("text")).alias("first"))
+    wrong, failed = F.when(k.isin(0, 2), "bad header").otherwise(status.FORMAT_FINE), F.when(k == 1, "Hunk #1 FAILED").when(k == 2, "no such file").otherwise(status.APPLY_FINE)
+    return rows.select("doc_id", "first", prompts.again(F.col("first"), F.lit(1), F.lit("d"), wrong, failed).alias("again"))

@@ -248,3 +248,14 @@ def test_conflict_records_of_documents(spark):
             assert (r.file_name, r.total_hunks, r.failed, r.blocks, r.reason) == (f"src/f{i}.c", done[i].total_hunks, done[i].failed_hunks, blocks, None)
             assert r.rej_file_content == "```diff\n" + done[i].rejects.strip() + "\n```" and merged.text.strip() in r.downstream_file_content_with_markers and d.v2.strip() in r.upstream_file_content
     assert short > 2 and len(found) > short + 5
+
+
+def test_templates(spark):
+    from patchlens.functions import prompts
+
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    one = lambda c: df.select(c).first()[0]
+    assert one(prompts.filled("{x} and {{y}} {y}.", {"x": F.col("x"), "y": F.col("y")})) == "a and {y} ."
+    assert one(prompts.filled("", {})) == ""
+    with pytest.raises(KeyError):
+        prompts.filled("{z}", {"x": F.col("x")})
