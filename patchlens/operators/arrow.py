@@ -27,4 +27,9 @@ def computed(df: DataFrame, name: str, kind: T.DataType | str, function: Callabl
             parts.append(pa.array(values, arrow))
         return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-    return df.withColumn(name, F.arrow_udf(run, spark_type)(*inputs))
+    # inputs become columns of rows made for them, behind which the planner leaves them: merged into the call, expressions
+    # with nested lambdas are not evaluated ahead of it
+    given = F.inline(F.array(F.struct(*(c.alias(f"_in{i}") for i, c in enumerate(inputs)))))
+    laid = df.select("*", given)
+    value = F.arrow_udf(run, spark_type)(*(F.col(f"_in{i}") for i in range(len(inputs))))
+    return laid.select(*(F.col(f"`{c}`") for c in df.columns), value.alias(name))
