@@ -279,11 +279,12 @@ def scan(docs: DataFrame, names: list[str] = NAMES, text: bool = True) -> DataFr
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans" and (text or c != "text"))).alias("_row")
     found = candidates(docs.select("text", row), names)
-    if not text:
-        found = cut(found.drop("text"))
-    counted = histogram(found)
+    # what is counted and sampled is stored without texts: patterns run once for it, and, where texts are kept, once for these
+    found = found if text else cut(found.drop("text"))
+    seen = cut(found.select("base", "wide")) if text else found
+    counted = histogram(seen)
     chance, _ = estimate(counted)
-    weight = train(sample(found), chance)
+    weight = train(sample(seen), chance)
     # a table of one row: the weights are no part of the plan
     weights = docs.sparkSession.createDataFrame([(weight.tolist(),)], "_weights array<double>")
     found = found.crossJoin(F.broadcast(weights))
