@@ -7,7 +7,7 @@
 A reader's partition is a range of an archive's central directory; its task reads these entries and their members by
 position, one member at a time, so that no archive is ever held. A member that cannot be read is a row with its error; an
 archive without a directory is one such row. The driver scans directories in pieces and keeps a number for each range. A
-writer's task makes one archive, which gets its name when the job commits; what a failed task or job wrote is deleted.
+writer's task makes archives of bounded directories, which get their names when the job commits; what a failed task or job wrote is deleted.
 Paths are what Arrow's file systems open (local files, HDFS, object stores), a folder standing for its *.zip files.
 """
 
@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any, BinaryIO
 from zipfile import ZIP_DEFLATED, ZipFile
 
@@ -27,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 SCHEMA = "archive string, name string, content binary, error string"
 #: Members of a partition at most, and stored bytes of one about.
 MEMBERS, BYTES = 1000, 64 << 20
+#: Members of an archive that a writer makes at most: it remembers each until the archive's directory is written.
+WRITTEN = 50_000
 #: Bytes of a directory that are scanned at once.
 PIECE = 1 << 20
 # The records of the format.
@@ -188,7 +191,7 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 class Writer(DataSourceWriter):
@@ -197,21 +200,21 @@ class Writer(DataSourceWriter):
 
     def write(self, iterator: Iterator[Any]) -> Written:
         system, folder = opened(self.path)
-        path = f"{folder}/_temporary/{uuid.uuid4().hex}.zip"
         system.create_dir(f"{folder}/_temporary", recursive=True)
-        first = next(iterator, None)
-        if first is None:
-            return Written(None)
+        paths: list[str] = []
         try:
-            with system.open_output_stream(path) as out, ZipFile(out, "w", ZIP_DEFLATED) as archive:
-                archive.writestr(first["name"], bytes(first["content"] or b""))
-                for row in iterator:
-                    archive.writestr(row["name"], bytes(row["content"] or b""))
+            while (first := next(iterator, None)) is not None:
+                paths.append(f"{folder}/_temporary/{uuid.uuid4().hex}.zip")
+                with system.open_output_stream(paths[-1]) as out, ZipFile(out, "w", ZIP_DEFLATED) as archive:
+                    archive.writestr(first["name"], bytes(first["content"] or b""))
+                    for row in islice(iterator, WRITTEN - 1):
+                        archive.writestr(row["name"], bytes(row["content"] or b""))
         except BaseException:
-            if system.get_file_info(path).type == fs.FileType.File:
-                system.delete_file(path)
+            for path in paths:
+                if system.get_file_info(path).type == fs.FileType.File:
+                    system.delete_file(path)
             raise
-        return Written(path)
+        return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = opened(self.path)
@@ -219,8 +222,8 @@ class Writer(DataSourceWriter):
             for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
                 if f.path.endswith(".zip"):
                     system.delete_file(f.path)
-        for k, m in enumerate(x for x in messages if x is not None and x.path):
-            system.move(m.path, f"{folder}/part-{k:05}-{uuid.uuid4().hex[:8]}.zip")
+        for k, path in enumerate(p for m in messages if m is not None for p in m.paths):
+            system.move(path, f"{folder}/part-{k:05}-{uuid.uuid4().hex[:8]}.zip")
         system.delete_dir(f"{folder}/_temporary")
 
     def abort(self, messages: list[Written | None]) -> None:
