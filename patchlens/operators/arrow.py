@@ -15,6 +15,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS = 64
 
 
+def laid(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as they are, each computed once: the planner does not put their expressions where they are used.
+
+    Filters and columns behind it see values; merged with what makes them, a text would be made anew at every use.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def computed(df: DataFrame, name: str, kind: T.DataType | str, function: Callable[..., Any], *inputs: Column) -> DataFrame:
     """df with one more column: a Python function of the inputs of each row."""
     spark_type = kind if isinstance(kind, T.DataType) else T.DataType.fromDDL(kind)

@@ -93,19 +93,39 @@ def forwarded(df: DataFrame, text: Column, patch: Column, name: str = "forwarded
     Tries go from strict to tolerant and stop at the first that places every hunk; of failures the last counts. Each row has
     its own tries, so one that fails holds up no other.
     """
-
-    def run(content: str | None, given: str | None) -> dict:
-        sections = len(list(patches.sections(given or "")))
-        if content is None or not sections:
-            return {"result": "skipped", "tries": 0, "failed_hunks": 0, "text": None}
-        for number, (fuzz, spaces) in enumerate(tries, 1):
-            after, failed = content, 0
-            for path, hunks in patches.sections(given):
-                done = patches.apply(after, path, hunks, fuzz, spaces)
-                failed += 0 if done.applied_before else len(done.failed)
-                after = after if done.applied_before else done.text
-            if not failed:
-                return {"result": "success", "tries": number, "failed_hunks": 0, "text": after}
-        return {"result": "failure", "tries": len(tries), "failed_hunks": failed, "text": None}
-
-    return computed(df, name, FORWARDED, run, text, patch)
+    return computed(df, name, FORWARDED, lambda content, given: outcome(content, prepared(given), tries), text, patch)
+
+
+def forwarded_each(df: DataFrame, texts: Column, patch: Column, name: str = "forwarded", tries: tuple[tuple[int, bool], ...] = TRIES) -> DataFrame:
+    """As forwarded(), on every one of an array of versions: an array of outcomes. The patch is read once for all of them."""
+
+    def run(contents: list[str | None] | None, given: str | None) -> list[dict] | None:
+        if contents is None:
+            return None
+        sections = prepared(given)
+        return [outcome(x, sections, tries) for x in contents]
+
+    return computed(df, name, f"array<{FORWARDED}>", run, texts, patch)
+
+
+def prepared(patch: str | None) -> list[patches.Tries]:
+    return [patches.Tries(path, hunks) for path, hunks in patches.sections(patch or "")]
+
+
+def outcome(content: str | None, sections: list[patches.Tries], tries: tuple[tuple[int, bool], ...]) -> dict:
+    """What trying the sections of a patch on one text gave."""
+    if content is None or not sections:
+        return {"result": "skipped", "tries": 0, "failed_hunks": 0, "text": None}
+    lines = patches.cut(content)
+    for number, (fuzz, spaces) in enumerate(tries, 1):
+        after, failed = lines, 0
+        for section in sections:
+            missing, before = section.on(after, fuzz, spaces)
+            if not before:
+                failed += missing
+                after = patches.spliced(after, section.hunks)
+                if len(sections) > 1:
+                    after = patches.cut("".join(after))
+        if not failed:
+            return {"result": "success", "tries": number, "failed_hunks": 0, "text": "".join(after)}
+    return {"result": "failure", "tries": len(tries), "failed_hunks": failed, "text": None}

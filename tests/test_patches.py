@@ -259,3 +259,33 @@ def test_templates(spark):
     assert one(prompts.filled("", {})) == ""
     with pytest.raises(KeyError):
         prompts.filled("{z}", {"x": F.col("x")})
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_loosened_as_one_text():
+    rng = random.Random(11)
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace() and chr(i) != "\n"]
+    for _ in range(3000):
+        lines = ["".join(rng.choice(["a", "é", " ", "  ", rng.choice(spaces)]) for _ in range(rng.randint(0, 5))) + "\n" for _ in range(rng.randint(0, 5))]
+        lines += rng.choice(([], ["end"], [" "], [""], ["no end", "x\n"]))
+        assert patches.alike(lines, True) == [" ".join(x.split()) for x in lines] and patches.alike(lines, False) == lines
+
+
+def test_a_patch_is_read_once_for_all_versions(spark, monkeypatch):
+    base = "".join(f"line {i}\n" for i in range(20))
+    patch = patches.unified(base, base.replace("line 9\n", "nine\n"), "f") + patches.unified("a\n", "b\n", "g")
+    texts = [base, base.replace("line", "line  "), None, "other\n", base.replace("line 9\n", "nine\n"), base + "a\n"]
+    df = spark.createDataFrame([(1, texts, patch), (2, texts, None), (3, None, patch)], "i int, texts array<string>, patch string")
+    each = {r.i: r.forwarded for r in patching.forwarded_each(df, F.col("texts"), F.col("patch")).collect()}
+    alone = patching.forwarded(df.select("i", F.posexplode("texts").alias("p", "text"), "patch"), F.col("text"), F.col("patch")).collect()
+    assert each[3] is None and len(alone) == 12 and all(each[r.i][r.p] == r.forwarded for r in alone)
+    assert {x.result for x in each[1]} == {"success", "failure", "skipped"} and {x.result for x in each[2]} == {"skipped"}
+    # versions of a document are made once, and their patches read once for each
+    assert plan(patch_queries.forwarded_patches(spark, SF)).count("([.!?]) +") == 1
+    read, sections = [], patches.sections
+    monkeypatch.setattr(patches, "sections", lambda given: read.append(1) or sections(given))
+    ready = patching.prepared(patch)
+    assert [patching.outcome(x, ready, patching.TRIES)["result"] for x in texts] == [x.result for x in each[1]] and len(read) == 1
